@@ -68,15 +68,18 @@ def salted_stats(df: DataFrame, key: str, distinct: dict[str, str], share: float
     return merged.join(F.broadcast(flags), "__key", "left").select(F.col("__key").alias("key"), "n_rows", *distinct, F.coalesce("is_heavy", F.lit(False)).alias("is_heavy"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.002) -> DataFrame:
-    """Equi-join of ``left`` with ``right`` (unique in ``key``) that keeps whole when a key holds a third of ``left``.
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.01, least: int = 20_000) -> DataFrame:
+    """Equi-join of ``left`` with ``right`` (unique in ``key``) that stays spread when a key holds a third of ``left``.
 
-    The right rows of heavy left keys, at most ``1 / share`` of them, are broadcast; all other rows meet in an ordinary
-    shuffled join. ``how``: inner or left. Null keys never match.
+    Left keys with at least ``share`` of the rows, and at least ``least`` rows, are heavy: at most ``1 / share`` keys,
+    whose right rows are broadcast; all other rows meet in an ordinary shuffled join. The heavy keys are looked up at once,
+    so ``left`` should be a scan or a stored stage. ``how``: inner or left. Null keys never match.
     """
-    heavy = heavy_keys(left, key, share).select(F.col("key").alias("__heavy"))
-    flagged = left.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
-    hot_right = right.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left_semi")
-    hot = flagged.where("__heavy IS NOT NULL").drop("__heavy").join(F.broadcast(hot_right), key, how)
-    cold = flagged.where("__heavy IS NULL").drop("__heavy").join(right, key, how)
-    return hot.unionByName(cold)
+    counted = key_counts(left, key)
+    total = counted.agg(F.sum("n_rows").alias("total"))
+    frequent = counted.where(F.col("n_rows") >= least).join(F.broadcast(total)).where(F.col("n_rows") >= F.lit(share) * F.col("total"))
+    hot = [r[0] for r in frequent.select("key").collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
