@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import components, tokenize, unify
+from kinmesh.llm import components, setjoin, survivor, tokenize, unify
 from kinmesh.session import table
 
 
@@ -15,6 +15,15 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.unionByName(components.key_links(hand, "person_id", "hrm_l2_id"))
 
 
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors of every Person with several records, with the best supported values."""
+    return survivor.survivors(table(spark, sf_dir, "patstat_dedupe_input"), table(spark, sf_dir, "gazetteer"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_survivors(spark, sf_dir).select("person", "name_record_id", "geo_record_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each linked id with the least id reachable from it."""
     return components.components(_links(spark, sf_dir)).select(F.col("node").alias("person_id"), F.col("component").alias("group_id"))
@@ -31,6 +40,13 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.forms(table(spark, sf_dir, "leuven_name").select("person_id", "person_name").distinct(), "person_name")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of different Persons with similar sets, for each of the two fields."""
+    t = table(spark, sf_dir, "patstat_dedupe_input")
+    parts = [setjoin.similar_records(t, "record_id", f, "Person").withColumn("set_field", F.lit(f)) for f in ("Coauthor", "Class")]
+    return parts[0].unionByName(parts[1]).select("set_field", "record_id_a", "record_id_b")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -40,7 +56,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.decode(p8_ids(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
 
 ORACLE = {
     "p4_found": """
@@ -50,5 +66,14 @@ ORACLE = {
       edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
       reach AS (SELECT a AS person_id, a AS seen FROM edges UNION SELECT r.person_id, e.b FROM reach r JOIN edges e ON r.seen = e.a)
       SELECT person_id, min(seen) AS group_id FROM reach GROUP BY person_id""",
+    "p7_found": " UNION ALL ".join(
+        f"""
+      (WITH sets AS (SELECT record_id, Person, list_distinct(list_filter(list_transform({f}, lambda v: lower(trim(v))), lambda v: v IS NOT NULL AND v <> '')) AS s FROM patstat_dedupe_input),
+      big AS (SELECT * FROM sets WHERE len(s) >= 5), long AS (SELECT record_id, Person, len(s) AS n, unnest(s) AS v FROM big),
+      pairs AS (SELECT a.record_id AS ra, b.record_id AS rb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
+                FROM long a JOIN long b ON a.v = b.v AND a.record_id < b.record_id AND a.Person <> b.Person GROUP BY a.record_id, b.record_id)
+      SELECT '{f}' AS set_field, ra AS record_id_a, rb AS record_id_b FROM pairs WHERE o * 10 >= 7 * (na + nb - o))"""
+        for f in ("Coauthor", "Class")
+    ),
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
