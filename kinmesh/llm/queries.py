@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import components, setjoin, survivor, tokenize, unify
+from kinmesh.llm import addresses, components, setjoin, survivor, tokenize, unify
 from kinmesh.session import table
 
 
@@ -24,6 +24,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_survivors(spark, sf_dir).select("person", "name_record_id", "geo_record_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of person_ids whose addresses denote the same location."""
+    t = table(spark, sf_dir, "leuven_name").select("person_id", "person_address")
+    return addresses.same_location(t, "person_id", "person_address", table(spark, sf_dir, "gazetteer"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each linked id with the least id reachable from it."""
     return components.components(_links(spark, sf_dir)).select(F.col("node").alias("person_id"), F.col("component").alias("group_id"))
@@ -56,7 +62,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.decode(p8_ids(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
 
 ORACLE = {
     "p4_found": """
