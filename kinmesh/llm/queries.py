@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import addresses, components, setjoin, survivor, tokenize, unify
+from kinmesh.llm import addresses, components, names, setjoin, survivor, tokenize, unify
 from kinmesh.session import table
 
 
@@ -30,6 +30,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.same_location(t, "person_id", "person_address", table(spark, sf_dir, "gazetteer"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each person_id with the HAN_ID of the same person or organisation."""
+    han, leuven = table(spark, sf_dir, "han_name"), table(spark, sf_dir, "leuven_name")
+    out = names.linked(han, "HAN_ID", "Person_name_clean", "Person_ctry_code", leuven, "person_id", "person_name", "person_ctry_code")
+    return out.select(F.col("HAN_ID").alias("han_id"), "person_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each linked id with the least id reachable from it."""
     return components.components(_links(spark, sf_dir)).select(F.col("node").alias("person_id"), F.col("component").alias("group_id"))
@@ -62,7 +69,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.decode(p8_ids(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
 
 ORACLE = {
     "p4_found": """
