@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import addresses, components, names, setjoin, survivor, tokenize, unify
+from kinmesh.llm import addresses, components, languages, leaks, names, setjoin, survivor, tokenize, unify
 from kinmesh.session import table
 
 
@@ -69,7 +69,23 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.decode(p8_ids(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each evaluation item that it gives away."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with each language in it and a confidence value."""
+    return languages.text_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a missing or wrong label and those in several languages, with each language present."""
+    return languages.label_cases(p10_languages(spark, sf_dir), "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLE = {
     "p4_found": """
