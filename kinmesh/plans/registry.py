@@ -1,8 +1,8 @@
 """All core queries by name, with their SQL where SQL can express them."""
 
-from kinmesh.plans import heavy
+from kinmesh.plans import heavy, quality, relational
 
-FLAGSHIP = "p6_key_stats"
-MODULES = (heavy,)
+FLAGSHIP = "precision_recall_ids"
+MODULES = (heavy, relational, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
