@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -200,20 +201,26 @@ def compare(a: tuple, b: tuple) -> tuple[str, float, str, str]:
     return best
 
 
-def _keys(words: tuple[str, ...]) -> list[tuple[str, str, list[str]]]:
-    """(word, key, refinements) for each index entry of a name: the suffix of a word, and of the mirrored word.
+def _hash(*parts: str) -> int:
+    """A signed 64-bit hash, the same in every process."""
+    return int.from_bytes(blake2b("\x1f".join(parts).encode(), digest_size=8).digest(), "big", signed=True)
 
-    A misspelt end breaks every suffix of a word, so words are indexed mirrored as well. Refinements are the beginnings of
-    the other words, and longer suffixes.
+
+def _keys(words: tuple[str, ...]) -> list[dict]:
+    """The index entries of a name: the suffix of a word and of the mirrored word, with hashes of the refined suffixes.
+
+    A misspelt end breaks every suffix of a word, so words are indexed mirrored as well. A suffix is refined by the
+    beginnings of the other words (``others``), and by more letters of its own word (``own``).
     """
-    out = []
+    out = {}
     for w, rest, _ in grouped(words):
-        more = sorted({f"o{o[:3]}" for o in rest if len(o) > 2} | {f"s{w[-9:]}", f"p{w[:9]}"})
-        out += [(w, f"s{w[-SHORTEST:]}", more), (w, f"p{w[:SHORTEST]}", more)]
-    return out
+        for k, longer in ((f"s{w[-SHORTEST:]}", f"s{w[-9:]}"), (f"p{w[:SHORTEST]}", f"p{w[:9]}")):
+            out[w, k] = {"w": w, "k": _hash(k), "own": [_hash(k, longer)], "others": [_hash(k, "o", x) for x in sorted({o[:3] for o in rest if len(o) > 2})]}
+    return list(out.values())
 
 
-_PARSED = "name string, words array<string>, legal string, firm boolean, entries array<struct<w:string,k:string,more:array<string>>>"
+_ENTRY = "struct<w:string,k:bigint,own:array<bigint>,others:array<bigint>>"
+_PARSED = f"name string, words array<string>, legal string, firm boolean, entries array<{_ENTRY}>"
 
 
 def _parsed(distinct: DataFrame) -> DataFrame:
@@ -222,7 +229,7 @@ def _parsed(distinct: DataFrame) -> DataFrame:
             got = [(n, p) for n in pdf["name"] if (p := parse(n))]
             yield pd.DataFrame(
                 {"name": [n for n, _ in got], "words": [list(p[0]) for _, p in got], "legal": [p[1] for _, p in got], "firm": [p[2] for _, p in got],
-                 "entries": [[{"w": w, "k": k, "more": m} for w, k, m in _keys(p[0])] for _, p in got]}
+                 "entries": [_keys(p[0]) for _, p in got]}
             )
 
     return distinct.mapInPandas(run, _PARSED)
@@ -257,21 +264,25 @@ def linked(reference: DataFrame, ref_key: str, ref_name: str, ref_country: str,
     """(ref_key, key): each row's key with the reference entry that its name denotes; at most one entry per key.
 
     Candidates share a word's suffix of five letters (or that of the mirrored word). Suffixes that over twenty reference names
-    have are only used together with the beginning of another word or a longer suffix. Names are compared by the longest
+    have are only used together with the beginning of another word, however many share that, or with more of their own
+    word where that is not common either. Names are compared by the longest
     common subsequence; known countries must not differ. A name that lacks the given name or the line of business is linked
     only if no other entry and no other name of the table could be meant. Null and empty names denote nobody; equal
     spellings are compared once; ties go to the smaller reference key.
     """
     ref_rows, ref_forms = _side(reference, ref_key, ref_name, ref_country)
     rows, forms = _side(df, key, name, country)
-    entries = lambda d, i: d.select(F.col("f").alias(i), F.col("cc").alias(f"{i}c"), F.explode("entries").alias("e")).select(i, f"{i}c", F.col("e.w").alias(f"{i}w"), F.col("e.k").alias("k"), F.col("e.more").alias("more"))
-    a, b = entries(ref_forms, "h").distinct(), entries(forms, "f").distinct()
-    common = stored(a.groupBy("k").agg(F.count_distinct("h").alias("c")).where(F.col("c") > COMMON).select("k"), "common")
+    e = stored(ref_forms.select(F.col("f").alias("h"), F.col("cc").alias("hc"), F.explode("entries").alias("e")).select("h", "hc", "e.*"), "entries")
+    common = e.groupBy("k").agg(F.count_distinct("h").alias("c")).where(F.col("c") > COMMON).select("k", F.lit(True).alias("common"))
+    e = e.join(common, "k", "left")
+    once = e.where("common IS NULL").select("h", "hc", F.col("w").alias("hw"), "k", F.lit(True).alias("strict"))
+    own = e.where("common").select("h", "hc", F.col("w").alias("hw"), F.explode("own").alias("k"), F.lit(True).alias("strict"))
+    own = own.join(own.groupBy("k").agg(F.count_distinct("h").alias("c")).where(F.col("c") > COMMON).select("k"), "k", "left_anti").select(once.columns)
+    others = e.where("common").select("h", "hc", F.col("w").alias("hw"), F.explode("others").alias("k"), F.lit(False).alias("strict"))
+    index = once.unionByName(own).unionByName(others)
+    seen = forms.select("f", F.col("cc").alias("fc"), F.explode("entries").alias("e")).select("f", "fc", F.col("e.w").alias("fw"), F.explode(F.concat(F.array("e.k"), F.col("e.own"), F.col("e.others"))).alias("k"))
     agree = (F.col("hc") == F.col("fc")) | (F.col("hc") == "") | (F.col("fc") == "")
-    rare = a.join(common, "k", "left_anti").drop("more").join(b.join(common, "k", "left_anti").drop("more"), "k").where(agree & (F.levenshtein("hw", "fw", 3) >= 0)).select("h", "f")
-    fine = lambda d: d.join(common, "k", "left_semi").withColumn("more", F.explode("more"))
-    dense = fine(a).drop("hw").distinct().join(fine(b).drop("fw").distinct(), ["k", "more"]).where(agree).select("h", "f")
-    cand = rare.unionByName(dense).distinct()
+    cand = index.join(seen, "k").where(agree & (~F.col("strict") | (F.levenshtein("hw", "fw", 3) >= 0))).select("h", "f").distinct()
     cand = cand.join(ref_forms.select(F.col("f").alias("h"), F.col("words").alias("wa"), F.col("legal").alias("la"), F.col("firm").alias("fa")), "h")
     cand = cand.join(forms.select("f", F.col("words").alias("wb"), F.col("legal").alias("lb"), F.col("firm").alias("fb")), "f")
     judged = stored(_judged(cand), "judged")
