@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_KM = 6371.0
 
@@ -43,7 +44,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence by both lengths; 1 for two empty texts, null if one is null."""
     seen: dict[tuple, float | None] = {}
@@ -74,7 +75,7 @@ def affine_gap(a: str, b: str, match: float = 1.0, differ: float = 11.0, gap: fl
     return best[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def affine_gap_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else affine_gap(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -126,7 +127,7 @@ def phonetic_key(name: str, n: int = 4) -> str:
     return out[:n].upper()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def phonetic(s: pd.Series) -> pd.Series:
     done = {v: phonetic_key(v) for v in s.dropna().unique()}
     return s.map(done, na_action="ignore").astype(object).where(s.notna(), None)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmesh.functions import rules
 
@@ -18,7 +19,7 @@ def stdize_case(c: Column) -> Column:
     return F.upper(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remove_diacritics(s: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks; letters such as ß, Ø and ł stay. Worked out once per distinct value of a batch."""
     done = {v: "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)) for v in s.dropna().unique()}
