@@ -227,6 +227,8 @@ def _parsed(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [(n, p) for n in pdf["name"] if (p := parse(n))]
+            if not got:
+                continue
             yield pd.DataFrame(
                 {"name": [n for n, _ in got], "words": [list(p[0]) for _, p in got], "legal": [p[1] for _, p in got], "firm": [p[2] for _, p in got],
                  "entries": [_keys(p[0]) for _, p in got]}

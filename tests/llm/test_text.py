@@ -1,0 +1,153 @@
+"""Addresses, names, leaked passages and languages: examples, brute force and held-out accuracy."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinmesh.llm import addresses, languages, leaks, names
+
+TOWNS = ["Trorzördorf", "Gutânmcourt", "Bokruano", "Pustéhford", "Vamérti-sur-Lac"]
+
+
+@pytest.fixture(scope="module")
+def towns():
+    return addresses.Towns(TOWNS)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Brilvinilaplatz 37, Trorzördorf 10007", ("trorzordorf", "10007", "37", "brilvinila", "square")),
+        ("BRILVINILA-PL. NR. 37; DE-10007 TRORZOERDORF (DE)", ("trorzordorf", "10007", "37", "brilvinila", "square")),
+        ("c/o Max B. Muster, Werk 3, Brilvinilaplatz 37\nTrorzrödorf, Germany", ("trorzordorf", "", "37", "brilvinila", "square")),
+        ("B.P. 492, 51, boul. de Denbriwanor, 2e étage, 13752 Gutanmcourt - FR", ("gutanmcourt", "13752", "51", "denbriwanor", "boulevard")),
+        ("28035 Vamerti-sur-Lac; avenue Korvikraler 117; Bât. C", ("vamertisurlac", "28035", "117", "korvikraler", "avenue")),
+        ("P.zza Manlalvilgor 176, Bokruano", ("bokruano", "", "176", "manlalvilgor", "square")),
+        ("72 Dakerleki Ave Pustéhford", ("pustehford", "", "72", "dakerleki", "avenue")),
+    ],
+)
+def test_parse_address(towns, text, want):
+    assert addresses.parse(text, towns) == want
+
+
+@pytest.mark.parametrize("text", [None, "", "  ", "?", "Germany", "Pustéhford (GB)", "Zone Industrielle"])
+def test_no_street(towns, text):
+    assert addresses.parse(text, towns) is None
+
+
+def test_same_location(spark):
+    rows = [(1, "Brilvinilaplatz 37, 10007 Trorzördorf"), (2, "37 Brilvinlapl., DE-10007"), (2, "37 Brilvinlapl., DE-10007"), (3, "Brilvinilaplatz 38, Trorzördorf"), (4, "Brilvinilastr. 37, Trorzördorf"), (5, "Brilvinilaplatz 37, Bokruano"), (6, None), (7, "Trorzördorf"), (8, "Trorzördorf"), (9, "brilvinilaplatz 37 werk 3 trorzoerdorf"), (None, "Brilvinilaplatz 37, Trorzördorf")]
+    t = spark.createDataFrame(rows, "person_id long, person_address string").withColumn("stem", F.lit("x"))
+    g = spark.createDataFrame([(x, "DE") for x in TOWNS], "city string, country string")
+    assert sorted(tuple(r) for r in addresses.same_location(t, "person_id", "person_address", g).collect()) == [(1, 2), (1, 9), (2, 9)]
+    assert addresses.same_location(t.limit(0), "person_id", "person_address", g).count() == 0
+
+
+def test_edits_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(7)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randrange(7)))
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        assert addresses.edits(a, b, 9) == d[-1][-1] and addresses.edits(a, b, 1) == min(d[-1][-1], 2)
+
+
+@pytest.mark.parametrize(
+    "a, b, verdict",
+    [
+        ("DABRILKEKAL LABORATOIRES", "LABORATOIRES DABRILKEKAL S.A.S.", "same"), ("DABRILKEKAL LABORATOIRES", "Dabrilkekal Hydr. SAS", "other"), ("DABRILKEKAL LABORATOIRES", "Dabrilkekal Labos", "same"),
+        ("EDWARD TRALNORWUMIL", "TRALNORWUMIL, TED", "same"), ("EDWARD TRALNORWUMIL", "Y. Tralnorwumil", "other"), ("EDWARD TRALNORWUMIL", "E. Tralnorwumil Dr.", "weak"), ("KRORPILTRERDUM OPTICS PLC", "KRORPIL TRERDUM OPT. PUBLIC LIMITED COMPANY", "same"),
+        ("KRORPILTRERDUM OPTICS PLC", "Krorpiltrerdum P.L.C.", "weak"), ("ANTONIO KUNVOR", "Antonio Belgas", "other"),
+    ],
+)
+def test_compare_names(a, b, verdict):
+    got = names.compare(names.parse(a), names.parse(b))[0]
+    assert got == verdict or (verdict == "other" and got == "")
+
+
+def test_linked_names(spark):
+    han = spark.createDataFrame([(1, "DABRILKEKAL LABORATOIRES", "FR"), (2, "DABRILKEKAL HYDRAULIQUE", "FR"), (3, "EDWARD TRALNORWUMIL", ""), (4, None, "FR"), (5, "", None)], "HAN_ID long, n string, c string")
+    leu = spark.createDataFrame([(10, "Dabrilkekal Labos SAS", "FR"), (10, "Dabrilkekal Labos SAS", "FR"), (11, "Dabrilkekal", "FR"), (12, "Tralnorwumil, Ted", "IT"), (13, "Dabrilkekal Hydr.", "DE"), (14, None, "FR"), (15, " ", "FR"), (16, "x" * 3000, "FR")], "person_id long, n string, c string").withColumn("words", F.lit(1))
+    got = sorted(tuple(r) for r in names.linked(han, "HAN_ID", "n", "c", leu, "person_id", "n", "c").collect())
+    assert got == [(1, 10), (3, 12)]
+    assert names.linked(han.limit(0), "HAN_ID", "n", "c", leu, "person_id", "n", "c").count() == 0
+
+
+def passage_words(rng, n):
+    return ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(n)]
+
+
+def test_leaks(spark):
+    rng = random.Random(6)
+    item, other = passage_words(rng, 80), passage_words(rng, 60)
+    fill = lambda n: " ".join(passage_words(rng, n))
+    near = item[10:40]
+    near[5] = "replaced"
+    near.insert(15, "added")
+    del near[22]
+    docs = [
+        (1, fill(50) + " " + " ".join(item[5:30]) + " " + fill(20)), (2, fill(50) + " " + " ".join(item[5:17])), (3, fill(10) + " <b>" + " ".join(near).upper() + "</b>. " + fill(10)), (4, None), (5, ""), (6, fill(3000)),
+        (7, fill(20) + " " + " ".join(w if i % 4 else "zz" + w for i, w in enumerate(item[20:60]))), (8, " ".join(item[40:65]).replace(item[50], item[50][:2] + "-\n" + item[50][2:])), (9, " ".join(item + other)),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(7))
+    e = spark.createDataFrame([(100, " ".join(item)), (101, " ".join(other)), (102, "too short"), (103, None)], "item_id long, text string")
+    got = sorted(tuple(r) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "text").collect())
+    assert got == [(1, 100), (3, 100), (8, 100), (9, 100), (9, 101)]
+    assert leaks.leaks(d.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
+    assert leaks.leaks(d, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
+    found = leaks.leaks(d, "doc_id", "text", e, "item_id", "text")
+    assert sorted(r["doc_id"] for r in leaks.clean_corpus(d, "doc_id", found).collect()) == [2, 4, 5, 6, 7]
+
+
+def test_suffix_array_against_scan():
+    rng = random.Random(8)
+    texts = [[rng.choice(["ab", "abc", "b", "ca"]) for _ in range(60)] for _ in range(5)]
+    shard = leaks.Shard(texts)
+    seeds = ["".join(texts[0][i : i + 3]).encode() for i in range(20)] + [b"zz", "".join(texts[1][:40]).encode()]
+    got = {(s, d, w) for s, d, w in shard.find(seeds)}
+    want = {(s, d, w) for s, x in enumerate(seeds) for d, t in enumerate(texts) for w in range(len(t)) if "".join(t[w:]).encode().startswith(x)}
+    assert got == want
+
+
+LANGS = {
+    "en": "the wheel turns because the shaft is driven and the pump moves water through this old pipe while nobody looks at them".split(),
+    "de": "das rad dreht sich weil die welle angetrieben wird und die pumpe bewegt wasser durch dieses alte rohr während niemand zusieht".split(),
+    "fr": "la roue tourne parce que cet arbre est entraîné et la pompe déplace une eau dans ce vieux tuyau pendant que personne ne regarde".split(),
+}
+
+
+def sentence(rng, lang):
+    return " ".join(rng.choice(LANGS[lang]) for _ in range(12)).capitalize() + "."
+
+
+def test_languages(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(sentence(rng, lang) for _ in range(4)), lang if i % 9 else "fr") for i in range(150) for lang in [["en", "de", "fr"][i % 3]]]
+    rows += [(900, sentence(rng, "en") + " " + sentence(rng, "de"), "en"), (901, None, "en"), (902, "", None), (903, "12 34 | 5", None), (904, sentence(rng, "de"), None), (905, sentence(rng, "fr"), "fr-CA"), (906, sentence(rng, "fr"), "??"), (907, sentence(rng, "en") + " („das alte Rohr“)", "EN")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_langs", F.lit(5))
+    found = languages.text_languages(t, "doc_id", "text", "lang")
+    got = {(r["doc_id"], r["lang"]) for r in languages.label_cases(found, "doc_id").collect()}
+    want = {(i, ["en", "de", "fr"][i % 3]) for i in range(0, 150, 9) if i % 3 != 2} | {(900, "en"), (900, "de"), (904, "de"), (906, "fr")}
+    assert got == want
+    assert languages.label_cases(languages.text_languages(t.limit(0).union(t.where("doc_id < 30")), "doc_id", "text", "lang"), "doc_id").count() > 0
+
+
+def test_held_out_accuracy():
+    rng = random.Random(5)
+    train = {k: [languages.letters(sentence(rng, k)) for _ in range(60)] for k in LANGS}
+    train["en"] += [languages.letters(sentence(rng, "de")) for _ in range(6)]  # wrong labels
+    models = languages.train(train)
+    held = [(k, languages.letters(sentence(rng, k))) for k in LANGS for _ in range(40)]
+    right = sum(name == k for (k, _), (name, _) in zip(held, models.label([p for _, p in held])))
+    assert right / len(held) > 0.95
+
+
+def test_labels(spark):
+    t = spark.createDataFrame([("EN",), ("deu",), ("fr-CA",), ("??",), ("",), (None,), ("en_US",)], "l string")
+    assert [r[0] for r in t.select(languages.label(F.col("l"))).collect()] == ["en", "de", "fr", None, None, None, "en"]
