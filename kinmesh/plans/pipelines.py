@@ -8,7 +8,7 @@ from kinmesh.functions import text
 from kinmesh.operators import aggregate, blocking, classify, evaluate, link, pairs
 from kinmesh.plans.relational import person_appln
 from kinmesh.plans.texts import registers
-from kinmesh.session import table
+from kinmesh.session import stored, table
 
 
 def extract_clean(spark, d):
@@ -54,10 +54,11 @@ def link_classifier(spark, d):
     """Links scored by a support vector machine trained on equal names against far ones."""
     from pyspark.ml.functions import vector_to_array
 
-    links = link.phonetic_links(*registers(spark, d)).withColumn("geo_dist", F.coalesce("geo_dist", F.lit(0.0)))
+    links = stored(link.phonetic_links(*registers(spark, d)), "links")
     far = links.where("lev_dist > 0.4").select("left_id", "right_id", F.lit(0.0).alias("label"))
     labels = link.match_labels(links, far)
-    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=3)
+    # the register has no positions, so the distance in km says nothing here
+    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=2, columns=("lev_dist", "jac_dist"))
     return model.transform(links).select("left_id", "right_id", F.col("prediction").cast("int").alias("is_match"), F.round(F.element_at(vector_to_array("rawPrediction"), 2), 4).alias("margin"))
 
 
