@@ -58,7 +58,7 @@ def link_classifier(spark, d):
     far = links.where("lev_dist > 0.4").select("left_id", "right_id", F.lit(0.0).alias("label"))
     labels = link.match_labels(links, far)
     # the register has no positions, so the distance in km says nothing here
-    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=2, columns=("lev_dist", "jac_dist"))
+    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=2, columns=("lev_dist", "jac_dist"), weights=(0.1,))
     return model.transform(links).select("left_id", "right_id", F.col("prediction").cast("int").alias("is_match"), F.round(F.element_at(vector_to_array("rawPrediction"), 2), 4).alias("margin"))
 
 

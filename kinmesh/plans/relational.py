@@ -86,7 +86,7 @@ def consolidate_set_capped(spark, d):
     return aggregate.set_union(table(spark, d, "patstat_dedupe_input").where("Person IS NOT NULL"), ["Person"], F.transform("Class", lambda v: F.lower(F.trim(v))), "classes")
 
 
-@query("SELECT Person, sum(patent_ct) AS patent_ct, max(loaded_at) AS loaded_at, count(*) AS n_rows FROM patstat_dedupe_input WHERE Person IS NOT NULL GROUP BY Person")
+@query("SELECT Person, CAST(sum(patent_ct) AS BIGINT) AS patent_ct, max(loaded_at) AS loaded_at, count(*) AS n_rows FROM patstat_dedupe_input WHERE Person IS NOT NULL GROUP BY Person")
 def consolidate_by_dict(spark, d):
     return aggregate.consolidate(table(spark, d, "patstat_dedupe_input").where("Person IS NOT NULL"), ["Person"], {"patent_ct": "sum", "loaded_at": "max"})
 
@@ -139,7 +139,7 @@ def value_share(spark, d):
 CATEGORIES = {"metal": "BRASS|STEEL|NICKEL|COPPER", "coated": "PLATED|COATED|ANODIZED", "small": "SMALL|MINI", "widget": "WIDGET|GADGET|BOLT"}
 
 
-@query("SELECT year(o_orderdate) AS filed, count(*) AS n, " + ", ".join(f"sum(CASE WHEN regexp_matches(upper(p_type || ' ' || p_name), '{p}') THEN 1 ELSE 0 END) AS {k}" for k, p in CATEGORIES.items()) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query("SELECT year(o_orderdate) AS filed, count(*) AS n, " + ", ".join(f"CAST(sum(CASE WHEN regexp_matches(upper(p_type || ' ' || p_name), '{p}') THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k, p in CATEGORIES.items()) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def category_year_counts(spark, d):
     li, o = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("filed"))
     words = F.upper(F.concat_ws(" ", "p_type", "p_name"))
@@ -148,16 +148,16 @@ def category_year_counts(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey, l_suppkey, s_nationkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
-  s AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM r GROUP BY ALL) SELECT s_nationkey AS country, p_brand AS class, sum(1.0 / n) AS share FROM r JOIN s USING (l_orderkey) GROUP BY ALL""")
+  s AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM r GROUP BY ALL) SELECT s_nationkey AS country, p_brand AS class, round(sum(1.0 / n), 6) AS share FROM r JOIN s USING (l_orderkey) GROUP BY ALL""")
 def fractional_counts(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("country"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("class"))
-    return aggregate.fractional_counts(li.join(s, "l_suppkey").join(p, "l_partkey"), "l_orderkey", "l_suppkey", "country", "class")
+    return aggregate.fractional_counts(li.join(s, "l_suppkey").join(p, "l_partkey"), "l_orderkey", "l_suppkey", "country", "class").withColumn("share", F.round("share", 6))
 
 
 @query("""WITH g AS (SELECT hrm_l2_id, count(*) AS n, count(DISTINCT person_name) AS u FROM leuven_name WHERE hrm_l2_id IS NOT NULL GROUP BY ALL)
-  SELECT count(*) AS n_groups, max(n) AS max_size, avg(n) AS mean_size, sum(CASE WHEN u > 1 THEN 1 ELSE 0 END) AS n_over, avg(u) AS mean_names FROM g""")
+  SELECT count(*) AS n_groups, max(n) AS max_size, avg(n) AS mean_size, CAST(sum(CASE WHEN u > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_over, avg(u) AS mean_names FROM g""")
 def group_overaggregation(spark, d):
     g = table(spark, d, "leuven_name").where("hrm_l2_id IS NOT NULL").groupBy("hrm_l2_id").agg(F.count("*").alias("n"), F.countDistinct("person_name").alias("u"))
     return g.agg(F.count("*").alias("n_groups"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"), F.sum((F.col("u") > 1).cast("int")).alias("n_over"), F.avg("u").alias("mean_names"))
@@ -317,12 +317,12 @@ def fill_defaults(spark, d):
     return t.select("record_id", F.coalesce("Name", F.lit("")).alias("name"), F.coalesce(F.nanvl("Lat", F.lit(0.0)), F.lit(0.0)).alias("lat"), F.coalesce("patent_ct", F.lit(0)).alias("patent_ct"))
 
 
-@query("SELECT record_id, CASE WHEN Lat IS NULL OR isnan(Lat) THEN (SELECT avg(Lat) FROM patstat_dedupe_input WHERE NOT isnan(Lat)) ELSE Lat END AS lat FROM patstat_dedupe_input")
+@query("SELECT record_id, round(CASE WHEN Lat IS NULL OR isnan(Lat) THEN (SELECT avg(Lat) FROM patstat_dedupe_input WHERE NOT isnan(Lat)) ELSE Lat END, 6) AS lat FROM patstat_dedupe_input")
 def mean_impute(spark, d):
     from pyspark.ml.feature import Imputer
 
     t = table(spark, d, "patstat_dedupe_input").select("record_id", "Lat")
-    return Imputer(inputCols=["Lat"], outputCols=["lat_f"]).fit(t).transform(t).select("record_id", F.col("lat_f").alias("lat"))
+    return Imputer(inputCols=["Lat"], outputCols=["lat_f"]).fit(t).transform(t).select("record_id", F.round("lat_f", 6).alias("lat"))
 
 
 @query("SELECT Person, count(*) AS n FROM patstat_dedupe_input WHERE Person IS NOT NULL GROUP BY Person HAVING count(*) > 1")

@@ -118,10 +118,10 @@ def comma_split(spark, d):
     return t.select("person_id", "c.name", "c.address")
 
 
-@query(f"WITH {N} SELECT person_id, trim(regexp_replace(lower(person_name), ' +', ' ', 'g')) AS lower_name, split_part(lower(person_name), 'c/o', 1) AS before_co, replace(person_name, ' ', '**') AS starred, list_transform(list_filter(range(0, CAST(greatest(length(lower(person_name)) - 1, 1) AS BIGINT)), lambda i: substr(lower(person_name), CAST(i + 1 AS BIGINT), 2) = 'an'), lambda i: CAST(i AS INT)) AS at FROM n WHERE length(person_name) >= 2")
+@query(f"WITH {N} SELECT person_id, trim(regexp_replace(lower(person_name), ' +', ' ', 'g')) AS lower_name, split_part(lower(person_name), 'c/o', 1) AS before_co, replace(person_name, ' ', '**') AS starred, array_to_string(list_filter(range(0, CAST(greatest(length(lower(person_name)) - 1, 1) AS BIGINT)), lambda i: substr(lower(person_name), CAST(i + 1 AS BIGINT), 2) = 'an'), ' ') AS at FROM n WHERE length(person_name) >= 2")
 def small_functions(spark, d):
     c = F.lower("person_name")
-    return names(spark, d).where(F.length("person_name") >= 2).select("person_id", F.trim(F.regexp_replace(c, " +", " ")).alias("lower_name"), text.strip_co(F.col("person_name")).alias("before_co"), F.replace("person_name", F.lit(" "), F.lit("**")).alias("starred"), text.positions(c, "an").alias("at"))
+    return names(spark, d).where(F.length("person_name") >= 2).select("person_id", F.trim(F.regexp_replace(c, " +", " ")).alias("lower_name"), text.strip_co(F.col("person_name")).alias("before_co"), F.replace("person_name", F.lit(" "), F.lit("**")).alias("starred"), F.array_join(F.transform(text.positions(c, "an"), lambda i: i.cast("string")), " ").alias("at"))
 
 
 SPELL_SQL = "SELECT p_partkey, replace(replace(upper(p_name), 'COLOR', 'COLOUR'), 'ALUMINUM', 'ALUMINIUM') AS name FROM part"
