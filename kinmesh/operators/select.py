@@ -91,3 +91,25 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def compare_maps(a: DataFrame, b: DataFrame, key: str, id_a: str, id_b: str) -> DataFrame:
     """(id_a, n_ids): ids of the first map whose keys have more than one id in the second."""
     return a.join(b, key).where(F.col(id_a).isNotNull() & F.col(id_b).isNotNull()).groupBy(id_a).agg(F.countDistinct(id_b).alias("n_ids")).where("n_ids > 1")
+
+
+def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Rows numbered from ``start`` in a total order, by counts per range: no single task sorts all rows."""
+    from kinmesh.session import stored
+
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    ranged = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    begins, at = {}, start
+    for r in sorted(ranged.groupBy("_p").agg(F.count("*").alias("c")).collect(), key=lambda r: r["_p"]):
+        begins[r["_p"]], at = at, at + r["c"]
+    if not begins:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    begin = F.element_at(F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]), F.col("_p"))
+    return ranged.withColumn(name, (begin + F.pmod("_i", F.lit(1 << 33))).cast("long")).drop("_p", "_i")
+
+
+def sampled_blocks(blocks: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """All records of at most ``n`` blocks of several records, those with the least hashes."""
+    several = blocks.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    chosen = several.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    return blocks.join(chosen, keys, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.functions import rules, text
 from kinmesh.functions import similarity as sim
-from kinmesh.operators import blocking, geocode, link, pairs
+from kinmesh.operators import blocking, geocode, link, pairs, select
 from kinmesh.plans.relational import leuven
 from kinmesh.session import table
 
@@ -301,3 +301,64 @@ def geocode_rate(spark, d):
     got = geocode.by_ngrams(leuven(spark, d), "person_address", "person_ctry_code", table(spark, d, "gazetteer")).select("address", "country").withColumn("hit", F.lit(1))
     every = leuven(spark, d).where("person_address IS NOT NULL").select(F.col("person_address").alias("address"), F.lower(F.trim("person_ctry_code")).alias("country")).distinct()
     return every.join(got, ["address", "country"], "left").groupBy("country").agg(F.count("*").alias("n"), (F.count("hit") / F.count("*")).alias("rate"))
+
+
+@query(f"""WITH {N}, p AS (SELECT person_id, person_name, string_split(person_name, ',') AS parts FROM n WHERE length(person_name) > 30),
+  s AS (SELECT person_id, parts FROM p WHERE len(parts) > 1 AND len(list_filter(parts, lambda p: len(list_filter(string_split(p, ' '), lambda t: t <> '')) = 1)) = 0),
+  r AS (SELECT person_id, i - 1 AS pos, trim(parts[i]) AS piece FROM s, unnest(range(1, len(parts) + 1)) AS u(i))
+  SELECT person_id AS old_id, piece, (SELECT max(person_id) FROM n) + row_number() OVER (ORDER BY person_id, pos) AS new_id FROM r""")
+def multi_name_rows(spark, d):
+    """Long fields that hold several names become rows with new ids after the largest one."""
+    t = names(spark, d)
+    top = t.agg(F.max("person_id")).first()[0] or 0
+    parts = text.split_multi_names(F.col("person_name"))
+    rows = t.where((F.length("person_name") > 30) & (F.size(parts) > 1)).select(F.col("person_id").alias("old_id"), F.posexplode(parts).alias("pos", "piece"))
+    return select.number_rows(rows.withColumn("piece", F.trim("piece")), ["old_id", "pos"], "new_id", top + 1).select("old_id", "piece", "new_id")
+
+
+@query("SELECT DISTINCT person_id, CASE WHEN len(string_split(person_name, ',')) > 2 AND (person_address IS NULL OR person_address = '') THEN array_to_string(string_split(person_name, ',')[:-3], ',') ELSE person_name END AS name FROM leuven_name WHERE person_name IS NOT NULL AND regexp_matches(person_name, '^[ -~]*$')")
+def addresses_in_names(spark, d):
+    """Names without an address that hold two commas give away what follows the second one from the end."""
+    t = leuven(spark, d).where(F.col("person_name").rlike("^[ -~]*$"))
+    lacks = F.col("person_address").isNull() | (F.col("person_address") == "")
+    return t.select("person_id", F.when(lacks, text.split_at_comma(F.col("person_name"))["name"]).otherwise(F.col("person_name")).alias("name")).distinct()
+
+
+@query(f"WITH {N} SELECT person_id, length(person_name) AS n_letters, len(list_filter(string_split(person_name, ','), lambda p: len(list_filter(string_split(p, ' '), lambda t: t <> '')) = 1)) > 0 AND contains(person_name, ',') AS has_single FROM n JOIN (SELECT DISTINCT person_id, sector FROM leuven_name) USING (person_id) WHERE length(person_name) > 40 AND coalesce(sector, '') NOT IN ('UNIVERSITY', 'GOV NON-PROFIT')")
+def name_checks(spark, d):
+    """Long names outside institutions, and whether a piece between commas is a single word."""
+    t = leuven(spark, d).where((F.length("person_name") > 40) & ~F.coalesce("sector", F.lit("")).isin("UNIVERSITY", "GOV NON-PROFIT"))
+    single = F.exists(F.split("person_name", ","), lambda p: F.size(F.filter(F.split(p, " "), lambda x: x != "")) == 1)
+    return t.select("person_id", F.length("person_name").alias("n_letters"), (single & F.contains("person_name", F.lit(","))).alias("has_single"))
+
+
+@query("SELECT s_suppkey AS id, n_name AS country_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20")
+def long_country(spark, d):
+    """The long name of a country code, null if unknown."""
+    n = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country_name"))
+    return table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey", "left").select(F.col("s_suppkey").alias("id"), "country_name")
+
+
+@query("""WITH g AS (SELECT DISTINCT p_name, substr(p_name, 1, 2) AS block FROM part), r AS (SELECT p_name, block, i FROM g, unnest(range(0, CAST(length(p_name) - 2 AS BIGINT))) AS u(i)), c AS (SELECT p_name, block, substr(p_name, CAST(i + 1 AS BIGINT), 2) AS gram FROM r GROUP BY ALL),
+  n AS (SELECT p_name, sqrt(count(*)) AS norm FROM c GROUP BY p_name)
+  SELECT a.p_name AS name_a, b.p_name AS name_b, round(count(*) / any_value(na.norm * nb.norm), 6) AS cosine FROM c a JOIN c b ON a.block = b.block AND a.gram = b.gram AND a.p_name < b.p_name JOIN n na ON na.p_name = a.p_name JOIN n nb ON nb.p_name = b.p_name GROUP BY a.p_name, b.p_name HAVING round(count(*) / any_value(na.norm * nb.norm), 6) > 0.6""")
+def gram_cosine(spark, d):
+    """Names within the block of the first two letters whose vectors of 2-grams are near."""
+    t = table(spark, d, "part").select("p_name").distinct().withColumn("g", text.ngrams(F.col("p_name"), 2)).withColumn("norm", F.sqrt(F.size("g").cast("double")))
+    long = t.select("p_name", F.substring("p_name", 1, 2).alias("block"), "norm", F.explode("g").alias("gram"))
+    a, b = long.toDF("name_a", "block", "na", "gram"), long.toDF("name_b", "block", "nb", "gram")
+    dot = a.join(b, ["block", "gram"]).where("name_a < name_b").groupBy("name_a", "name_b", "na", "nb").agg(F.count("*").alias("dot"))
+    return dot.select("name_a", "name_b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine")).where("cosine > 0.6")
+
+
+@query()
+def sampled_blocks(spark, d):
+    """Records of a hundred blocks, for choosing a threshold."""
+    t = names(spark, d).select("person_id", F.lower("person_name").alias("name"))
+    return select.sampled_blocks(blocking.block_map(t, "person_id", [blocking.prefix("name", 6)]), ["rule", "key"], 100)
+
+
+@query("SELECT l_orderkey AS appln_id, count(DISTINCT l_suppkey) AS persons, count(DISTINCT substr(p_type, 1, 3)) AS classes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def class_breadth(spark, d):
+    li, p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("appln_id"), "l_suppkey", "l_partkey"), table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_type", 1, 3).alias("c"))
+    return li.join(p, "l_partkey").groupBy("appln_id").agg(F.countDistinct("l_suppkey").alias("persons"), F.countDistinct("c").alias("classes"))
