@@ -1,22 +1,21 @@
-"""Variant spellings of names typed by people: suffix blocking and comparison by longest common subsequence."""
+"""Variant spellings of names typed by people: an index of words within the allowed edits and comparison by longest common subsequence."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.llm.addresses import allowed, edits, fold
+from kinmesh.llm.addresses import ONE_EDIT, TWO_EDITS, _neighbourhood, allowed, edits, fold
 from kinmesh.operators.skew import skew_join
 from kinmesh.session import stored
 
-#: Shortest suffix that is indexed; names of the reference side that share a suffix from which it must be refined.
-SHORTEST, COMMON = 5, 20
+#: Names of the reference side that a word could mean from which their other words are looked at first; salts that the names with such a word are spread over.
+COMMON, SALTS = 20, 8
 #: Likeness (twice the longest common subsequence by both lengths) from which two words are one misspelt word.
 ALIKE = 0.8
 
@@ -201,25 +200,80 @@ def compare(a: tuple, b: tuple) -> tuple[str, float, str, str]:
     return best
 
 
-def _hash(*parts: str) -> int:
-    """A signed 64-bit hash, the same in every process."""
-    return int.from_bytes(blake2b("\x1f".join(parts).encode(), digest_size=8).digest(), "big", signed=True)
+def _mask(word: str) -> tuple[int, int]:
+    """The letters and digits of a word as bits, first and second occurrences apart, and how many signs have no bit."""
+    mask = 0
+    for c in word:
+        i = ord(c) - 97 if "a" <= c <= "z" else ord(c) + 4 if "0" <= c <= "9" else -1
+        if i >= 0 and not mask >> i & 1:
+            mask |= 1 << i
+        elif 0 <= i < 26 and not mask >> i + 36 & 1:
+            mask |= 1 << i + 36
+    return mask, len(word) - mask.bit_count()
 
 
-def _keys(words: tuple[str, ...]) -> list[dict]:
-    """The index entries of a name: the suffix of a word and of the mirrored word, with hashes of the refined suffixes.
+def _keys(words: tuple[str, ...], firm: bool) -> list[dict]:
+    """The index entries of a name: each word that may be the distinguishing one, with what the other words say.
 
-    A misspelt end breaks every suffix of a word, so words are indexed mirrored as well. A suffix is refined by the
-    beginnings of the other words (``others``), and by more letters of its own word (``own``).
+    ``t`` has the other full words, and all of them in one, with the names and lines they could stand for (``cls``);
+    ``ini`` the other initials, ``f0`` the first letter of the first other full word.
     """
     out = {}
-    for w, rest, _ in grouped(words):
-        for k, longer in ((f"s{w[-SHORTEST:]}", f"s{w[-9:]}"), (f"p{w[:SHORTEST]}", f"p{w[:9]}")):
-            out[w, k] = {"w": w, "k": _hash(k), "own": [_hash(k, longer)], "others": [_hash(k, "o", x) for x in sorted({o[:3] for o in rest if len(o) > 2})]}
+    for w, rest, joined in grouped(words):
+        if _line(w):
+            continue
+        full = [o for o in rest if len(o) > 1]
+        texts = sorted({*full, "".join(full)} - {""}) or [""]
+        t = []
+        for o in texts:
+            mask, over = _mask(o)
+            t.append({"p": o, "n": len(o), "m": mask, "o": over, "cls": sorted({o, *_NICK.get(o, ()), *([f"line {_line(o)}"] if _line(o) else [])})})
+        is_firm = firm or any(_line(o) for o in rest)
+        out[w, rest] = {"w": w, "m": _mask(w)[0], "j": joined, "firm": is_firm, "ini": "".join(o for o in rest if len(o) == 1), "f0": full[0][0] if full else "", "t": t}
     return list(out.values())
 
 
-_ENTRY = "struct<w:string,k:bigint,own:array<bigint>,others:array<bigint>>"
+def _word_keys(w: Column) -> Column:
+    """Hashes that two words with at most as many edits as ``allowed`` have in common.
+
+    Words of up to 15 letters: their deletion neighbourhood. Words from 14 letters: the first and the last seven with one
+    letter left out at most, since of two edits at most one falls into one of both. Lengths differ by two at most.
+    """
+    n = F.length(w)
+    less = lambda s, c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.xxhash64(F.lit(c), F.when(i == 0, s).otherwise(F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(7))))))
+    halves = F.concat(less(F.substring(w, F.lit(1), F.lit(7)), "first"), less(F.substring(w, n - 6, F.lit(7)), "last"))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.when(n <= 15, _neighbourhood(F.substring(w, 1, 15))).otherwise(none), F.when(n >= 14, halves).otherwise(none)))
+
+
+def _near(ref: DataFrame, seen: DataFrame) -> DataFrame:
+    """(hw, fw): the pairs of different words' spellings that may be within the allowed edits, exactly equal ones included."""
+    a = ref.select(F.col("w").alias("hw"), F.col("m").alias("hm"), F.explode(_word_keys(F.col("w"))).alias("k"))
+    b = seen.select(F.col("w").alias("fw"), F.col("m").alias("fm"), F.explode(_word_keys(F.col("w"))).alias("k"))
+    n = F.least(F.length("hw"), F.length("fw"))
+    most = F.when(n >= TWO_EDITS, 2).when(n >= ONE_EDIT, 1).otherwise(0)
+    far, odd = F.levenshtein("hw", "fw"), F.bit_count(F.col("hm").bitwiseXOR(F.col("fm")))
+    # levenshtein counts an exchange of neighbours twice; exchanges keep the letters
+    fits = (far <= most) | ((far <= most + 1) & (odd <= 2)) | ((far <= most + 2) & (odd == 0))
+    apart = F.abs(F.length("hw") - F.length("fw")) <= 2
+    return a.join(b, "k").where(apart & (odd <= 4)).select("hw", "fw", "hm", "fm").distinct().where(fits).select("hw", "fw")
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """Whether the other words of two entries (columns of these prefixes) may agree: never false where ``compare`` finds same or weak."""
+    c = lambda s, n: F.col(f"{s}{n}")
+    firm = c(a, "firm") | c(b, "firm")
+    lacks = lambda x, y: (c(x, "p") == "") & (firm | (c(x, "ini") == "") | (c(y, "p") == "") | (F.instr(c(x, "ini"), c(y, "f0")) > 0))
+    full = (c(a, "p") != "") & (c(b, "p") != "")
+    begins = c(a, "p").startswith(F.substring(c(b, "p"), 1, 3)) | c(b, "p").startswith(F.substring(c(a, "p"), 1, 3))
+    both = (c(a, "n") + c(b, "n")).cast("double")
+    letters = 2 * (F.bit_count(c(a, "m").bitwiseAND(c(b, "m"))) + F.least(c(a, "o"), c(b, "o"))) >= ALIKE * both - 1e-6
+    alike = letters & (F.levenshtein(c(a, "p"), c(b, "p")) <= (1 - ALIKE) * both + 1e-6)
+    return lacks(a, b) | lacks(b, a) | (full & (begins | alike | F.arrays_overlap(c(a, "cls"), c(b, "cls"))))
+
+
+_REST = "struct<p:string,n:int,m:bigint,o:int,cls:array<string>>"
+_ENTRY = f"struct<w:string,m:bigint,j:boolean,firm:boolean,ini:string,f0:string,t:array<{_REST}>>"
 _PARSED = f"name string, words array<string>, legal string, firm boolean, entries array<{_ENTRY}>"
 
 
@@ -231,7 +285,7 @@ def _parsed(distinct: DataFrame) -> DataFrame:
                 continue
             yield pd.DataFrame(
                 {"name": [n for n, _ in got], "words": [list(p[0]) for _, p in got], "legal": [p[1] for _, p in got], "firm": [p[2] for _, p in got],
-                 "entries": [_keys(p[0]) for _, p in got]}
+                 "entries": [_keys(p[0], p[2]) for _, p in got]}
             )
 
     return distinct.mapInPandas(run, _PARSED)
@@ -265,9 +319,8 @@ def _judged(cand: DataFrame) -> DataFrame:
 def linked(reference: DataFrame, ref_key: str, ref_name: str, ref_country: str, df: DataFrame, key: str, name: str, country: str) -> DataFrame:
     """(ref_key, key): each row's key with the reference entry that its name denotes; at most one entry per key.
 
-    Candidates share a word's suffix of five letters (or that of the mirrored word). Suffixes that over twenty reference names
-    have are only used together with the beginning of another word, however many share that, or with more of their own
-    word where that is not common either. Names are compared by the longest
+    Candidates have a word within the allowed edits (``_near``). Where over twenty reference names could be meant by a
+    word, only those are compared of which the other words may agree too (``_agreeing``, which loses no link). Names are compared by the longest
     common subsequence; known countries must not differ. A name that lacks the given name or the line of business is linked
     only if no other entry and no other name of the table could be meant. Null and empty names denote nobody; equal
     spellings are compared once; ties go to the smaller reference key.
@@ -275,16 +328,20 @@ def linked(reference: DataFrame, ref_key: str, ref_name: str, ref_country: str,
     ref_rows, ref_forms = _side(reference, ref_key, ref_name, ref_country)
     rows, forms = _side(df, key, name, country)
     e = stored(ref_forms.select(F.col("f").alias("h"), F.col("cc").alias("hc"), F.explode("entries").alias("e")).select("h", "hc", "e.*"), "entries")
-    common = e.groupBy("k").agg(F.count_distinct("h").alias("c")).where(F.col("c") > COMMON).select("k", F.lit(True).alias("common"))
-    e = e.join(common, "k", "left")
-    once = e.where("common IS NULL").select("h", "hc", F.col("w").alias("hw"), "k", F.lit(True).alias("strict"))
-    own = e.where("common").select("h", "hc", F.col("w").alias("hw"), F.explode("own").alias("k"), F.lit(True).alias("strict"))
-    own = own.join(own.groupBy("k").agg(F.count_distinct("h").alias("c")).where(F.col("c") > COMMON).select("k"), "k", "left_anti").select(once.columns)
-    others = e.where("common").select("h", "hc", F.col("w").alias("hw"), F.explode("others").alias("k"), F.lit(False).alias("strict"))
-    index = once.unionByName(own).unionByName(others)
-    seen = forms.select("f", F.col("cc").alias("fc"), F.explode("entries").alias("e")).select("f", "fc", F.col("e.w").alias("fw"), F.explode(F.concat(F.array("e.k"), F.col("e.own"), F.col("e.others"))).alias("k"))
-    agree = (F.col("hc") == F.col("fc")) | (F.col("hc") == "") | (F.col("fc") == "")
-    cand = index.join(seen, "k").where(agree & (~F.col("strict") | (F.levenshtein("hw", "fw", 3) >= 0))).select("h", "f").distinct()
+    seen = stored(forms.select("f", F.col("cc").alias("fc"), F.explode("entries").alias("e")).select("f", "fc", "e.*"), "seen")
+    near = stored(_near(e.select("w", "m").distinct(), seen.select("w", "m").distinct()), "near")
+    held = e.groupBy(F.col("w").alias("hw")).agg(F.count_distinct("h").alias("c"))
+    common = near.join(held, "hw").groupBy("fw").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON).select("fw", F.lit(True).alias("common"))
+    near = near.join(common, "fw", "left")
+    agree = ((F.col("hc") == F.col("fc")) | (F.col("hc") == "") | (F.col("fc") == "")) & ~(F.col("hj") & F.col("fj"))
+    once = near.where("common IS NULL").join(e.select("h", "hc", F.col("w").alias("hw"), F.col("j").alias("hj")), "hw")
+    once = once.join(seen.select("f", "fc", F.col("w").alias("fw"), F.col("j").alias("fj")), "fw").where(agree).select("h", "f")
+    # names with a common word: each is spread over salts, the reference names are repeated in every salt
+    side = lambda t, s, *own: t.select(*own, *[F.col(c).alias(f"{s}{c}") for c in ("w", "j", "firm", "ini", "f0")], F.explode("t").alias("r")).select("*", *[F.col(f"r.{c}").alias(f"{s}{c}") for c in ("p", "n", "m", "o", "cls")]).drop("r")
+    right = side(seen, "f", "f", "fc").withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)))
+    left = near.where("common").join(side(e, "h", "h", "hc"), "hw").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    refined = left.join(right, ["fw", "salt"]).where(agree & _agreeing("h", "f")).select("h", "f")
+    cand = once.unionByName(refined).distinct()
     cand = cand.join(ref_forms.select(F.col("f").alias("h"), F.col("words").alias("wa"), F.col("legal").alias("la"), F.col("firm").alias("fa")), "h")
     cand = cand.join(forms.select("f", F.col("words").alias("wb"), F.col("legal").alias("lb"), F.col("firm").alias("fb")), "f")
     judged = stored(_judged(cand), "judged")

@@ -79,6 +79,33 @@ def test_linked_names(spark):
     assert names.linked(han.limit(0), "HAN_ID", "n", "c", leu, "person_id", "n", "c").count() == 0
 
 
+def test_linked_names_of_common_words(spark):
+    """Over twenty reference names end and begin alike: slips inside, initials, nicknames and equal spellings are still found."""
+    given = [f"{a}{b}" for a in "BCDFGKLMNPRT" for b in ("ORA", "IVO")]
+    han = [(i, f"MULLENBACH {g}") for i, g in enumerate(given)] + [(100, "WILLIAM MULLENBACH"), (101, "HARTENBACH H"), (102, "HUBER H"), (103, "MULLENBACH X"), (104, "PETRONELLA HUBER")] + [(200 + i, f"HUBER {g}") for i, g in enumerate(given)]
+    leu = [(1, "Bill Mulelnbach"), (2, "Huber H"), (3, "X. Muxlenbach"), (4, "Mullenbach Bora"), (5, "P. Huber"), (6, "Petronela Huber")]
+    t = lambda rows, c: spark.createDataFrame([(i, n, "DE") for i, n in rows], f"{c} long, n string, c string")
+    got = {r["k"]: r["r"] for r in names.linked(t(han, "r"), "r", "n", "c", t(leu, "k"), "k", "n", "c").collect()}
+    assert got[1] == 100 and got[2] == 102 and got[3] == 103 and got[4] == 0 and got[6] == 104
+
+
+def test_word_index_against_brute_force(spark):
+    """No pair of words within the allowed edits is missed, whatever their length."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 24))) for _ in range(60)}
+    for w in list(words):
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                i = rng.randrange(len(v) - 1)
+                v[i : i + 2] = rng.choice([[v[i + 1], v[i]], [v[i]], [v[i], "k", v[i + 1]], ["k", v[i + 1]]]) if len(v) > 3 else v[i : i + 2]
+            words.add("".join(v))
+    want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 2 and names.edits(a, b, m := names.allowed(min(len(a), len(b)))) <= m}
+    t = spark.createDataFrame([(w, names._mask(w)[0]) for w in sorted(words)], "w string, m long")
+    got = {tuple(r) for r in names._near(t, t).collect()}
+    assert want <= got and len(want) > 300
+
+
 def passage_words(rng, n):
     return ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(n)]
 
