@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from kinmesh.session import stored
 MOST_TOWNS = 200_000
 #: Length from which a street or town may differ by two edits, and by one.
 TWO_EDITS, ONE_EDIT = 8, 5
+#: Share of the letters of a street's tokens that must be assigned to the other's.
+ASSIGNED = 0.6
 
 # Street words by kind, written out and abbreviated, as words of their own.
 STREET_WORDS = {
@@ -140,13 +142,19 @@ def _addressee(m: re.Match) -> str:
 
 def street_of(words: list[tuple[str, bool]]) -> tuple[str, str]:
     """(stem, kind) of a street's words, each with whether a full stop followed."""
-    kind, stem = "", []
+    return tokens_of(words)[:2]
+
+
+def tokens_of(words: list[tuple[str, bool]]) -> tuple[str, str, tuple[str, ...]]:
+    """(stem, kind, tokens) of a street's words; parts of a hyphened word are tokens of their own."""
+    kind, stem, tokens = "", [], []
     for w, dot in words:
         bare = squeeze(w)
         if bare in _KIND and not kind and (len(bare) > 1 or dot or len(words) > 1):
             kind = _KIND[bare]
         elif bare and bare not in LINKS:
             stem.append((bare, dot))
+            tokens += [b for part in re.split(r"[-–]", w) if (b := squeeze(part)) and b not in LINKS]
     if not kind and stem:
         last, dot = stem[-1]
         for end, k in _ENDS:
@@ -156,11 +164,21 @@ def street_of(words: list[tuple[str, bool]]) -> tuple[str, str]:
         else:
             if dot and last[-1] in DOTTED_ENDS and len(last) > 4:
                 kind, stem[-1] = DOTTED_ENDS[last[-1]], (last[:-1], False)
-    return squeeze("".join(w for w, _ in stem)), kind
+        # the last token loses the kind of street as the stem did
+        cut = len(last) - len(stem[-1][0])
+        if cut and tokens:
+            tokens[-1:] = [tokens[-1][:-cut]] if len(tokens[-1]) > cut else []
+    return squeeze("".join(w for w, _ in stem)), kind, tuple(tokens)
 
 
 def parse(text: str | None, towns: Towns) -> tuple[str, str, str, str, str] | None:
     """(town, postcode, number, stem, kind) of an address with a street and a number, else None. Missing parts are empty."""
+    got = parse_tokens(text, towns)
+    return got[:5] if got else None
+
+
+def parse_tokens(text: str | None, towns: Towns) -> tuple[str, str, str, str, str, tuple[str, ...]] | None:
+    """As ``parse``, with the street's tokens."""
     if not text or not text.strip():
         return None
     t = fold(text.replace("\n", " , ")).replace("/", " / ").replace("c / o", "c/o")
@@ -174,11 +192,11 @@ def parse(text: str | None, towns: Towns) -> tuple[str, str, str, str, str] | No
     posts = _POST.findall(t)
     t = _POST.sub(" , ", t)
     houses = [m for m in _HOUSE.finditer(t)]
-    if not houses:
-        return None
-    house = houses[0]
-    number = house[1].lstrip("0") + (house[2] or "")
-    t = _NUMBER_WORD.sub(" ", t[: house.start()] + " # " + t[house.end():])
+    number = ""
+    if houses:
+        house = houses[0]
+        number = house[1].lstrip("0") + (house[2] or "")
+        t = _NUMBER_WORD.sub(" ", t[: house.start()] + " # " + t[house.end():])
     parts = []
     for seg in re.split(r"[,;|]|\s[-–]\s", t):
         words = [(m[1], bool(m[2])) for m in re.finditer(r"([^\s.]+)(\.?)", seg)]
@@ -229,46 +247,92 @@ def parse(text: str | None, towns: Towns) -> tuple[str, str, str, str, str] | No
         named = [p for p in pools if street_of([w for w in p if w[0] != "#"])[1]]
         rest = [p for p in pools if any(len(w) > 3 for w, _ in p)]
         street = (named or rest or [[]])[0]
-    stem, kind = street_of([w for w in street if w[0] != "#"])
-    if len(stem) < 3:
+    words = [w for w in street if w[0] != "#"]
+    stem, kind, tokens = tokens_of(words)
+    if not houses or len(stem) < 3:
         return None
-    return town, posts[0] if posts else "", number, stem, kind
+    return town, posts[0] if posts else "", number, stem, kind, tokens
 
 
 def _parsed(distinct: DataFrame, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         towns = Towns(names)
         for pdf in batches:
-            got = [parse(a, towns) for a in pdf["address"]]
-            rows = [(a, *g) for a, g in zip(pdf["address"], got) if g]
-            yield pd.DataFrame(rows, columns=["address", "town", "post", "number", "stem", "kind"])
-
-    return distinct.mapInPandas(run, "address string, town string, post string, number string, stem string, kind string")
+            got = [parse_tokens(a, towns) for a in pdf["address"]]
+            rows = [(a, *g[:5], " ".join(g[5])) for a, g in zip(pdf["address"], got) if g]
+            yield pd.DataFrame(rows, columns=["address", "town", "post", "number", "stem", "kind", "tokens"])
+
+    return distinct.mapInPandas(run, "address string, town string, post string, number string, stem string, kind string, tokens string")
+
+
+def _like(x: str, y: str) -> int:
+    """Letters of the longer token that the shorter stands for: all within the allowed edits or for an initial, else 0."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) == 1:
+        return len(y) if x == y[0] else 0
+    most = allowed(len(x))
+    return len(y) if edits(x, y, most) <= most else 0
+
+
+def _best(like: list[list[int]]) -> list[int]:
+    """The column of each row in the one-to-one assignment with the greatest sum; at most as many rows as columns (Hungarian method)."""
+    n, m = len(like), len(like[0])
+    u, v, row, way = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], j = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row[j]:
+            used[j], at, delta, to = True, row[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    if (c := -like[at - 1][k - 1] - u[at] - v[k]) < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            row[j], j = row[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row[k]:
+            out[row[k] - 1] = k - 1
+    return out
 
 
 def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """The best one-to-one assignment of two short lists of components, as the mean likeness of the shorter list's."""
+    """The share of the longer list's letters in the best one-to-one assignment of two lists of tokens; 0 if a token of the shorter has no partner, or none of three letters has."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0.0
-    like = [[1 - edits(x, y, 3) / max(len(x), len(y), 1) if x and y else 0.0 for y in b] for x in a]
-    return max(sum(like[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b)), len(a))) / len(a)
+    like = [[_like(x, y) for y in b] for x in a]
+    pairs = list(enumerate(_best(like)))
+    if any(not like[i][j] for i, j in pairs) or not any(min(len(a[i]), len(b[j])) > 2 for i, j in pairs):
+        return 0.0
+    found = sum(like[i][j] for i, j in pairs)
+    return found / (found + sum(len(y) for j, y in enumerate(b) if j not in {k for _, k in pairs}))
 
 
 def _same(a: tuple, b: tuple) -> bool:
-    """Whether two parsed locations of one block and number are one: near street stems, no conflict of street kinds."""
-    (stem_a, kind_a), (stem_b, kind_b) = a, b
+    """Whether two parsed locations of one block and number are one: near street stems or tokens that can be assigned, no conflict of street kinds."""
+    (stem_a, kind_a, tokens_a), (stem_b, kind_b, tokens_b) = a, b
     if kind_a and kind_b and kind_a != kind_b:
         return False
     most = min(allowed(len(stem_a)), allowed(len(stem_b)))
-    return edits(stem_a, stem_b, most) <= most and assigned((stem_a, kind_a) if kind_a and kind_b else (stem_a,), (stem_b, kind_b) if kind_a and kind_b else (stem_b,)) >= 0.7
+    return edits(stem_a, stem_b, most) <= most or len(tokens_a) + len(tokens_b) > 2 and assigned(tokens_a, tokens_b) >= ASSIGNED
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [_same((a, b), (c, d)) for a, b, c, d in zip(pdf["stem_a"], pdf["kind_a"], pdf["stem_b"], pdf["kind_b"])]
+            keep = [_same((a, b, tuple(x.split())), (c, d, tuple(y.split()))) for a, b, x, c, d, y in zip(pdf["stem_a"], pdf["kind_a"], pdf["tokens_a"], pdf["stem_b"], pdf["kind_b"], pdf["tokens_b"])]
             yield pdf.loc[keep, ["loc_a", "loc_b"]]
 
     return pairs.mapInPandas(run, "loc_a long, loc_b long")
@@ -285,7 +349,7 @@ def _neighbourhood(stem: Column) -> Column:
 
 
 def locations(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFrame:
-    """(key, address, block, number, stem, kind) of the rows whose address has a street and a number.
+    """(key, address, block, number, stem, kind, tokens) of the rows whose address has a street and a number.
 
     The block is the town; where only a postcode is given it is the town that most addresses of that postcode, else of
     its longest known beginning, name; where neither helps, the postcode itself or nothing.
@@ -305,27 +369,29 @@ def locations(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFr
         top = top.select("begin", F.col("m.town").alias(f"by{n}"))
         maps = (maps if maps is not None else parsed).withColumn("begin", F.concat(F.length("post"), F.lit(":"), beginning)).join(top, "begin", "left").drop("begin")
     block = F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("by6", "by4", "by3", F.concat(F.lit("#"), "post")))
-    places = maps.select("address", block.alias("block"), "number", "stem", "kind")
-    return skew_join(rows, places, "address").select(F.col("id").alias(key), "address", "block", "number", "stem", "kind")
+    places = maps.select("address", block.alias("block"), "number", "stem", "kind", "tokens")
+    return skew_join(rows, places, "address").select(F.col("id").alias(key), "address", "block", "number", "stem", "kind", "tokens")
 
 
 def same_location(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFrame:
     """(key_a, key_b), smaller first, each once: different keys with an address at the same location.
 
-    Same block (town), same house number (a hard veto), near street stems and no two different kinds of street.
-    Candidates come from a deletion-neighbourhood index of the stems inside (block, number); addresses that parse alike
+    Same block (town), same house number (a hard veto), no two different kinds of street, and near street stems or tokens
+    that can be assigned to each other, initials and missing ones allowed. Candidates come from a deletion-neighbourhood
+    index of the stems and of the tokens of three letters inside (block, number); addresses that parse alike
     are one location while compared. Floors, buildings, boxes and addressees are left out before. Null and empty
     addresses and those without a street and number denote no location, unless two with a street are equal.
     """
     rows = stored(locations(df, key, address, towns), "located")
-    spot = ["block", "number", "stem", "kind"]
+    spot = ["block", "number", "stem", "kind", "tokens"]
     locs = rows.select(*spot).distinct().withColumn("loc", F.xxhash64(*spot))
     locs = stored(locs, "locations")
-    keyed = locs.select("loc", "stem", "kind", F.explode(F.transform(_neighbourhood(F.col("stem")), lambda h: F.xxhash64("block", "number", h))).alias("k"))
-    small = keyed.select("k", "loc")
+    parts = F.array_distinct(F.concat(F.array("stem"), F.filter(F.split("tokens", " "), lambda t: F.length(t) > 2)))
+    words = locs.select("loc", "block", "number", F.explode(parts).alias("word"))
+    small = words.select(F.explode(F.transform(_neighbourhood(F.col("word")), lambda h: F.xxhash64("block", "number", h))).alias("k"), "loc").distinct()
     cand = small.toDF("k", "loc_a").join(small.toDF("k", "loc_b"), "k").where("loc_a < loc_b").select("loc_a", "loc_b").distinct()
-    cand = cand.join(locs.select(F.col("loc").alias("loc_a"), F.col("stem").alias("stem_a"), F.col("kind").alias("kind_a")), "loc_a")
-    cand = cand.join(locs.select(F.col("loc").alias("loc_b"), F.col("stem").alias("stem_b"), F.col("kind").alias("kind_b")), "loc_b")
+    cand = cand.join(locs.select(F.col("loc").alias("loc_a"), F.col("stem").alias("stem_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("tokens_a")), "loc_a")
+    cand = cand.join(locs.select(F.col("loc").alias("loc_b"), F.col("stem").alias("stem_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tokens_b")), "loc_b")
     linked = _verified(cand).unionByName(locs.select(F.col("loc").alias("loc_a"), F.col("loc").alias("loc_b")))
     member = rows.select(F.col(key).alias("id"), F.xxhash64(*spot).alias("loc")).distinct()
     both = linked.join(member.toDF("ia", "loc_a"), "loc_a").join(member.toDF("ib", "loc_b"), "loc_b").where("ia <> ib AND (loc_a <> loc_b OR ia < ib)")

@@ -44,6 +44,14 @@ def test_same_location(spark):
     assert addresses.same_location(t.limit(0), "person_id", "person_address", g).count() == 0
 
 
+def test_same_location_by_tokens(spark):
+    """Initials, exchanged and missing words of a street; other first names, initials and qualifiers are other streets."""
+    places = ["Jean Moulin 12, Bokruano", "J. Moulin 12, Bokruano", "Moulin Jean 12, Bokruano", "Paul Moulin 12, Bokruano", "Karl Lueger Ring 5, Bokruano", "K. Lueger Ring 5, Bokruano", "Lueger Ring 5, Bokruano", "Alte Post 5, Bokruano", "Post 5, Bokruano"]
+    t = spark.createDataFrame(list(enumerate(places)), "k long, a string")
+    g = spark.createDataFrame([(x,) for x in TOWNS], "city string")
+    assert sorted(tuple(r) for r in addresses.same_location(t, "k", "a", g).collect()) == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 6)]
+
+
 def test_edits_against_brute_force():
     rng = random.Random(3)
     for _ in range(300):
