@@ -174,13 +174,14 @@ def tokens_of(words: list[tuple[str, bool]]) -> tuple[str, str, tuple[str, ...]]
 def parse(text: str | None, towns: Towns) -> tuple[str, str, str, str, str] | None:
     """(town, postcode, number, stem, kind) of an address with a street and a number, else None. Missing parts are empty."""
     got = parse_tokens(text, towns)
-    return got[:5] if got else None
+    return got[:5] if got and got[3][:1] != "=" else None
 
 
 def parse_tokens(text: str | None, towns: Towns) -> tuple[str, str, str, str, str, tuple[str, ...]] | None:
-    """As ``parse``, with the street's tokens."""
+    """As ``parse``, with the street's tokens. An address that has a street but cannot be parsed has only a stem: = and its folded text."""
     if not text or not text.strip():
         return None
+    whole = ("", "", "", "=" + " ".join(fold(text).split()), "", ())
     t = fold(text.replace("\n", " , ")).replace("/", " / ").replace("c / o", "c/o")
     t = re.sub(r"\bc / (?=[a-z])", "calle ", t)
     t = _TO.sub(_addressee, _ALONE.sub(" , ", t))
@@ -250,7 +251,8 @@ def parse_tokens(text: str | None, towns: Towns) -> tuple[str, str, str, str, st
     words = [w for w in street if w[0] != "#"]
     stem, kind, tokens = tokens_of(words)
     if not houses or len(stem) < 3:
-        return None
+        letters = sum(c.isalpha() for w, _ in words for c in w if squeeze(w) not in _KIND)
+        return whole if kind and letters > 1 or houses and letters > 2 else None
     return town, posts[0] if posts else "", number, stem, kind, tokens
 
 
@@ -349,7 +351,7 @@ def _neighbourhood(stem: Column) -> Column:
 
 
 def locations(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFrame:
-    """(key, address, block, number, stem, kind, tokens) of the rows whose address has a street and a number.
+    """(key, address, block, number, stem, kind, tokens) of the rows whose address has a street; without a number that can be read, the stem is = and the folded text.
 
     The block is the town; where only a postcode is given it is the town that most addresses of that postcode, else of
     its longest known beginning, name; where neither helps, the postcode itself or nothing.
@@ -380,14 +382,14 @@ def same_location(df: DataFrame, key: str, address: str, towns: DataFrame) -> Da
     that can be assigned to each other, initials and missing ones allowed. Candidates come from a deletion-neighbourhood
     index of the stems and of the tokens of three letters inside (block, number); addresses that parse alike
     are one location while compared. Floors, buildings, boxes and addressees are left out before. Null and empty
-    addresses and those without a street and number denote no location, unless two with a street are equal.
+    addresses and those without a street and number denote no location, unless two with a street are equal but for case, accents and spaces.
     """
     rows = stored(locations(df, key, address, towns), "located")
     spot = ["block", "number", "stem", "kind", "tokens"]
     locs = rows.select(*spot).distinct().withColumn("loc", F.xxhash64(*spot))
     locs = stored(locs, "locations")
     parts = F.array_distinct(F.concat(F.array("stem"), F.filter(F.split("tokens", " "), lambda t: F.length(t) > 2)))
-    words = locs.select("loc", "block", "number", F.explode(parts).alias("word"))
+    words = locs.where(~F.col("stem").startswith("=")).select("loc", "block", "number", F.explode(parts).alias("word"))
     small = words.select(F.explode(F.transform(_neighbourhood(F.col("word")), lambda h: F.xxhash64("block", "number", h))).alias("k"), "loc").distinct()
     cand = small.toDF("k", "loc_a").join(small.toDF("k", "loc_b"), "k").where("loc_a < loc_b").select("loc_a", "loc_b").distinct()
     cand = cand.join(locs.select(F.col("loc").alias("loc_a"), F.col("stem").alias("stem_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("tokens_a")), "loc_a")

@@ -52,6 +52,14 @@ def test_same_location_by_tokens(spark):
     assert sorted(tuple(r) for r in addresses.same_location(t, "k", "a", g).collect()) == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 6)]
 
 
+def test_equal_texts_with_a_street(spark):
+    """Streets without a number, of two letters or in another script match by equal texts; towns and fillers don't."""
+    places = ["Via Po 12, Bokruano", "VIA PO  12, Bokruano", "улица Ленина 5, Bokruano", "улица Ленина 5, Bokruano", "Hauptstraße, Bokruano", "Hauptstraße, Bokruano", "Bokruano 12", "Bokruano 12", "Zone Industrielle, Bokruano", "Zone Industrielle, Bokruano", "?", "?"]
+    t = spark.createDataFrame(list(enumerate(places)), "k long, a string")
+    g = spark.createDataFrame([(x,) for x in TOWNS], "city string")
+    assert sorted(tuple(r) for r in addresses.same_location(t, "k", "a", g).collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
 def test_edits_against_brute_force():
     rng = random.Random(3)
     for _ in range(300):
