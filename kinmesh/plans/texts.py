@@ -143,6 +143,24 @@ def word_pairs(spark, d):
     return a.join(b.join(rare, "w", "left_semi"), "w").select("person_id", "han_id", "a", "b").distinct()
 
 
+def spread(a, b, key, most=200_000):
+    """Equi-join that stays spread over as many partitions as cores have use for, since few rows give many pairs; a key that would give over ``most`` pairs has the rows of ``a`` dealt into parts, and those of ``b`` repeated in each."""
+    n = a.groupBy(key).agg(F.count("*").alias("na")).join(b.groupBy(key).agg(F.count("*").alias("nb")), key)
+    n = n.select(key, F.least("na", F.ceil(F.col("na") * F.col("nb") / F.lit(most))).cast("long").alias("parts"))
+    a = a.withColumn("part", F.xxhash64(*a.columns)).join(n, key).withColumn("part", F.pmod("part", "parts")).drop("parts")
+    b = b.join(n, key).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    slots = a.sparkSession.sparkContext.defaultParallelism * 8  # a given number, else small inputs end in one task
+    return a.repartition(slots, key, "part").join(b.repartition(slots, key, "part").hint("merge"), [key, "part"]).drop("part")
+
+
+def all_word_pairs(spark, d):
+    """Every pair of names with any word in common, once: at the least common word, so that no pairs are shuffled to be told apart."""
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    a = names(spark, d).select("person_id", F.lower("person_name").alias("a")).distinct().withColumn("wa", words("a")).withColumn("w", F.explode("wa"))
+    b = table(spark, d, "han_name").select(F.col("HAN_ID").alias("han_id"), F.lower("Person_name_clean").alias("b")).where("b IS NOT NULL").distinct().withColumn("wb", words("b")).withColumn("w", F.explode("wb"))
+    return spread(a, b, "w").where(F.col("w") == F.array_min(F.array_intersect("wa", "wb"))).select("person_id", "han_id", "a", "b")
+
+
 WP = f"""{N}, a AS (SELECT person_id, lower(person_name) AS a, unnest(list_distinct(string_split(lower(person_name), ' '))) AS w FROM n),
   b AS (SELECT han_id, b, unnest(list_distinct(string_split(b, ' '))) AS w FROM (SELECT DISTINCT HAN_ID AS han_id, lower(Person_name_clean) AS b FROM han_name WHERE Person_name_clean IS NOT NULL)),
   r AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 10), wp AS (SELECT DISTINCT person_id, han_id, a.a, b.b FROM a JOIN b USING (w) JOIN r USING (w) WHERE length(w) > 6)"""
@@ -158,9 +176,21 @@ def char_jaccard(spark, d):
     return word_pairs(spark, d).select("person_id", "han_id", sim.char_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
+@query()
+def word_jaccard_all(spark, d):
+    """``word_jaccard`` without its cuts, which the SQL has too."""
+    return all_word_pairs(spark, d).select("person_id", "han_id", sim.word_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+
+
+@query()
+def char_jaccard_all(spark, d):
+    """``char_jaccard`` without its cuts, which the SQL has too."""
+    return all_word_pairs(spark, d).select("person_id", "han_id", sim.char_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+
+
 @query()
 def lcs_ratio_pairs(spark, d):
-    return word_pairs(spark, d).select("person_id", "han_id", F.round(sim.indel_ratio("a", "b"), 6).alias("ratio"), F.round(sim.affine_gap_distance("a", "b"), 6).alias("affine"))
+    return all_word_pairs(spark, d).select("person_id", "han_id", F.round(sim.indel_ratio("a", "b"), 6).alias("ratio"), F.round(sim.affine_gap_distance("a", "b"), 6).alias("affine"))
 
 
 @query("""WITH s AS (SELECT record_id, list_distinct(list_filter(list_transform(Coauthor, lambda v: lower(trim(v))), lambda v: v IS NOT NULL AND v <> '')) AS s FROM patstat_dedupe_input), x AS (SELECT record_id, s FROM s WHERE len(s) > 0),
