@@ -207,6 +207,19 @@ def tfidf_cosine(spark, d):
     return sim.set_cosine(p, sets, "record_id", "coauthor").withColumn("cosine", F.round("cosine", 6))
 
 
+@query()
+def tfidf_cosine_all(spark, d):
+    """``tfidf_cosine`` of all pairs that share any value, also one of more than 20 records, which the SQL leaves out."""
+    sets = pairs.records(table(spark, d, "patstat_dedupe_input")).where(F.size("coauthor") > 0).select("record_id", "coauthor")
+    long = sets.select("record_id", F.explode("coauthor").alias("v"))
+    idf = sim.document_frequency(sets, "coauthor").select(F.col("value").alias("v"), "idf")
+    w = long.join(idf, "v")
+    w = w.join(w.groupBy("record_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm")), "record_id")
+    met = spread(w.select(F.col("record_id").alias("record_id_a"), "v", "idf", F.col("norm").alias("na")), w.select(F.col("record_id").alias("record_id_b"), "v", F.col("norm").alias("nb")), "v").where("record_id_a < record_id_b")
+    dot = met.groupBy("record_id_a", "record_id_b", "na", "nb").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
+    return dot.select("record_id_a", "record_id_b", F.round(F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)), 6).alias("cosine"))
+
+
 @query("""WITH g AS (SELECT city, country, lat, lng FROM gazetteer) SELECT a.city AS city_a, b.city AS city_b, round(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2), 1.0))), 4) AS km
   FROM g a JOIN g b ON a.country = b.country AND a.city < b.city""")
 def haversine_pairs(spark, d):

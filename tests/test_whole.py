@@ -1,5 +1,8 @@
 """Queries that once looked at a part of their pairs only, against brute force on fixtures."""
 
+import math
+from collections import Counter
+
 import pytest
 
 from kinmesh.plans import texts
@@ -30,3 +33,15 @@ def test_pairs_with_common_and_short_words(spark, tables):
         assert sorted((r["person_id"], r["han_id"]) for r in q(spark, "").collect()) == want
     parts = texts.spread(spark.createDataFrame([(1, x) for x in range(30)], "k long, x long"), spark.createDataFrame([(1, y) for y in range(20)], "k long, y long"), "k", most=50)
     assert sorted((r["x"], r["y"]) for r in parts.collect()) == [(x, y) for x in range(30) for y in range(20)]
+
+
+def test_cosine_with_frequent_values(spark, tables):
+    """Pairs whose only common value is held by more than 20 records have a row."""
+    sets = {i: {"hot", f"own{i % 7}"} if i < 25 else {f"x{i}", "own1"} for i in range(30)}
+    schema = "record_id long, Person long, country string, Name string, Coauthor array<string>, Class array<string>, Lat double, Lng double, patent_ct int"
+    tables(patstat_dedupe_input=([(i, i, "de", "n", sorted(s), [], None, None, 1) for i, s in sets.items()], schema))
+    n = Counter(v for s in sets.values() for v in s)
+    dot = lambda vs: sum(math.log(len(sets) / n[v]) ** 2 for v in vs)
+    want = {(a, b): round(dot(sets[a] & sets[b]) / math.sqrt(dot(sets[a]) * dot(sets[b])), 5) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = {(r[0], r[1]): round(r[2], 5) for r in texts.tfidf_cosine_all(spark, "").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want) and (0, 1) in got
