@@ -177,7 +177,7 @@ def split_multi_names(c: Column, sep: str = ",") -> Column:
     return F.when((F.size(parts) > 1) & ~single, parts).when(c.isNotNull(), F.array(c))
 
 
-NUMBER = r"(?<=\w)\s+[0-9]{2,}\s+(?=\w)"
+NUMBER = r"(?<=[\p{L}\p{M}\p{N}_])\s+[0-9]{2,}\s+(?=[\p{L}\p{N}_])"
 
 
 def parse_name(c: Column) -> Column:
@@ -200,8 +200,8 @@ def country_tail(c: Column) -> Column:
 
 def split_at_comma(c: Column) -> Column:
     """struct(name, address): split at the second comma from the end; without two commas the address is null."""
-    head = F.regexp_extract(c, r"^(.*?)(,[^,]*,[^,]*)$", 1)
-    tail = F.regexp_extract(c, r"^(.*?),([^,]*,[^,]*)$", 2)
+    head = F.regexp_extract(c, r"(?s)^(.*?)(,[^,]*,[^,]*)\z", 1)
+    tail = F.regexp_extract(c, r"(?s)^(.*?),([^,]*,[^,]*)\z", 2)
     return F.struct(F.when(tail != "", head).otherwise(c).alias("name"), F.when(tail != "", F.trim(tail)).alias("address"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from kinmesh.functions import rules, text
@@ -28,13 +30,18 @@ def names(spark, d):
     return leuven(spark, d).select("person_id", "person_name").where("person_name IS NOT NULL")
 
 
+def readable(c, only_ascii, least=0):
+    """Rows with at least ``least`` letters in a column; of printable ASCII only where SQL, which reads other signs differently, is to agree."""
+    return F.col(c).rlike(f"^[ -~]{{{least},}}$") if only_ascii else F.length(c) >= least
+
+
 N = "n AS (SELECT person_id, person_name FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_name IS NOT NULL)"
 PLAIN = "lower(trim(regexp_replace(regexp_replace({c}, '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
 @query(f"WITH {N} SELECT person_id, upper(regexp_replace(person_name, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS name, {PLAIN.format(c='person_name')} AS plain FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def clean_case_space(spark, d):
-    t = names(spark, d).where(F.col("person_name").rlike("^[ -~]*$"))
+def clean_case_space(spark, d, only_ascii=True):
+    t = names(spark, d).where(readable("person_name", only_ascii, 0))
     return t.select("person_id", text.stdize_case(text.single_space(F.col("person_name"))).alias("name"), text.punctuation_to_space(F.col("person_name")).alias("plain"))
 
 
@@ -43,9 +50,9 @@ _AND = ", ".join(f"'{w}'" for w in rules.AND_WORDS)
 
 @query(f"""WITH {N}, t AS (SELECT person_id, string_split(regexp_replace(upper(person_name), '\\s+', ' ', 'g'), ' ') AS w FROM n WHERE regexp_matches(person_name, '^[ -~]*$'))
   SELECT person_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND i < len(w) AND x IN ({_AND}) THEN '&' ELSE x END), ' ') AS name FROM t""")
-def clean_ampersand(spark, d):
+def clean_ampersand(spark, d, only_ascii=True):
     """The word for "and" of many languages between two spaces becomes &."""
-    return names(spark, d).where(F.col("person_name").rlike("^[ -~]*$")).select("person_id", text.ampersand(text.single_space(F.upper("person_name"))).alias("name"))
+    return names(spark, d).where(readable("person_name", only_ascii, 0)).select("person_id", text.ampersand(text.single_space(F.upper("person_name"))).alias("name"))
 
 
 @query()
@@ -63,8 +70,8 @@ def clean_full_chain(spark, d):
 
 
 @query(f"WITH {N} SELECT person_id, " + "upper(person_name)" + " AS full_name, array_to_string(regexp_extract_all(upper(person_name), '" + rules.legal_pattern() + "'), '**') AS legal_ids FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def legal_ids(spark, d):
-    t = names(spark, d).where(F.col("person_name").rlike("^[ -~]*$"))
+def legal_ids(spark, d, only_ascii=True):
+    t = names(spark, d).where(readable("person_name", only_ascii, 0))
     return t.select("person_id", F.upper("person_name").alias("full_name"), text.legal_ids(F.upper("person_name")).alias("legal_ids"))
 
 
@@ -85,8 +92,8 @@ def sorted_classes(spark, d):
 
 
 @query(f"WITH {N} SELECT person_id, trim(regexp_replace(array_to_string(list_sort(list_filter(string_split(person_name, ' '), lambda t: length(t) >= 2)), ' '), '[,.]', '', 'g')) AS key FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def sorted_name_key(spark, d):
-    return names(spark, d).where(F.col("person_name").rlike("^[ -~]*$")).select("person_id", text.sort_name(F.col("person_name")).alias("key"))
+def sorted_name_key(spark, d, only_ascii=True):
+    return names(spark, d).where(readable("person_name", only_ascii, 0)).select("person_id", text.sort_name(F.col("person_name")).alias("key"))
 
 
 @query(f"""WITH {N}, p AS (SELECT person_id, person_name, string_split(person_name, ',') AS parts FROM n),
@@ -100,21 +107,21 @@ def split_multi_name(spark, d):
 @query("""WITH a AS (SELECT person_id, lower(person_address) AS addr FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address IS NOT NULL AND regexp_matches(person_address, '^[ -~]*$'))
   SELECT person_id, regexp_extract(addr, '^(.*?\\w)\\s+[0-9]{2,}\\s+\\w', 1) AS name, addr LIKE '% gb' AS is_gb,
   regexp_matches(right(addr, CAST(ceil(length(addr) / 2) AS INT)), '[0-9]{2,}') AS late_number FROM a WHERE regexp_matches(addr, '\\w\\s+[0-9]{2,}\\s+\\w')""")
-def parse_name_address(spark, d):
-    t = leuven(spark, d).where(F.col("person_address").rlike("^[ -~]*$")).select("person_id", F.lower("person_address").alias("addr"))
+def parse_name_address(spark, d, only_ascii=True):
+    t = leuven(spark, d).where(readable("person_address", only_ascii, 0)).select("person_id", F.lower("person_address").alias("addr"))
     return t.where(text.parse_name(F.col("addr"))["address"].isNotNull()).select("person_id", text.parse_name(F.col("addr"))["name"].alias("name"), F.col("addr").endswith(" gb").alias("is_gb"), text.has_late_number(F.col("addr")).alias("late_number"))
 
 
 @query("SELECT person_id, CASE WHEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) <> '' THEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) END AS country, regexp_replace(lower(person_address), '\\s[a-z]{2}$', '') AS rest FROM (SELECT DISTINCT * FROM leuven_name) WHERE regexp_matches(person_address, '^[ -~]+$')")
-def country_tails(spark, d):
-    t = leuven(spark, d).where(F.col("person_address").rlike("^[ -~]+$")).select("person_id", text.country_tail(F.lower("person_address")).alias("c"))
+def country_tails(spark, d, only_ascii=True):
+    t = leuven(spark, d).where(readable("person_address", only_ascii, 1)).select("person_id", text.country_tail(F.lower("person_address")).alias("c"))
     return t.select("person_id", "c.country", "c.rest")
 
 
 @query("SELECT person_id, CASE WHEN len(string_split(person_address, ',')) > 2 THEN array_to_string(string_split(person_address, ',')[:-3], ',') ELSE person_address END AS name, CASE WHEN len(string_split(person_address, ',')) > 2 THEN trim(array_to_string(string_split(person_address, ',')[-2:], ',')) END AS address FROM (SELECT DISTINCT * FROM leuven_name) WHERE regexp_matches(person_address, '^[ -~]+$')")
-def comma_split(spark, d):
+def comma_split(spark, d, only_ascii=True):
     """Split at the second comma from the end."""
-    t = leuven(spark, d).where(F.col("person_address").rlike("^[ -~]+$")).select("person_id", text.split_at_comma(F.col("person_address")).alias("c"))
+    t = leuven(spark, d).where(readable("person_address", only_ascii, 1)).select("person_id", text.split_at_comma(F.col("person_address")).alias("c"))
     return t.select("person_id", "c.name", "c.address")
 
 
@@ -360,9 +367,9 @@ def multi_name_rows(spark, d):
 
 
 @query("SELECT DISTINCT person_id, CASE WHEN len(string_split(person_name, ',')) > 2 AND (person_address IS NULL OR person_address = '') THEN array_to_string(string_split(person_name, ',')[:-3], ',') ELSE person_name END AS name FROM leuven_name WHERE person_name IS NOT NULL AND regexp_matches(person_name, '^[ -~]*$')")
-def addresses_in_names(spark, d):
+def addresses_in_names(spark, d, only_ascii=True):
     """Names without an address that hold two commas give away what follows the second one from the end."""
-    t = leuven(spark, d).where(F.col("person_name").rlike("^[ -~]*$"))
+    t = leuven(spark, d).where(readable("person_name", only_ascii, 0))
     lacks = F.col("person_address").isNull() | (F.col("person_address") == "")
     return t.select("person_id", F.when(lacks, text.split_at_comma(F.col("person_name"))["name"]).otherwise(F.col("person_name")).alias("name")).distinct()
 
@@ -405,3 +412,8 @@ def sampled_blocks(spark, d):
 def class_breadth(spark, d):
     li, p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("appln_id"), "l_suppkey", "l_partkey"), table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_type", 1, 3).alias("c"))
     return li.join(p, "l_partkey").groupBy("appln_id").agg(F.countDistinct("l_suppkey").alias("persons"), F.countDistinct("c").alias("classes"))
+
+
+# the same over all rows, without SQL
+for _f in (clean_case_space, clean_ampersand, legal_ids, sorted_name_key, parse_name_address, country_tails, comma_split, addresses_in_names):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, only_ascii=False)

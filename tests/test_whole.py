@@ -45,3 +45,18 @@ def test_cosine_with_frequent_values(spark, tables):
     want = {(a, b): round(dot(sets[a] & sets[b]) / math.sqrt(dot(sets[a]) * dot(sets[b])), 5) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     got = {(r[0], r[1]): round(r[2], 5) for r in texts.tfidf_cosine_all(spark, "").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want) and (0, 1) in got
+
+
+def test_names_and_addresses_of_any_script(spark, tables):
+    """Accents, other scripts and line breaks are cleaned as well."""
+    left = [(1, "Müller  und Söhne GmbH", "Gärtnerei Größe 12 Österweg\nGraz at"), (2, "Иван  Петров", "A,\nБ, Graz, AT"), (3, "Öl, Fett, Zoë, AG", None), (4, None, "")]
+    tables(leuven_name=(left, LEUVEN))
+    q = lambda n: {r["person_id"]: r for r in texts.QUERIES[f"{n}_all"](spark, "").collect()}
+    assert {k: (r["name"], r["plain"]) for k, r in q("clean_case_space").items()} == {1: ("MÜLLER UND SÖHNE GMBH", "müller und söhne gmbh"), 2: ("ИВАН ПЕТРОВ", "иван петров"), 3: ("ÖL, FETT, ZOË, AG", "öl fett zoë ag")}
+    assert q("clean_ampersand")[1]["name"] == "MÜLLER & SÖHNE GMBH"
+    assert q("legal_ids").keys() == {1, 2, 3} and "GMBH" in q("legal_ids")[1]["legal_ids"]
+    assert q("sorted_name_key")[2]["key"] == "Иван Петров"
+    assert q("parse_name_address")[1]["name"] == "gärtnerei größe"
+    assert {k: r["country"] for k, r in q("country_tails").items()} == {1: "at", 2: "at"}
+    assert (q("comma_split")[2]["name"], q("comma_split")[2]["address"]) == ("A,\nБ", "Graz, AT")
+    assert q("addresses_in_names")[3]["name"] == "Öl, Fett"
