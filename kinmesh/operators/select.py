@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.operators.skew import skew_join
+from kinmesh.session import stored
+
 
 def hash_sample(df: DataFrame, key: str, n: int, *strata: str) -> DataFrame:
     """The ``n`` rows with the least hashes of ``key``, per stratum if any; the same rows on every run."""
@@ -27,23 +30,14 @@ def stratified_sample(df: DataFrame, column: str, shares: dict, key: str) -> Dat
 
 
 def pair_sample(df: DataFrame, key: str, per_row: int = 10, seed: int = 11) -> DataFrame:
-    """Random pairs, ``per_row`` for each row, without a cross join: every row draws partners by number among all rows."""
-    from pyspark.sql.functions import xxhash64
+    """Random pairs, ``per_row`` for each row, without a cross join: every row draws partners by number among all rows.
 
-    n = df.count()
-    rows = df.select(key).withColumn("h", xxhash64(key))
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    numbered = rows.repartitionByRange(parts, "h", key).sortWithinPartitions("h", key)
-    offsets, total = {}, 0
-    for r in sorted(numbered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect(), key=lambda r: r["p"]):
-        offsets[r["p"]], total = total, total + r["c"]
-    if not offsets:
-        return df.select(F.col(key).alias(f"{key}_a"), F.col(key).alias(f"{key}_b")).limit(0)
-    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    place = F.element_at(start, F.spark_partition_id()) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).cast("int")
-    placed = numbered.select(key, place.alias("i"))
+    The numbered rows are a stored stage, so each number stands for one row in both roles. Null keys and empty tables give no pairs.
+    """
+    placed = number_rows(df.select(key).where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(key)), ["_h", key], "i").select(key, "i")
+    n = placed.count()
     draws = placed.select(F.col(key).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("d"))
-    draws = draws.select("x", F.pmod(xxhash64("x", "d", F.lit(seed)), F.lit(n)).cast("int").alias("i"))
+    draws = draws.select("x", F.pmod(F.xxhash64("x", "d", F.lit(seed)), F.lit(max(n, 1))).alias("i"))
     met = draws.join(placed, "i").where(F.col("x") != F.col(key))
     return met.select(F.least("x", key).alias(f"{key}_a"), F.greatest("x", key).alias(f"{key}_b")).distinct()
 
@@ -65,23 +59,16 @@ def arg_max(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFram
 def sequential_ids(df: DataFrame, record: str, cluster: str, first: str = "after") -> DataFrame:
     """(record, cluster_id): clusters numbered by the first appearance of a record; records without one are clusters of their own.
 
-    ``first``: ``after`` begins with the number of clusters, ``zero`` with 0. Numbers come from counts per range of first
-    records, so no single task orders all clusters.
+    ``first``: ``after`` begins with the number of clusters, ``zero`` with 0. Heads are numbered by ``number_rows``, which stores
+    them before it counts: no single task orders all clusters, and the ids are the same on every run. Hot clusters meet their number in a
+    join that stays spread.
     """
     own = F.coalesce(F.concat(F.lit("c"), F.col(cluster).cast("string")), F.concat(F.lit("r"), F.col(record).cast("string")))
-    rows = df.select(record, own.alias("g"))
+    rows = stored(df.select(record, own.alias("g")), "members")
     heads = rows.groupBy("g").agg(F.min(record).alias("head"))
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    ranged = heads.repartitionByRange(parts, "head").sortWithinPartitions("head").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    sizes, start = {}, 0
-    for r in sorted(ranged.groupBy("p").agg(F.count("*").alias("c")).collect(), key=lambda r: r["p"]):
-        sizes[r["p"]], start = start, start + r["c"]
-    begin = df.where(F.col(cluster).isNotNull()).select(cluster).distinct().count() if first == "after" else 0
-    if not sizes:
-        return df.select(record).limit(0).withColumn("cluster_id", F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("p"))
-    numbered = ranged.select("g", (F.lit(begin) + offset + F.pmod("i", F.lit(1 << 33))).cast("long").alias("cluster_id"))
-    return rows.join(numbered, "g").select(record, "cluster_id")
+    begin = rows.where(F.col("g").startswith("c")).select("g").distinct().count() if first == "after" else 0
+    numbered = number_rows(heads, ["head", "g"], "cluster_id", begin).select("g", "cluster_id")
+    return skew_join(rows, numbered, "g").select(record, "cluster_id")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -95,8 +82,6 @@ def compare_maps(a: DataFrame, b: DataFrame, key: str, id_a: str, id_b: str) ->
 
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Rows numbered from ``start`` in a total order, by counts per range: no single task sorts all rows."""
-    from kinmesh.session import stored
-
     parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     ranged = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
     begins, at = {}, start
