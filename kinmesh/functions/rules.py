@@ -1,62 +1,19 @@
-"""Rule tables for names and addresses, and the engine that folds them into column expressions."""
+"""Rule lists for names and addresses, and the engines that run them. The word tables are in ``tables``."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Rule = tuple[str, str]  # pattern, replacement
+from kinmesh.functions.tables import ABBREVIATIONS, AND_WORDS, LATE_FORMS, LEGAL_FORMS, UK_US
 
-# ---- Fixed values: words for "and" that become &, legal forms in matching order, and spellings. They must equal the
-# ---- published tables for the same results; they are stated as plain text.
-AND_WORDS = "AND EN DHE və ETA и OG KAJ JA AT ET UND AK ES DAN AGUS UN IR SI IN Y NA OCH VE VA SAMT".split()
-LEGAL_FORMS = (
-    "BT,GMBH,PMDN,OYJ,EPE,RT,SGPS,PRC,OHG,RAS,SAS,SPA,KB,GIE,TD,PRP LTD,SNC,DBA,APS,OE,A EN P,EXT,KAS,SCS,OY,SENC,APB,OU,S DE RL,GBR,KOM SRK,HB,EEG,HF,LDC,SK,LDA,PT,LLP,SCA,EE,PTY,"
-    "LLC,LTDA,SCP,PL,SOPARFI,EIRL,GCV,JTD,EV,CA,SA,VOF,SAICA,KKT,AVV,SAPA,SPRL,SPOL SRO,NA,INC,GESMBH,DOO,ACE,KOL SRK,S EN C,KGAA,KDD,GMBH  CO KG,KDA,APS  CO KS,ASA,PMA,NT,DD,NV,TLS,SP ZOO,DNO,"
-    "SRL,CORP,LTD,ELP,EURL,CV,PC LTD,KG,SARL,KD,KK,SP,BV,KS,CVOA,PLC,KV,SC,KY,LTEE,BPK,IBC,DA,BVBA,CVA,KFT,SAFI,EOOD,SA DE CV,S EN NC,AMBA,SDN BHD,AC,AB,AE,AD,AG,IS,ANS,AL,AS,OOD,VOS,VEB,CO"
-).split(",")
-#: Forms that the old pattern could only match after a line break.
-LATE_FORMS = {"SPA", "KAS", "HF", "PL", "AVV", "S EN C", "DD", "PC LTD", "KY", "S EN NC", "OOD"}
-# American spellings whose British form follows from a rule: IZ becomes IS, YZ becomes YS.
-IZE_WORDS = (
-    "ANALYZE FLUIDIZE IMMOBILIZE IONIZE POLARIZE POLYMERIZE UNAUTHORIZE POLYMERIZABLE ANALYZING ANODIZING ATOMIZING CAUTERIZING CRYSTALLIZING DEMAGNETIZING DEODORIZING DEPOLARIZING DEPOLYMERIZING "
-    "EQUALIZING FERTILIZING FLUIDIZING GALVANIZING GRAPHITIZING HOMOGENIZING IMMUNIZING ISOMERIZING LOCALIZING MAGNETIZING MERCERIZING MINIMIZING NEUTRALIZING OXIDIZING OZONIZING PASTEURIZING PULVERIZING RECOGNIZING "
-    "SENSITIZING SUBSIDIZING SYNTHESIZING VULCANIZING CARBONIZATION CAUTERIZATION CYCLIZATION FERTILIZATION IONIZATION MAGNETIZATION MINERALIZATION NEUTRALIZATION OPTIMIZATION POLARIZATION STERILIZATION "
-    "SYNCHRONIZATION FERTILIZER ANALYZER ATOMIZER DESENSITIZER ECONOMIZER NEBULIZER PLASTICIZER STABILIZER VAPORIZER"
-).split()
-OTHER_SPELLINGS = dict(
-    p.split("=")
-    for p in (
-        "AIRPLANE=AEROPLANE,ALUMINUM=ALUMINIUM,ANESTHETIC=ANAESTHETIC,ANESTHETIZING=ANAESTHETISING,ARMORING=ARMOURING,ARMOR=ARMOUR,CALIBER=CALIBRE,CALIPER=CALLIPER,CARBURETOR=CARBURETTOR,CENTERING=CENTRING,METACENTER=METACENTRE,CENTER=CENTRE,"
-        "COLORING=COLOURING,COOKIE=BISCUIT,CROSS-LINKING=CROSSLINKING,DECOLORIZING=DECOLOURISING,DESULFURIZING=DESULFURISING,DIAPER=NAPPY,DIKE=DYKE,DOWNSPOUT=DOWNPIPE,ELEVATOR=LIFT,ENCYCLOPEDIA=ENCYCLOPAEDIA,FIBERGLASS=FIBREGLASS,FIBER=FIBRE,"
-        "FLASHLIGHT=TORCH,FLAVORING=FLAVOURING,GASOLINE=PETROL,GYNECOLOGY=GYNAECOLOGY,HARBOR=HARBOUR,HEMORRHOID=HAEMORRHOID,JEWELRY=JEWELLERY,LAND MINE=LANDMINE,MALLEABLEIZING=MALLEABILISING,MANEUVERING=MANOEUVRING,MATCHETE=MACHETE,"
-        "METALIZING=METALLISING,MITER=MITRE,MOLDING=MOULDING,MOLD=MOULD,MOLLUSK=MOLLUSC,MULTICOLOR=MULTICOLOUR,COLOR=COLOUR,ODOR=ODOUR,PAJAMA=PYJAMA,PARLOR=PARLOUR,PLOWING=PLOUGHING,PRACTICING=PRACTISING,PROGRAM=PROGRAMME,"
-        "PRUNING SHEAR=SECATEUR,SELVAGE=SELVEDGE,STREETCAR=TRAM,SULFATE=SULPHATE,SULFITE=SULPHITE,SULFUR=SULPHUR,TABLETING=TABLETTING,THEATER=THEATRE,TIRE=TYRE,VAPOR=VAPOUR,WINDSHIELD=WINDSCREEN"
-    ).split(",")
-)
-US_UK = {w: w.replace("IZ", "IS").replace("YZ", "YS") for w in IZE_WORDS} | OTHER_SPELLINGS
-
-#: Default abbreviations: the short form and the beginnings or phrases that it stands for, written as patterns. A full
-#: table is a parameter (see ``abbreviation_rules``); an alternative written with \w* covers a word's inflections.
-ABBREVIATIONS: dict[str, str] = {
-    "PLC": "PUBLIC LIMITED COMPANY", "LP": "LIMITED PARTNERSHIP", "PTE LTD": "PRIVATE LIMITED", "LTD": "LIMITED", "INC": r"INCORPORAT(?:ED|ION)", "CORP": r"CORPORAT(?:E|ION)", "CO": r"COMPAN(?:Y|IES)",
-    "GMBH": r"GESELLSCHAFT MIT BESCHRANKTER HAFTUNG|BESCHRANKTER HAFTUNG|GESELLSCHAFT MBH|GESELLSCHAFT MIT", "KGAA": "KOMMANDIT ?GESELLSCHAFT AUF AKTIEN", "KG": "KOMMANDIT ?GESELLSCHAFT", "AG": "AKTIENGESELLSCHAFT", "OHG": "OFFENE HANDELSGESELLSCHAFT", "EV": "EINGETRAGENER VEREIN",
-    "BET-GES": "BETEILIGUNGSGESELLSCHAFT", "VERW GES": "VERWALTUNGSGESELLSCHAFT", "GES": "GESELLSCHAFT", "AB": r"AKTIEBOLAG(?:ET)?", "AS": r"AKTIESELSKAB(?:ET)?|A/S", "APS": r"ANPARTSSELSKAB(?:ET)?", "KB": r"KOMMANDIT ?BOLAG(?:ET)?", "HB": "HANDELS ?BOLAGET",
-    "BV": r"BESLOTEN VENNOOTSCHAP(?: MET)?|BEPERKTE AANSPRAKELIJKHEID", "NV": r"NAAMLO(?:ZE VEN|OSE VE)NOOTSCHAP", "SPRL": "SOCIETE PRIVEE A RESPONSABILITE LIMITEE", "SARL": r"SOCIETE A RESPONS[AI]BILITE LIMITEE", "SRL": "SOCIEDAD DE RESPONSABILIDAD LIMITADA", "SPA": "SOCIETA PER AZIONI",
-    "SAS": "SOCIETA IN ACCOMANDITA SEMPLICE", "SNC": r"SOCIETA IN NOME COLLETTIVO|SOCIETE EN NOM COLLECTIF", "SA": r"SOCIEDAD ANONIMA|SOCIETE ANONYME(?: DITE)?|SA DITE", "LTDA": "LIMITADA", "KK": r"KABUSHIKI ?(?:GAISHA|KAISHA|KAISYA)", "YG": r"YUU?GEN (?:GAISHA|KAISHA|KAISYA)",
-    "US": r"UNITED STATES(?: OF AMERICA)?", "UK": "UNITED KINGDOM", "UNIV": r"UNI[VW]ERS[IY]T\w*|UNIVERSIDAD\w*", "INST": r"INSTITUTE?\w*|INSTITUUT|INSTYTUT", "IST": "ISTITUTO", "MIN": r"MINIST(?:ER|R|ERE|RE)\w*", "ACAD": "ACADEMY", "AKAD": r"AKADEMI\w*",
-    "LAB": r"LABORT?ATOI?R\w*|LABORTORI", "CHEM": r"CHEMI[CIES]\w*", "CHIM": r"CHIMI[CEIKQY]\w*", "PHARM": r"PHARMA[CZ]\w*", "FARM": r"FARMAC\w*", "IND": r"INDUSTRI?\w*", "INT": r"INTERNA[CTZ]ION\w*", "NAT": r"NATIONA(?:UX|AL|LE?)", "NAZ": r"NAZIONAL[EI]",
-    "MFG": r"MANUFACTURINGS?", "MFR": r"MANUFACTUR(?:ERS?|ES?|AS)|MANIFATTUR\w*|MANUFATURA", "RES & DEV": r"RESEARCH (?:&|AND) DEVELOPMENT", "RES": "RESEARCH", "RECH": "RECHERCHES", "DEV": r"DEVELOP\w*", "ENG": "ENGINEERING", "TECH": r"TECHNI\w*|TECHNICAL", "INSTR": r"INSTRUMENT\w*",
-    "CONSTR": r"CONSTRUC[CT]\w*", "COSTR": "COSTRUZIONI", "PRODN": r"PRODU[CKZ]T?IONS?|PRODUZIONI", "PROD": r"PRODU[CKT]T?\w*|PRODOTTI", "ORG": r"ORGANI[SZ]AT\w*|ORGANIZZAZIONE", "ASSOC": r"ASSOCIA\w*", "CENT": r"CENT(?:RAUX|RAA?L\w*|ER|RE|RUM|RO|RUL)", "ZENT": r"ZENTR(?:AL\w*|UM)",
-    "COOP": r"CO-?OPERATI\w*", "MASCHFAB": r"MASCHINENFAB\w*", "MASCHBAU": r"MASCHINENBAU(?:ANSTALT)?", "MASCH": r"MASCHIN(?:ENVERTRIEB|EN)?", "FAB": r"FAB(?:BRIC|RI[CKQ])\w*", "DEPT": r"DEPART[AE]?MENT", "DIV": "DIVISIONE?", "GEN": r"GENERA(?:L\w*|UX)", "EURO": r"EUROP\w+",
-    "DEUT": r"DEUTSCH(?:LAND|E[NRS]?)?", "FR": r"FRANCAISE?", "ITAL": r"ITALI\w*|ITALO|ITALY", "SCHWEIZ": r"SCHWEIZER\w*", "OESTERR": r"OE?STERREICH\w*", "BROS": "BROTHERS", "GEBR": r"GEBR(?:U|UE|O|OE)DERS?", "FRAT": r"FRATELLI|F ?LLI", "CIE": "COMPAGNIE", "CIA": r"COMPANHIA|COMPAGNIA", "SOC": r"SOCI(?:ETA|ETY|EDADE?|ETE)",
-    "ETAB": r"ETABLISSEMENTS?|ETABS|ETS", "ESTAB": r"ESTABLISH?(?:SE)?MENTS?", "EQUIP": r"EQUIP(?:E)?MENTS?", "TELECOM": r"TELECOMM?UNICA\w*", "AGRI": r"AGRICOL\w*|AGRICULTUR\w*", "FOUND": "FOUNDATIONS?", "ING": r"INGENI\w*|INGENJ\w*|INGINERIE", "SCI": r"SCIEN(?:CES?|TIFI\w*)", "PTY": "PROPRIETARY", "KUNST": r"KUNSTSTOFF(?:TECHNIK)?", "MIJ": "MAATSCHAPPIJ",
-}
+Rule = tuple[str, str]  # pattern, replacement
+Words = tuple[tuple[str, tuple[str, ...]], ...]  # (replacement, the texts that it replaces), in order
 
 CONVERT_HTML: list[Rule] = [(r"<\s*BR\s*>", " ")]
 CONVERT_SGML: list[Rule] = [("&AMP;|&OACUTE;|&SECT;|&UACUTE;|&#8902;|&BULL;|&EXCL;", "")]
@@ -67,21 +24,24 @@ LEADING_ASTERISKS: list[Rule] = [(r"^[*]{0,2}", "")]
 AMPERSAND: list[Rule] = [(r"(?<=\s)(?:" + "|".join(AND_WORDS) + r")(?=\s)", "&")]
 
 
-def spelling_rules(table: dict[str, str], back: bool = False) -> list[Rule]:
-    """One rule per spelling, longer words first; ``back``: from British to American."""
-    pairs = [(b, a) if back else (a, b) for a, b in table.items()]
-    return sorted(pairs, key=lambda p: -len(p[0]))
+
+def spelling_words(back: bool = False) -> Words:
+    """American spellings by British ones in the table's order; ``back``: British by American."""
+    if back:
+        return tuple((us, (uk,)) for uk, us in UK_US.items())
+    # the published pattern for FIBERGLASS asks for an E behind it
+    return tuple((uk + "E", (us + "E",)) if us == "FIBERGLASS" else (uk, (us,)) for uk, us in UK_US.items())
 
 
-def abbreviation_rules(table: dict[str, str] | None = None) -> list[Rule]:
-    """One rule per short form; phrases come before single words. Substrings are replaced, with no word boundaries."""
-    rows = [(p, k) for k, p in (ABBREVIATIONS if table is None else table).items()]
-    return sorted(rows, key=lambda r: (" " not in r[0], -len(r[0])))
+def abbreviation_words(table: dict[str, list[str]] | None = None) -> Words:
+    """The short forms in the table's order, the longest text of each first; another table may be given."""
+    return tuple((short, tuple(sorted(texts, key=len, reverse=True))) for short, texts in (ABBREVIATIONS if table is None else table).items())
 
 
-NAME_RULES: list[Rule] = [*AMPERSAND, *CONVERT_SGML, *SINGLE_SPACE, *spelling_rules(US_UK), *abbreviation_rules(), *CLEAN_SYMBOLS, *CONCATENATORS]
-#: Another published order of the same steps.
-TEST_RULES: list[Rule] = [*CONVERT_HTML, *CONVERT_SGML, *CLEAN_SYMBOLS, *CONCATENATORS, *SINGLE_SPACE, *AMPERSAND, *spelling_rules(US_UK), *abbreviation_rules()]
+#: The steps of the name chain, of the coauthor chain, and another published order of the former.
+NAME_STEPS = (AMPERSAND, CONVERT_SGML, SINGLE_SPACE, spelling_words(), abbreviation_words(), CLEAN_SYMBOLS, CONCATENATORS)
+COAUTHOR_STEPS = (AMPERSAND, CONCATENATORS, CONVERT_SGML, SINGLE_SPACE, spelling_words(), abbreviation_words(), LEADING_ASTERISKS)
+TEST_STEPS = (CONVERT_HTML, CONVERT_SGML, CLEAN_SYMBOLS, CONCATENATORS, SINGLE_SPACE, AMPERSAND, spelling_words(), abbreviation_words())
 
 
 def apply_rules(c: Column, rules: list[Rule]) -> Column:
@@ -89,30 +49,64 @@ def apply_rules(c: Column, rules: list[Rule]) -> Column:
     return reduce(lambda col, r: F.regexp_replace(col, r[0], r[1].replace("\\", "\\\\").replace("$", "\\$")), rules, c)
 
 
-def apply_table(c: Column, rules: list[Rule], size: int = 40) -> Column:
-    """The column after every rule of a long table in order, once per distinct value of a batch.
+@lru_cache(maxsize=16)
+def _table(words: Words):
+    """An automaton that finds every text of a table in one pass, with the numbers of the rules that it belongs to, and the rules."""
+    import ahocorasick
+
+    of: dict[str, list[int]] = {}
+    for i, (_, texts) in enumerate(words):
+        for t in texts:
+            of.setdefault(t, []).append(i)
+    auto = ahocorasick.Automaton()
+    for t, ids in of.items():
+        auto.add_word(t, tuple(ids))
+    auto.make_automaton()
+    return auto, [(re.compile("|".join(map(re.escape, texts))), short) for short, texts in words]
+
+
+def replace_words(value: str, words: Words) -> str:
+    """The text after every rule of a table in order; substrings are replaced, with no word boundaries.
 
-    Hundreds of nested expressions would be compiled anew for each row's chain, so a long table runs as one vectorised
-    function. One combined pattern per ``size`` rules decides whether any of them can match.
+    Only rules whose texts stand in the value run; after each the value is searched again, since a rule may make the text of a later one.
     """
+    auto, ready = _table(words)
+    at = 0
+    while due := [i for _, ids in auto.iter(value) for i in ids if i >= at]:
+        at = min(due)
+        pattern, short = ready[at]
+        value = pattern.sub(lambda _, s=short: s, value)
+        at += 1
+    return value
 
-    def run(s: pd.Series) -> pd.Series:
-        parts = [rules[i : i + size] for i in range(0, len(rules), size)]
-        ready = [(re.compile("|".join(f"(?:{p})" for p, _ in part)), [(re.compile(p), r) for p, r in part]) for part in parts]
 
-        def clean(v: str) -> str:
-            for guard, part in ready:
-                if guard.search(v):
-                    for p, r in part:
-                        v = p.sub(lambda _, r=r: r, v)
-            return v
+def apply_words(c: Column, *tables: Words) -> Column:
+    """The column after one or more word tables, once per distinct value of a batch.
+
+    Hundreds of nested expressions would be compiled anew for each chain, so the tables run as one vectorised function.
+    """
 
-        done = {v: clean(v) for v in s.dropna().unique()}
+    def run(s: pd.Series) -> pd.Series:
+        done = {v: reduce(replace_words, tables, v) for v in s.dropna().unique()}
         return s.map(done, na_action="ignore").astype(object).where(s.notna(), None)
 
     return F.pandas_udf(run, T.StringType())(c)
 
 
+def apply_steps(c: Column, steps: tuple) -> Column:
+    """A chain of rule lists (inside the JVM) and word tables; neighbouring tables share one function."""
+    run: list[Words] = []
+    for step in (*steps, None):
+        if isinstance(step, tuple):
+            run.append(step)
+            continue
+        if run:
+            c, run = apply_words(c, *run), []
+        if step is not None:
+            c = apply_rules(c, step)
+    return c
+
+
 def legal_pattern(legacy: bool = False) -> str:
     forms = [f for f in LEGAL_FORMS if not (legacy and f in LATE_FORMS)]
     return "|".join(rf"\b{f}\b" for f in forms)

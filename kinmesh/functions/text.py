@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from html.entities import codepoint2name
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmesh.functions import rules
+from kinmesh.functions import rules, tables
 
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 SEP = "**"
@@ -27,31 +29,51 @@ def remove_diacritics(s: pd.Series) -> pd.Series:
 
 
 def _ascii_table() -> dict[str, str]:
-    """Windows-1252 characters in ASCII: by decomposition, and for the rest the fixed values below."""
-    fixed = dict(zip("€‚ƒ„…†‡ˆ‹Œ‘’“”•–—˜™›œ", ["EUR", ",", "f", ",,", "...", "+", "++", "^", "<", "OE", "'", "'", '"', '"', "*", "-", "--", "~", "(TM)", ">", "oe"]))
-    fixed |= dict(zip("\xa0¡¢£¤¥¦§¨©ª«¬\xad®¯°±²³´µ¶·¸¹º»¼½¾¿", [" ", "!", "c", "GBP", "$", "YEN", "|", "S", "..", "", "(th)", "<<", "!", " ", "(R)", "-", "o", "+-", "2", "3", "'", "u", "P", "*", ",", "1", "(th)", ">>", "1/4", "1/2", "3/4", "?"]))
-    fixed |= dict(zip("ÆÐ×ØÞßæðøþ÷", ["AE", "D", "*", "O", "b", "B", "ae", "o", "o", "b", "/"]))
-    letters = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xC0, 0x100) if chr(i) not in fixed}
-    return letters | {c: unicodedata.normalize("NFD", c)[0] for c in "ŠŽšžŸ"} | fixed
+    """Windows-1252 characters in ASCII: the fixed values, and accented letters by decomposition."""
+    letters = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xC0, 0x100) if chr(i) not in tables.ASCII}
+    return tables.ASCII | letters
 
 
 ASCII = _ascii_table()
+_WINDOWS = {bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
+HTML = {c: a if c in tables.NO_HTML_NAME else f"&{tables.HTML_NAMES.get(c, codepoint2name.get(ord(c), ''))};" for c, a in ASCII.items()}
 
 
-def ascii_fold(c: Column) -> Column:
-    """Windows-1252 text in ASCII: single characters by one translation, those with longer forms by replacement."""
-    one = {k: v for k, v in ASCII.items() if len(v) == 1}
+def _spelled(c: Column, table: dict[str, str]) -> Column:
+    """Characters by a table: those with one character by one translation, the others by replacement. Results hold no character of the table."""
+    one = {k: v for k, v in table.items() if len(v) == 1}
     out = F.translate(c, "".join(one), "".join(one.values()))
-    for k, v in ASCII.items():
-        if len(v) != 1:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    return reduce(lambda o, kv: F.replace(o, F.lit(kv[0]), F.lit(kv[1])), [kv for kv in table.items() if len(kv[1]) != 1], out)
+
+
+def ascii_fold(c: Column, windows_only: bool = False) -> Column:
+    """Windows-1252 text in ASCII; ``windows_only``: only the characters that Latin-1 lacks."""
+    return _spelled(c, {k: v for k, v in ASCII.items() if not windows_only or k in _WINDOWS})
+
+
+@F.pandas_udf(T.StringType())
+def html_fold(s: pd.Series) -> pd.Series:
+    """Windows-1252 text in ASCII with HTML names, once per distinct value of a batch."""
+    table = str.maketrans(HTML)
+    done = {v: v.translate(table) for v in s.dropna().unique()}
+    return s.map(done, na_action="ignore").astype(object).where(s.notna(), None)
+
+
+def plain_quotes(c: Column) -> Column:
+    """The characters that Windows-1252 has and Latin-1 lacks, in ASCII."""
+    return ascii_fold(c, windows_only=True)
 
 
 def decode_latin1(c: Column) -> Column:
+    """Bytes (or a text's bytes) read as Latin-1."""
     return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
+def encode_utf8(c: Column) -> Column:
+    """A text's bytes in UTF-8."""
+    return F.encode(c, "UTF-8")
+
+
 def convert_html(c: Column) -> Column:
     return rules.apply_rules(c, rules.CONVERT_HTML)
 
@@ -69,15 +91,15 @@ def ampersand(c: Column) -> Column:
 
 
 def us_uk(c: Column) -> Column:
-    return rules.apply_table(c, rules.spelling_rules(rules.US_UK))
+    return rules.apply_words(c, rules.spelling_words())
 
 
 def uk_us(c: Column) -> Column:
-    return rules.apply_table(c, rules.spelling_rules(rules.US_UK, back=True))
+    return rules.apply_words(c, rules.spelling_words(back=True))
 
 
-def abbreviate(c: Column, table: dict[str, str] | None = None) -> Column:
-    return rules.apply_table(c, rules.abbreviation_rules(table))
+def abbreviate(c: Column, table: dict[str, list[str]] | None = None) -> Column:
+    return rules.apply_words(c, rules.abbreviation_words(table))
 
 
 def clean_symbols(c: Column) -> Column:
@@ -93,9 +115,18 @@ def leading_asterisks(c: Column) -> Column:
 
 
 def name_chain(c: Column) -> Column:
-    """The rule chain for names, addresses and coauthors, on text in upper case."""
-    c = single_space(convert_sgml(ampersand(c)))
-    return concatenators(clean_symbols(abbreviate(us_uk(c))))
+    """The rule chain for names and addresses, on text in upper case."""
+    return rules.apply_steps(c, rules.NAME_STEPS)
+
+
+def coauthor_chain(c: Column) -> Column:
+    """The rule chain for lists of coauthors: separators first, symbols stay, leading asterisks go."""
+    return rules.apply_steps(c, rules.COAUTHOR_STEPS)
+
+
+def test_chain(c: Column) -> Column:
+    """The steps of the name chain in the other published order, which begins with HTML."""
+    return rules.apply_steps(c, rules.TEST_STEPS)
 
 
 def legal_ids(c: Column, legacy: bool = False) -> Column:

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from kinmesh.functions import rules, text
+from kinmesh.functions import rules, tables, text
 
 
 def one(spark, value, f):
-    return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("o")).first()["o"]
+    return spark.createDataFrame([(value,)], "v binary" if isinstance(value, bytes) else "v string").select(f(F.col("v")).alias("o")).first()["o"]
 
 
 def test_legal_forms(spark):
@@ -56,12 +56,39 @@ def test_rules(spark):
     assert one(spark, "A AND AND B", text.ampersand) == "A & & B"
     assert one(spark, "COLOR MOLDING", text.us_uk) == "COLOUR MOULDING"
     assert one(spark, "COLOUR", text.uk_us) == "COLOR"
-    assert one(spark, "ACME PUBLIC LIMITED COMPANY", text.abbreviate) == "ACME PLC"
+    assert one(spark, "ACME PUBLIC LIMITED COMPANY", text.abbreviate) == "ACME PUBLIC LTD CO"  # file order: COMPANY and LIMITED come before the phrase
     assert one(spark, "A<BR>B", text.convert_html) == "A B"
     assert one(spark, "A &AMP; B", text.convert_sgml) == "A  B"
     assert one(spark, "X-Y, Z.", text.concatenators) == "X Y Z"
     assert one(spark, "**A", text.leading_asterisks) == "A"
-    assert len(rules.US_UK) == 119 and len(rules.LEGAL_FORMS) == 125
+    assert len(tables.UK_US) == 119 and len(tables.LEGAL_FORMS) == 125
+    assert len(tables.ABBREVIATIONS) == 200 and sum(map(len, tables.ABBREVIATIONS.values())) == 697
+
+
+def test_rules_against_a_plain_loop():
+    """The automaton gives what one rule after another gives, also where a rule makes the text of a later one."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = [t for _, ts in rules.abbreviation_words() + rules.spelling_words() for t in ts]
+    for table in (rules.abbreviation_words(), rules.spelling_words(), rules.spelling_words(back=True), (("B", ("A",)), ("C", ("BB", "B")))):
+        for _ in range(300):
+            v = "".join(rng.choice([" ", "", "X"]) + rng.choice(words + ["A", "B"] * 40)[: rng.randrange(1, 40)] for _ in range(5))
+            want = v
+            for short, texts in table:
+                want = re.sub("|".join(map(re.escape, texts)), short, want)
+            assert rules.replace_words(v, table) == want
+
+
+def test_spellings_and_chains(spark):
+    assert one(spark, "FIBERGLASS FIBERGLASSES", text.us_uk) == "FIBREGLASS FIBREGLASSES"
+    assert one(spark, "UNIVERSITAET GRAZ, INSTITUT FOR CHEMIE LIMITED", text.name_chain) == "UNIV GRAZ INST NAT FOR CHEM LTD"
+    assert one(spark, "**A.B AND C** D", text.coauthor_chain) == "A B & C** D"
+    assert one(spark, "A<BR>B, COMPANY", text.test_chain) == "A B CO"
+    assert one(spark, "“Æ” ‰ Ð ‹é", text.html_fold) == "&ldquo;&Aelig;&rdquo; % &Eth; &lt;;&eacute;"
+    assert one(spark, "“é”", text.plain_quotes) == '"é"'
+    assert one(spark, b"M\xfcller", text.decode_latin1) == "Müller" and bytes(one(spark, "ü", text.encode_utf8)) == b"\xc3\xbc"
 
 
 def test_ascii(spark):
