@@ -6,20 +6,20 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmesh.llm.unify import comparable
-from kinmesh.operators.skew import skew_join
 from kinmesh.session import stored
 
 #: Most towns that are sent to the executors; a larger gazetteer must be cut by country first.
 MOST_TOWNS = 200_000
 #: Length from which a street or town may differ by two edits, and by one.
 TWO_EDITS, ONE_EDIT = 8, 5
+#: Rows of one location that meet in one part of the last join.
+PART = 1000
 #: Share of the letters of a street's tokens that must be assigned to the other's.
 ASSIGNED = 0.6
 
@@ -105,8 +105,21 @@ def allowed(n: int) -> int:
     return 2 if n >= TWO_EDITS else 1 if n >= ONE_EDIT else 0
 
 
-def deletions(word: str, most: int) -> set[str]:
-    return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(most + 1) for gone in combinations(range(len(word)), k)}
+def near_keys(word: str) -> set[str]:
+    """Texts that two words with at most as many edits as ``allowed`` for the shorter have in common.
+
+    Up to eight letters: the word with none or one letter left out. From eight letters, where two edits are allowed: of two
+    edits at most one falls into the first or the last letters, so these are kept with one letter left out: four up to 13
+    letters, six from 12 letters (lengths differ by two at most).
+    """
+    n, out = len(word), {word}
+    if ONE_EDIT <= n <= TWO_EDITS:
+        out |= {word[:i] + word[i + 1 :] for i in range(n)}
+    for k, fits in ((4, TWO_EDITS <= n <= 13), (6, n >= 12)):
+        if fits:
+            for sign, part in (("<", word[:k]), (">", word[-k:])):
+                out |= {sign + part} | {sign + part[:i] + part[i + 1 :] for i in range(k)}
+    return out
 
 
 class Towns:
@@ -116,7 +129,7 @@ class Towns:
         self.exact = {squeeze(fold(n)): n for n in names}
         self.near: dict[str, set[str]] = {}
         for key in self.exact:
-            for d in deletions(key, allowed(len(key))):
+            for d in near_keys(key):
                 self.near.setdefault(d, set()).add(key)
         self.longest = max((len(re.split(r"[\s-]+", fold(n))) for n in names), default=1)
 
@@ -127,8 +140,8 @@ class Towns:
             return word, 0
         best: list[tuple[int, str]] = []
         if len(word) >= ONE_EDIT:
-            seen = set().union(*[self.near.get(d, ()) for d in deletions(word, allowed(len(word)))])
-            best = sorted((e, t) for t in seen if (e := edits(word, t)) <= min(allowed(len(word)), allowed(len(t))))
+            seen = set().union(*[self.near.get(d, ()) for d in near_keys(word)])
+            best = sorted((e, t) for t in seen if abs(len(t) - len(word)) <= 2 and (e := edits(word, t)) <= min(allowed(len(word)), allowed(len(t))))
         return (best[0][1], best[0][0]) if best and (len(best) == 1 or best[1][0] > best[0][0]) else None
 
 
@@ -261,10 +274,10 @@ def _parsed(distinct: DataFrame, names: list[str]) -> DataFrame:
         towns = Towns(names)
         for pdf in batches:
             got = [parse_tokens(a, towns) for a in pdf["address"]]
-            rows = [(a, *g[:5], " ".join(g[5])) for a, g in zip(pdf["address"], got) if g]
-            yield pd.DataFrame(rows, columns=["address", "town", "post", "number", "stem", "kind", "tokens"])
+            rows = [(a, *g[:5], " ".join(g[5]), " ".join(fold(a).split())) for a, g in zip(pdf["address"], got) if g]
+            yield pd.DataFrame(rows, columns=["address", "town", "post", "number", "stem", "kind", "tokens", "folded"])
 
-    return distinct.mapInPandas(run, "address string, town string, post string, number string, stem string, kind string, tokens string")
+    return distinct.mapInPandas(run, "address string, town string, post string, number string, stem string, kind string, tokens string, folded string")
 
 
 def _like(x: str, y: str) -> int:
@@ -332,50 +345,112 @@ def _same(a: tuple, b: tuple) -> bool:
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
+    """The pairs of locations that are one. Streets within the allowed plain edits are settled in the JVM; only pairs that need exchanged letters or an assignment of tokens reach Python, each pair of streets once."""
+    agree = (F.col("kind_a") == "") | (F.col("kind_b") == "") | (F.col("kind_a") == F.col("kind_b"))
+    n = F.least(F.length("stem_a"), F.length("stem_b"))
+    most = F.when(n >= TWO_EDITS, 2).when(n >= ONE_EDIT, 1).otherwise(0)
+    far = F.levenshtein("stem_a", "stem_b", 4)
+    far = F.when(far < 0, 9).otherwise(far)
+    several = F.contains("tokens_a", F.lit(" ")) | F.contains("tokens_b", F.lit(" "))
+    judged = stored(pairs.where(agree).withColumn("sure", far <= most).where(F.col("sure") | (far <= 2 * most) | several), "street-pairs")
+    street = ["stem_a", "kind_a", "tokens_a", "stem_b", "kind_b", "tokens_b"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [_same((a, b, tuple(x.split())), (c, d, tuple(y.split()))) for a, b, x, c, d, y in zip(pdf["stem_a"], pdf["kind_a"], pdf["tokens_a"], pdf["stem_b"], pdf["kind_b"], pdf["tokens_b"])]
-            yield pdf.loc[keep, ["loc_a", "loc_b"]]
+            keep = [_same((a, b, tuple(x.split())), (c, d, tuple(y.split()))) for a, b, x, c, d, y in zip(*(pdf[c] for c in street))]
+            yield pdf.loc[keep, street]
 
-    return pairs.mapInPandas(run, "loc_a long, loc_b long")
+    kinds = ", ".join(f"{c} string" for c in street)
+    doubtful = judged.where("NOT sure")
+    right = doubtful.select(*street).distinct().mapInPandas(run, kinds)
+    return judged.where("sure").select("loc_a", "loc_b").unionByName(doubtful.join(right.hint("merge"), street, "left_semi").select("loc_a", "loc_b"))
 
 
-def _neighbourhood(stem: Column) -> Column:
-    """Hashes of a stem with none, one or two letters left out, as many as may differ at its length."""
-    n = F.length(stem)
-    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: drop(stem, i))
-    two = F.flatten(F.transform(F.sequence(F.lit(2), n), lambda i: F.transform(F.sequence(F.lit(1), i - 1), lambda j: drop(drop(stem, i), j))))
-    words = F.when(n >= TWO_EDITS, F.concat(F.array(stem), one, two)).when(n >= ONE_EDIT, F.concat(F.array(stem), one)).otherwise(F.array(stem))
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _near_keys(word: Column) -> Column:
+    """As ``near_keys``, as hashes."""
+    n = F.length(word)
+    less = lambda s, k, sign: F.transform(F.sequence(F.lit(0), k), lambda i: F.xxhash64(F.lit(sign), F.when(i == 0, s).otherwise(F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+    ends = lambda k: F.concat(less(F.substring(word, F.lit(1), F.lit(k)), F.lit(k), "<"), less(F.substring(word, n - k + 1, F.lit(k)), F.lit(k), ">"))
+    none = F.array().cast("array<bigint>")
+    short = F.when(n < ONE_EDIT, F.array(F.xxhash64(F.lit("="), word))).when(n <= TWO_EDITS, less(word, n, "=")).otherwise(none)
+    return F.array_distinct(F.concat(short, F.when((n >= TWO_EDITS) & (n <= 13), ends(4)).otherwise(none), F.when(n >= 12, ends(6)).otherwise(none)))
 
 
-def locations(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFrame:
-    """(key, address, block, number, stem, kind, tokens) of the rows whose address has a street; without a number that can be read, the stem is = and the folded text.
+SPOT = ["block", "number", "stem", "kind", "tokens"]
 
-    The block is the town; where only a postcode is given it is the town that most addresses of that postcode, else of
-    its longest known beginning, name; where neither helps, the postcode itself or nothing.
+
+def locations(df: DataFrame, key: str, address: str, towns: DataFrame, country: str | None = None) -> DataFrame:
+    """(key, place, block, number, stem, kind, tokens, named, share) of the rows whose address has a street; without a number that can be read, the stem is = and the folded text.
+
+    The block is the town, with the record's country where towns of several countries bear the name (all of these countries
+    where it is unknown). An address that names no town gets the towns of its postcode, else those of the neighbouring
+    localities: the towns that other addresses name with the longest known beginning of the postcode, each with its share; a
+    postcode that nobody else has is a block of its own. An address with neither is only equal to the same text (stem =).
     """
-    names = [r[0] for r in towns.where("city IS NOT NULL").select("city").distinct().limit(MOST_TOWNS + 1).collect()]
-    if len(names) > MOST_TOWNS:
+    listed = towns.where("city IS NOT NULL").select("city", F.upper(F.trim("country")).alias("cc") if "country" in towns.columns else F.lit("").alias("cc")).distinct().limit(MOST_TOWNS + 1).collect()
+    if len(listed) > MOST_TOWNS:
         raise ValueError(f"more than {MOST_TOWNS} towns")
-    rows = df.select(F.col(key).alias("id"), F.col(address).alias("address")).where("id IS NOT NULL AND address IS NOT NULL").distinct()
+    names = sorted({r["city"] for r in listed})
+    lands: dict[str, set[str]] = {}
+    for r in listed:
+        lands.setdefault(squeeze(fold(r["city"])), set()).add(r["cc"] or "")
+    shared = {t: sorted(ccs) for t, ccs in lands.items() if len(ccs) > 1}
+    own = F.upper(F.trim(F.col(country))) if country else F.lit("")
+    rows = df.select(F.col(key).alias("id"), F.col(address).alias("address"), F.coalesce(own, F.lit("")).alias("cc")).where("id IS NOT NULL AND address IS NOT NULL").distinct()
     rows = stored(rows, "addresses")
     parsed = stored(_parsed(rows.select("address").distinct().repartition(rows.sparkSession.sparkContext.defaultParallelism * 2), names), "parsed")
-    seen = parsed.where("town <> '' AND post <> ''")
-    maps = None
-    for n in (6, 4, 3):
-        beginning = F.substring("post", 1, n)
-        votes = seen.groupBy(F.concat(F.length("post"), F.lit(":"), beginning).alias("begin"), "town").agg(F.count("*").alias("c"))
-        top = votes.groupBy("begin").agg(F.max(F.struct("c", "town")).alias("m"), F.sum("c").alias("all")).where(F.col("m.c") >= 0.6 * F.col("all"))
-        top = top.select("begin", F.col("m.town").alias(f"by{n}"))
-        maps = (maps if maps is not None else parsed).withColumn("begin", F.concat(F.length("post"), F.lit(":"), beginning)).join(top, "begin", "left").drop("begin")
-    block = F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("by6", "by4", "by3", F.concat(F.lit("#"), "post")))
-    places = maps.select("address", block.alias("block"), "number", "stem", "kind", "tokens")
-    return skew_join(rows, places, "address").select(F.col("id").alias(key), "address", "block", "number", "stem", "kind", "tokens")
-
-
-def same_location(df: DataFrame, key: str, address: str, towns: DataFrame) -> DataFrame:
+    begins = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(F.length("post"), F.lit(":"), F.substring("post", 1, n)).alias("begin")) for i, n in enumerate((6, 4, 3))])
+    seen = parsed.where("town <> '' AND post <> ''").select("town", F.explode(begins).alias("b")).groupBy("b.rank", "b.begin", "town").agg(F.count("*").alias("c"))
+    seen = seen.join(seen.groupBy("rank", "begin").agg(F.sum("c").alias("all")), ["rank", "begin"]).select("rank", "begin", "town", (F.col("c") / F.col("all")).alias("share"))
+    lost = parsed.where("town = '' AND post <> ''").drop("town")
+    met = lost.select("address", "post", "number", "stem", "kind", "tokens", F.explode(begins).alias("b")).select("*", "b.rank", "b.begin").drop("b").join(seen, ["rank", "begin"])
+    nearest = met.groupBy("address").agg(F.min("rank").alias("rank"))
+    placed = met.join(nearest, ["address", "rank"]).select("address", "post", "number", "stem", "kind", "tokens", F.col("town").alias("block"), "share")
+    alone = lost.join(nearest, "address", "left_anti").select("address", "post", "number", "stem", "kind", "tokens", F.concat(F.lit("#"), "post").alias("block"), F.lit(1.0).alias("share"))
+    nowhere = parsed.where("town = '' AND post = ''").select("address", "post", "number", F.when(F.col("stem").startswith("="), F.col("stem")).otherwise(F.concat(F.lit("="), "folded")).alias("stem"), F.lit("").alias("kind"), F.lit("").alias("tokens"), F.lit("").alias("block"), F.lit(1.0).alias("share"))
+    sure = parsed.where("town <> ''").select("address", "post", "number", "stem", "kind", "tokens", F.col("town").alias("block"), F.lit(1.0).alias("share"))
+    every = sure.withColumn("named", F.lit(True)).unionByName(placed.unionByName(alone).unionByName(nowhere).withColumn("named", F.lit(False)))
+    every = every.withColumn("place", F.when(F.col("named"), F.xxhash64("block", *SPOT[1:])).otherwise(F.xxhash64(F.lit("#"), "post", *SPOT[1:])))
+    out = rows.join(every.hint("merge"), "address")
+    if shared:
+        table = F.create_map(*[x for t, ccs in sorted(shared.items()) for x in (F.lit(t), F.array(*map(F.lit, ccs)))])
+        ccs = F.try_element_at(table, F.col("block"))
+        fits = F.when(ccs.isNull(), F.array(F.lit(""))).when(F.array_contains(ccs, F.col("cc")), F.array("cc")).otherwise(ccs)
+        out = out.withColumn("land", F.explode(fits)).withColumn("block", F.when(F.col("land") == "", F.col("block")).otherwise(F.concat_ws("/", "block", "land"))).withColumn("named", F.col("named") & (F.size(fits) == 1))
+        out = out.withColumn("place", F.xxhash64("place", F.when(F.size(fits) == 1, F.col("land"))))
+    return out.select(F.col("id").alias(key), "place", *SPOT, "named", "share")
+
+
+def location_classes(df: DataFrame, key: str, address: str, towns: DataFrame, country: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members): the pairs (loc_a, loc_b) of different notations of one location, and (loc, key) of every row with a location.
+
+    As many rows as there are addresses and notations, not their pairs. A place that names no town may lie in several; it
+    stays in the one where a named location answers to it, else in that with the greatest share of its postcode.
+    """
+    rows = stored(locations(df, key, address, towns, country), "located")
+    locs = rows.groupBy(*SPOT).agg(F.max("named").alias("named")).withColumn("loc", F.xxhash64(*SPOT))
+    locs = stored(locs, "locations")
+    parts = F.array_distinct(F.concat(F.array("stem"), F.filter(F.split("tokens", " "), lambda t: F.length(t) > 2)))
+    words = locs.where(~F.col("stem").startswith("=")).select("loc", "block", "number", F.explode(parts).alias("word"))
+    small = stored(words.select(F.explode(F.transform(_near_keys(F.col("word")), lambda h: F.xxhash64("block", "number", h))).alias("k"), "loc").distinct(), "index")
+    several = small.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    small = small.join(several.hint("merge"), "k")
+    cand = small.toDF("k", "loc_a").hint("merge").join(small.toDF("k", "loc_b"), "k").where("loc_a < loc_b").select("loc_a", "loc_b").distinct()
+    side = lambda s: locs.select(F.col("loc").alias(f"loc_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("stem", "kind", "tokens")])
+    cand = cand.join(side("a").hint("merge"), "loc_a").join(side("b").hint("merge"), "loc_b")
+    linked = stored(_verified(cand).distinct(), "same")
+
+    at = rows.select("place", F.xxhash64(*SPOT).alias("loc"), "named", "share").distinct()
+    open_ = at.groupBy("place").agg(F.count_distinct("loc").alias("c")).where("c > 1").select("place")
+    known = locs.where("named").select("loc")
+    answered = linked.join(known.withColumnRenamed("loc", "loc_b").hint("merge"), "loc_b").select(F.col("loc_a").alias("loc")).unionByName(linked.join(known.withColumnRenamed("loc", "loc_a").hint("merge"), "loc_a").select(F.col("loc_b").alias("loc"))).unionByName(known).distinct().withColumn("answered", F.lit(True))
+    choice = at.join(open_.hint("merge"), "place").join(answered.hint("merge"), "loc", "left").groupBy("place").agg(F.max(F.struct(F.coalesce("answered", F.lit(False)), "share", "loc")).alias("m")).select("place", F.col("m.loc").alias("chosen"))
+    member = rows.select(F.col(key).alias("id"), "place", F.xxhash64(*SPOT).alias("loc")).distinct().join(choice.hint("merge"), "place", "left")
+    member = stored(member.where("chosen IS NULL OR chosen = loc").select("loc", "id").distinct(), "members")
+    return linked, member
+
+
+def same_location(df: DataFrame, key: str, address: str, towns: DataFrame, country: str | None = None) -> DataFrame:
     """(key_a, key_b), smaller first, each once: different keys with an address at the same location.
 
     Same block (town), same house number (a hard veto), no two different kinds of street, and near street stems or tokens
@@ -383,18 +458,14 @@ def same_location(df: DataFrame, key: str, address: str, towns: DataFrame) -> Da
     index of the stems and of the tokens of three letters inside (block, number); addresses that parse alike
     are one location while compared. Floors, buildings, boxes and addressees are left out before. Null and empty
     addresses and those without a street and number denote no location, unless two with a street are equal but for case, accents and spaces.
+    No side of a join is broadcast: the index is many times its input. The pairs of a hot location are spread over its rows.
     """
-    rows = stored(locations(df, key, address, towns), "located")
-    spot = ["block", "number", "stem", "kind", "tokens"]
-    locs = rows.select(*spot).distinct().withColumn("loc", F.xxhash64(*spot))
-    locs = stored(locs, "locations")
-    parts = F.array_distinct(F.concat(F.array("stem"), F.filter(F.split("tokens", " "), lambda t: F.length(t) > 2)))
-    words = locs.where(~F.col("stem").startswith("=")).select("loc", "block", "number", F.explode(parts).alias("word"))
-    small = words.select(F.explode(F.transform(_neighbourhood(F.col("word")), lambda h: F.xxhash64("block", "number", h))).alias("k"), "loc").distinct()
-    cand = small.toDF("k", "loc_a").join(small.toDF("k", "loc_b"), "k").where("loc_a < loc_b").select("loc_a", "loc_b").distinct()
-    cand = cand.join(locs.select(F.col("loc").alias("loc_a"), F.col("stem").alias("stem_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("tokens_a")), "loc_a")
-    cand = cand.join(locs.select(F.col("loc").alias("loc_b"), F.col("stem").alias("stem_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tokens_b")), "loc_b")
-    linked = _verified(cand).unionByName(locs.select(F.col("loc").alias("loc_a"), F.col("loc").alias("loc_b")))
-    member = rows.select(F.col(key).alias("id"), F.xxhash64(*spot).alias("loc")).distinct()
-    both = linked.join(member.toDF("ia", "loc_a"), "loc_a").join(member.toDF("ib", "loc_b"), "loc_b").where("ia <> ib AND (loc_a <> loc_b OR ia < ib)")
-    return both.select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b")).distinct()
+    linked, member = location_classes(df, key, address, towns, country)
+    both_ways = linked.unionByName(linked.select(F.col("loc_b").alias("loc_a"), F.col("loc_a").alias("loc_b"))).unionByName(member.select(F.col("loc").alias("loc_a"), F.col("loc").alias("loc_b")).distinct())
+    near = both_ways.toDF("loc", "other").hint("merge").join(member, "loc").select("other", F.col("id").alias("ia"))
+    # a location of many rows is cut into parts of its own rows; the rows that look for it are repeated in each part
+    sizes = member.groupBy("loc").agg(F.count("*").alias("c")).select("loc", F.ceil(F.col("c") / F.lit(PART)).cast("int").alias("parts"))
+    right = member.join(sizes.hint("merge"), "loc").select(F.col("loc").alias("other"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("ib"))
+    left = near.join(sizes.select(F.col("loc").alias("other"), "parts").hint("merge"), "other").select("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ia")
+    pairs = left.hint("merge").join(right, ["other", "part"]).where("ia < ib")
+    return pairs.select(F.col("ia").alias(f"{key}_a"), F.col("ib").alias(f"{key}_b")).distinct()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.llm.addresses import ONE_EDIT, TWO_EDITS, _neighbourhood, allowed, edits, fold
+from kinmesh.llm.addresses import ONE_EDIT, TWO_EDITS, allowed, edits, fold
 from kinmesh.operators.skew import skew_join
 from kinmesh.session import stored
 
@@ -233,6 +233,16 @@ def _keys(words: tuple[str, ...], firm: bool) -> list[dict]:
     return list(out.values())
 
 
+def _neighbourhood(word: Column) -> Column:
+    """Hashes of a word with none, one or two letters left out, as many as may differ at its length."""
+    n = F.length(word)
+    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: drop(word, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(2), n), lambda i: F.transform(F.sequence(F.lit(1), i - 1), lambda j: drop(drop(word, i), j))))
+    words = F.when(n >= TWO_EDITS, F.concat(F.array(word), one, two)).when(n >= ONE_EDIT, F.concat(F.array(word), one)).otherwise(F.array(word))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def _word_keys(w: Column) -> Column:
     """Hashes that two words with at most as many edits as ``allowed`` have in common.
 

@@ -26,8 +26,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of person_ids whose addresses denote the same location."""
-    t = table(spark, sf_dir, "leuven_name").select("person_id", "person_address")
-    return addresses.same_location(t, "person_id", "person_address", table(spark, sf_dir, "gazetteer"))
+    t = table(spark, sf_dir, "leuven_name").select("person_id", "person_address", "person_ctry_code")
+    return addresses.same_location(t, "person_id", "person_address", table(spark, sf_dir, "gazetteer"), "person_ctry_code")
+
+
+def p2_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person_id, location, n_notations): every person_id with its location's notation and how many other notations denote the same; as many rows as addresses, whatever their groups."""
+    t = table(spark, sf_dir, "leuven_name").select("person_id", "person_address", "person_ctry_code")
+    links, members = addresses.location_classes(t, "person_id", "person_address", table(spark, sf_dir, "gazetteer"), "person_ctry_code")
+    ends = links.select(F.col("loc_a").alias("loc")).unionByName(links.select(F.col("loc_b").alias("loc"))).groupBy("loc").agg(F.count("*").alias("n"))
+    return members.join(ends.hint("merge"), "loc", "left").select(F.col("id").alias("person_id"), F.col("loc").alias("location"), F.coalesce("n", F.lit(0)).alias("n_notations"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +93,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.label_cases(p10_languages(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLE = {
     "p4_found": """

@@ -21,6 +21,7 @@ PLAIN = r"^[\x20-\x7e]*$"
 _IGNORE = re.compile(f"[{IGNORABLE}]")
 _SPACE = re.compile(r"[^\S ]")
 _HYPHEN = re.compile(f"[{HYPHENS}]")
+_FOREIGN = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
 _LOOKS = CYRILLIC_LOOKS | GREEK_LOOKS
 _BACK = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC_LOOKS.items())}, "GREEK": {v: k for k, v in reversed(GREEK_LOOKS.items())}}
 
@@ -40,6 +41,8 @@ def one_alphabet(text: str) -> str:
     Latin look-alike outnumber the Latin ones; of the losing letters those without a look-alike stay as they are.
     """
     text = unicodedata.normalize("NFD", text)
+    if not _FOREIGN.search(text):
+        return unicodedata.normalize("NFC", text)
     kinds = [script(c) for c in text]
     seen = set(kinds) - {None}
     if len(seen) < 2:

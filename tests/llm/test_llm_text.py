@@ -194,3 +194,36 @@ def test_held_out_accuracy():
 def test_labels(spark):
     t = spark.createDataFrame([("EN",), ("deu",), ("fr-CA",), ("??",), ("",), (None,), ("en_US",)], "l string")
     assert [r[0] for r in t.select(languages.label(F.col("l"))).collect()] == ["en", "de", "fr", None, None, None, "en"]
+
+
+def test_neighbouring_localities_and_countries(spark):
+    """A postcode that several towns share asks the one that answers; the hot location and towns of one name in two countries."""
+    rows = [(1, "Brilvinilaplatz 37, 10001 Trorzördorf", "DE"), (2, "Korvikraler weg 4, 10002 Bokruano", "DE"), (3, "Korvikraler weg 4, 10002", "DE"), (4, "Brilvinilaplatz 37, 10003", "DE"), (5, "Brilvinilaplatz 37", "DE"), (6, "BRILVINILAPLATZ  37", "DE")]
+    rows += [(10, "Rue Dakerleki 7, Twin", "FR"), (11, "Rue Dakerleki 7, Twin", "BE"), (12, "R. Dakerleki 7, Twin", "fr"), (13, "Rue Dakerleki 7, Twin", None)]
+    rows += [(100 + i, "Manlalvilgor Avenue 9, Bokruano", "DE") for i in range(40)]
+    t = spark.createDataFrame(rows, "k long, a string, c string")
+    g = spark.createDataFrame([(x, "DE") for x in TOWNS] + [("Twin", "FR"), ("Twin", "BE")], "city string, country string")
+    got = {tuple(r) for r in addresses.same_location(t, "k", "a", g, "c").collect()}
+    hot = {(100 + i, 100 + j) for i in range(40) for j in range(i + 1, 40)}
+    # the one of unknown country may be in either, but not in both
+    assert hot <= got and got - hot in ({(2, 3), (1, 4), (5, 6), (10, 12)} | x for x in ({(11, 13)}, {(10, 13), (12, 13)}))
+
+
+def test_near_keys_against_brute_force(spark):
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 20))) for _ in range(80)}
+    for w in list(words):
+        for _ in range(5):
+            v = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                i = rng.randrange(len(v) - 1)
+                v[i : i + 2] = rng.choice([[v[i + 1], v[i]], [v[i]], [v[i], "k", v[i + 1]], ["k", v[i + 1]]]) if len(v) > 3 else v[i : i + 2]
+            words.add("".join(v))
+    hashed = {r["w"]: set(r["k"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", addresses._near_keys(F.col("w")).alias("k")).collect()}
+    n = 0
+    for a in words:
+        for b in words:
+            if a < b and abs(len(a) - len(b)) <= 2 and addresses.edits(a, b, m := addresses.allowed(min(len(a), len(b)))) <= m:
+                n += 1
+                assert addresses.near_keys(a) & addresses.near_keys(b) and hashed[a] & hashed[b], (a, b)
+    assert n > 300
