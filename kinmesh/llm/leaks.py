@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,17 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmesh.session import stored
+
 #: Words of a passage that count as a leak, and the share of words that may be replaced, dropped or added.
 LEAST_WORDS, EDIT_SHARE = 20, 1 / 7
 #: Words of a verbatim seed: a passage of 20 words with 3 edits has a run of at least 5 words; one less for words broken at a line's end.
 SEED_WORDS = 4
-#: Letters of corpus text in one shard (one suffix array), and of evaluation text in one block.
+#: Letters of corpus text in one shard (one suffix array), and of evaluation text in one block. Neither changes the result.
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 2_000_000
-#: Bytes of a suffix by which the array is sorted; longer equal beginnings are compared letter by letter.
-DEPTH = 24
+#: Letters of evaluation text that are broadcast at most; more are joined to the shards by shuffle.
+MOST_BROADCAST = 64_000_000
+#: Letters of a suffix that are sorted at once; suffixes that agree in them are sorted on by what follows.
+HEAD = 24
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = {c: None for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 
 
 def words(text: str | None) -> list[str]:
@@ -30,46 +37,101 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     t = html.unescape(_TAG.sub(" ", text)) if "<" in text or "&" in text else text
-    t = unicodedata.normalize("NFKD", t.replace("­", "").casefold())
-    return _WORD.findall("".join(c for c in t if not unicodedata.combining(c)))
+    if t.isascii():
+        return _WORD.findall(t.lower())
+    return _WORD.findall(unicodedata.normalize("NFKD", t.replace("­", "").casefold()).translate(_MARKS))
+
+
+def _heads(letters: bytes, begins: np.ndarray) -> np.ndarray:
+    """The first letters of the suffixes, up to the end of their text."""
+    grid = np.frombuffer(letters + b"\x00" * HEAD, dtype=np.uint8)
+    keys = np.empty((len(begins), HEAD), dtype=np.uint8)
+    going = np.ones(len(begins), dtype=bool)
+    for k in range(HEAD):
+        keys[:, k] = np.where(going, grid[begins + k], 0)
+        going &= keys[:, k] != 0
+    return np.ascontiguousarray(keys).view(f"S{HEAD}").ravel()
 
 
 class Shard:
-    """The suffix array of a shard: all suffixes of its texts that begin at a word, sorted by their letters without spaces."""
-
-    def __init__(self, texts: list[list[str]]):
-        joined = [w.encode() for t in texts for w in [*t, "\x00"]]
-        self.text = b"".join(joined) + b"\x00" * DEPTH
-        sizes = np.fromiter(map(len, joined), dtype=np.int64, count=len(joined))
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        real = np.fromiter((w != b"\x00" for w in joined), dtype=bool, count=len(joined))
-        doc = np.concatenate([[0], np.cumsum(~real)])[:-1]
-        word = np.arange(len(joined)) - np.concatenate([[0], np.flatnonzero(~real) + 1])[doc]
-        begins, self.doc, self.word = begins[real], doc[real], word[real]
-        grid = np.frombuffer(self.text, dtype=np.uint8)
-        keys = np.empty((len(begins), DEPTH), dtype=np.uint8)
-        for k in range(DEPTH):
-            keys[:, k] = grid[begins + k]
-        # what follows the end of a text belongs to no suffix of it
-        ended = np.cumsum(keys == 0, axis=1) > 0
-        keys[ended] = 0
-        flat = np.ascontiguousarray(keys).view(f"S{DEPTH}").ravel()
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.begins, self.doc, self.word = flat[order], begins[order], self.doc[order], self.word[order]
-
-    def find(self, seeds: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(seed's number, text, word) of each place where a seed stands."""
-        if not len(self.keys) or not seeds:
-            return
-        low = np.array([s[:DEPTH] for s in seeds], dtype=f"S{DEPTH}")
-        high = np.array([s[:DEPTH] + b"\xff" * (DEPTH - len(s[:DEPTH])) for s in seeds], dtype=f"S{DEPTH}")
-        lo, hi = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
+    """A suffix array: all suffixes of some texts that begin at a word, in the full order of their letters without spaces."""
+
+    def __init__(self, letters: bytes, begins: np.ndarray, first: np.ndarray, order: np.ndarray | None = None):
+        """``begins``: where each word begins; ``first``: the number of each text's first word. Every text ends with a zero."""
+        self.letters, self.begins, self.first = letters, begins, first
+        heads = _heads(letters, begins)
+        if order is None:
+            order = np.argsort(heads, kind="stable")
+            heads = heads[order]
+            same = np.concatenate([[False], heads[1:] == heads[:-1], [False]])
+            runs = np.flatnonzero(same[1:] != same[:-1])
+            full = np.char.str_len(heads) == HEAD if len(heads) else np.zeros(0, bool)
+            for a, b in zip(runs[::2], runs[1::2] + 1):
+                if full[a]:
+                    order[a:b] = self._sorted(order[a:b].tolist(), HEAD, 128)
+            self.order, self.heads = order, heads
+        else:
+            self.order, self.heads = order, heads[order]
+        self.text = np.searchsorted(first, self.order, "right") - 1
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Shard:
+        coded = [[w.encode() for w in t] for t in texts]
+        sizes = np.fromiter((len(w) for t in coded for w in t), dtype=np.int64)
+        counts = np.fromiter((len(t) for t in coded), dtype=np.int64, count=len(coded))
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
+        begins = before + np.repeat(np.arange(len(coded)), counts)  # a zero after each text
+        return cls(b"".join(b"".join(t) + b"\x00" for t in coded), begins.astype(np.int64), first)
+
+    def _sorted(self, group: list[int], skip: int, size: int) -> list[int]:
+        """Suffixes that agree in their first ``skip`` letters in the order of what follows, looked at in growing pieces."""
+        text, begins = self.letters, self.begins
+        piece = {i: text[begins[i] + skip : begins[i] + skip + size].split(b"\x00", 1)[0] for i in group}
+        group.sort(key=piece.__getitem__)
+        out, a = [], 0
+        while a < len(group):
+            b = a + 1
+            while b < len(group) and piece[group[b]] == piece[group[a]]:
+                b += 1
+            tied = group[a:b]
+            out += self._sorted(tied, skip + size, size * 8) if b - a > 1 and len(piece[group[a]]) == size else tied
+            a = b
+        return out
+
+    def suffix(self, place: int, size: int) -> bytes:
+        b = self.begins[self.order[place]]
+        return self.letters[b : b + size].split(b"\x00", 1)[0]
+
+    def ranges(self, seeds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the first place of the array whose suffix begins with it, and the place behind the last."""
+        low = np.array([s[:HEAD] for s in seeds], dtype=f"S{HEAD}")
+        high = np.array([s[:HEAD] + b"\xff" * (HEAD - len(s[:HEAD])) for s in seeds], dtype=f"S{HEAD}")
+        lo, hi = np.searchsorted(self.heads, low, "left"), np.searchsorted(self.heads, high, "right")
         for i in np.flatnonzero(hi > lo):
-            s = seeds[i]
-            for j in range(lo[i], hi[i]):
-                b = self.begins[j]
-                if len(s) <= DEPTH or self.text[b : b + len(s)] == s:
-                    yield int(i), int(self.doc[j]), int(self.word[j])
+            if len(s := seeds[i]) > HEAD:
+                n = len(s)
+                a = bisect_left(range(int(lo[i]), int(hi[i])), s, key=lambda p: self.suffix(p, n)) + int(lo[i])
+                b = bisect_left(range(a, int(hi[i])), True, key=lambda p: self.suffix(p, n) > s) + a
+                lo[i], hi[i] = a, b
+        return lo, hi
+
+    def longest(self, suffix: bytes) -> tuple[int, int]:
+        """(letters, place) of the longest beginning of a text that stands somewhere in the shard: it is at one of the two neighbours in the order."""
+        at = bisect_left(range(len(self.order)), suffix, key=lambda p: self.suffix(p, len(suffix)))
+        best = (0, -1)
+        for p in (at - 1, at):
+            if 0 <= p < len(self.order):
+                other = self.suffix(p, len(suffix))
+                n = next((k for k, (x, y) in enumerate(zip(other, suffix)) if x != y), min(len(other), len(suffix)))
+                best = max(best, (n, p))
+        return best
+
+    def words_of(self, text: int) -> list[str]:
+        a, b = self.first[text], self.first[text + 1] if text + 1 < len(self.first) else len(self.begins)
+        cuts = self.begins[a:b].tolist()
+        end = self.letters.index(b"\x00", cuts[-1])
+        return [self.letters[x:y].decode() for x, y in zip(cuts, cuts[1:] + [end])]
 
 
 def _mended(text: list[str], known: set[str], pairs: dict[str, tuple[str, str]]) -> list[str]:
@@ -87,21 +149,22 @@ def _mended(text: list[str], known: set[str], pairs: dict[str, tuple[str, str]])
     return out
 
 
-def passage(item: list[str], text: list[str], around: list[tuple[int, int]], rare: set[str], least: int = LEAST_WORDS, share: float = EDIT_SHARE) -> bool:
+def passage(item: list[str], text: list[str], at: np.ndarray, rare: set[str], least: int = LEAST_WORDS, share: float = EDIT_SHARE) -> bool:
     """Whether ``text`` holds ``least`` successive words of ``item`` with at most that share of edits.
 
-    ``around``: (item word, text word) of seeds; the text near each group of seeds is aligned with the item by edits.
+    ``at``: rows (text word, item word) of seeds, sorted; the text near each group of seeds is aligned with the item by edits.
     ``rare``: the item's words that few other items have. A passage that keeps none of its rare words, or under a third of
     them, has the wording of the item but speaks of something else.
     """
     known, pairs = set(item), {a + b: (a, b) for a, b in zip(item, item[1:])}
     covered = 0
-    for i, j in sorted(around, key=lambda p: p[1]):
+    for j, i in at.tolist():
         if j < covered:
             continue
         a = max(0, j - i - len(item) // 4 - 8)
         covered = min(len(text), max(j - i, 0) + len(item) + len(item) // 2 + 16)
-        if len({p for p, q in around if a <= q < covered}) < 2:
+        near = at[np.searchsorted(at[:, 0], a, "left") : np.searchsorted(at[:, 0], covered, "left"), 1]
+        if (near == near[0]).all():
             continue
         window = _mended(text[a:covered], known, pairs)
         if (not rare or rare & set(window)) and _aligned(item, window, rare, least, share):
@@ -110,7 +173,7 @@ def passage(item: list[str], text: list[str], around: list[tuple[int, int]], rar
 
 
 def _aligned(x: list[str], y: list[str], rare: set[str], least: int, share: float, gap: float = -1.6) -> bool:
-    """Local alignment of the item ``x`` with the window ``y``, then a scan of its steps for a passage that is good enough."""
+    """Local alignment of the item ``x`` with the window ``y``, then a scan of the steps behind every end of a matching run for a passage that is good enough."""
     n, m = len(x), len(y)
     ids = {w: k for k, w in enumerate(set(x) | set(y))}
     same = np.array([ids[w] for w in x])[:, None] == np.array([ids[w] for w in y])[None, :]
@@ -119,100 +182,182 @@ def _aligned(x: list[str], y: list[str], rare: set[str], least: int, share: floa
         up = score[i - 1]
         row = np.maximum(np.maximum(up[:-1] + np.where(same[i - 1], 1.0, gap), up[1:] + gap), 0.0)
         score[i, 1:] = np.maximum(row, np.maximum.accumulate(row - slope) + slope)
-    seen: set[tuple[int, int]] = set()
-    for flat in np.argsort(score, axis=None)[::-1][:200]:
-        i, j = divmod(int(flat), m + 1)
-        if score[i, j] < least * (1 - share) + gap * (least * share + 1):
-            return False
-        if (i, j) in seen:
-            continue
-        steps: list[tuple[int, int, int]] = []  # item words, edits, and 1 for a kept and -1 for a lost rare word, from the end
-        while i > 0 and j > 0 and score[i, j] > 1e-9 and (i, j) not in seen:
-            seen.add((i, j))
-            v, w = score[i, j], x[i - 1] in rare
+    # a passage ends with a kept word; behind the last word of a run of kept ones no longer run can begin
+    ends = same.copy()
+    ends[:-1, :-1] &= ~same[1:, 1:]
+    ends &= score[1:, 1:] >= least * (1 - share) + gap * (least * share + 1)
+    rows, cols = np.nonzero(ends)
+    kept_rare = np.array([w in rare for w in x])
+    for e in np.argsort(-score[rows + 1, cols + 1], kind="stable"):
+        i, j = int(rows[e]) + 1, int(cols[e]) + 1
+        steps: list[tuple[int, int, int, int]] = []  # item words, edits, kept rare and lost rare words, from the end
+        while i > 0 and j > 0 and score[i, j] > 1e-9:
+            v, w = score[i, j], bool(kept_rare[i - 1])
             if same[i - 1, j - 1] and abs(v - score[i - 1, j - 1] - 1) < 1e-6:
-                steps.append((1, 0, 1 if w else 0))
+                steps.append((1, 0, w, 0))
                 i, j = i - 1, j - 1
             elif abs(v - score[i - 1, j - 1] - gap) < 1e-6:
-                steps.append((1, 1, -1 if w else 0))
+                steps.append((1, 1, 0, w))
                 i, j = i - 1, j - 1
             elif abs(v - score[i - 1, j] - gap) < 1e-6:
-                steps.append((1, 1, -1 if w else 0))
+                steps.append((1, 1, 0, w))
                 i -= 1
             else:
-                steps.append((0, 1, 0))
+                steps.append((0, 1, 0, 0))
                 j -= 1
-        span, edit = np.cumsum([0, *(s[0] for s in steps)]), np.cumsum([0, *(s[1] for s in steps)])
-        kept, lost = np.cumsum([0, *(s[2] > 0 for s in steps)]), np.cumsum([0, *(s[2] < 0 for s in steps)])
-        for a in range(len(steps)):
-            if steps[a][1]:
-                continue
-            for b in range(a + 1, len(steps) + 1):
-                size, edits = span[b] - span[a], edit[b] - edit[a]
-                if size >= least and edits <= size * share + 0.5 and not steps[b - 1][1] and (not rare or 2 * (kept[b] - kept[a]) >= max(lost[b] - lost[a], 1)):
-                    return True
+        run = np.concatenate([np.zeros((1, 4), dtype=np.int64), np.cumsum(np.array(steps, dtype=np.int64), axis=0)])
+        exact = np.array([s[1] == 0 for s in steps])
+        part = run[None, 1:, :] - run[:-1, None, :]  # from step a to step b
+        good = (part[..., 0] >= least) & (part[..., 1] <= part[..., 0] * share + 0.5) & exact[:, None] & exact[None, :]
+        if rare:
+            good &= 2 * part[..., 2] >= np.maximum(part[..., 3], 1)
+        if good.any():
+            return True
     return False
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
-    """(key, item_key) of every text that holds a passage of an item, each pair once.
+def corpus_shards(docs: DataFrame, key: str, text: str, least: int = LEAST_WORDS, chars: int | None = None) -> DataFrame:
+    """The stored suffix arrays of a corpus, one row per shard: keys, the text of each key, letters, word begins, first words, order.
 
-    The items go to the executors in blocks of bounded size. Each partition's texts are cut into shards of bounded size;
-    of each shard the suffix array is built, every item suffix is looked up in it by binary search, and the places of
-    verbatim matches are aligned with the item. A single text above the bound is a shard of its own. Null and empty texts
-    hold nothing; items with fewer than ``least`` words leak nowhere.
+    Texts stay in the partition that reads them: nothing is shuffled. Copies of a text inside a shard stand in its array
+    once. A text above the bound is a shard of its own; null texts and those of under half a passage are left out.
     """
-    block: list[tuple[int, str]] = []
-    size, out = 0, None
-    for r in items.where(f"{item_key} IS NOT NULL AND {item_text} IS NOT NULL").select(item_key, item_text).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= BLOCK_CHARS:
-            out = _block(docs, key, text, item_key, block, least, out)
-            block, size = [], 0
-    return _block(docs, key, text, item_key, block, least, out)
-
-
-def _block(docs: DataFrame, key: str, text: str, item_key: str, block: list[tuple[int, str]], least: int, out: DataFrame | None) -> DataFrame:
+    chars = chars or SHARD_CHARS
+    kind = dict(docs.dtypes)[key]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item_words = [w for _, t in block if len(w := words(t)) >= least]
-        ids = [i for i, t in block if len(words(t)) >= least]
-        held: dict[str, int] = {}
-        for ws in item_words:
-            for w in set(ws):
-                held[w] = held.get(w, 0) + 1
-        rare = [{w for w in ws if not w.isdigit() and held[w] <= max(2, len(item_words) // 100)} for ws in item_words]
-        seeds: dict[bytes, list[tuple[int, int]]] = {}
-        for n, ws in enumerate(item_words):
-            for k in range(len(ws) - SEED_WORDS + 1):
-                seeds.setdefault("".join(ws[k : k + SEED_WORDS]).encode(), []).append((n, k))
-        names = list(seeds)
-
-        def search(keys: list, texts: list[list[str]]) -> pd.DataFrame:
-            places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for s, d, w in Shard(texts).find(names):
-                for n, k in seeds[names[s]]:
-                    places.setdefault((d, n), []).append((k, w))
-            rows = [(keys[d], ids[n]) for (d, n), at in places.items() if passage(item_words[n], texts[d], at, rare[n], least)]
-            return pd.DataFrame(rows, columns=[key, item_key])
-
-        keys, texts, size = [], [], 0
+        def row() -> pd.DataFrame:
+            shard = Shard.of(list(seen))
+            data = [np.array(of, dtype=np.int32).tobytes(), shard.letters, shard.begins.tobytes(), shard.first.tobytes(), shard.order.astype(np.int64).tobytes()]
+            return pd.DataFrame([[keys, *data]], columns=["keys", "of", "letters", "begins", "first", "order"])
+
+        keys, of, size = [], [], 0
+        seen: dict[tuple[str, ...], int] = {}
         for pdf in batches:
             for k, t in zip(pdf[key], pdf[text]):
-                ws = words(t)
-                if len(ws) >= least // 2:
-                    keys.append(k)
-                    texts.append(ws)
+                ws = tuple(words(t))
+                if len(ws) < max(least // 2, 1):
+                    continue
+                if ws not in seen:
+                    seen[ws] = len(seen)
                     size += len(t)
-                if size >= SHARD_CHARS:
-                    yield search(keys, texts)
-                    keys, texts, size = [], [], 0
-        if texts:
-            yield search(keys, texts)
-
-    kinds = dict(docs.dtypes)
-    found = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kinds[key]}, {item_key} long").distinct()
-    return found if out is None else out.unionByName(found).distinct()
+                keys.append(k)
+                of.append(seen[ws])
+                if size >= chars:
+                    yield row()
+                    keys, of, size, seen = [], [], 0, {}
+        if keys:
+            yield row()
+
+    given = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
+    return stored(given.mapInPandas(run, f"keys array<{kind}>, of binary, letters binary, begins binary, first binary, order binary"), "shards")
+
+
+def item_blocks(items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS, chars: int | None = None) -> tuple[DataFrame, int]:
+    """((block, ids, texts, rares), n): the items of at least ``least`` words in ``n`` blocks of about ``chars`` letters, with the rare words of each.
+
+    Rare are words (not numbers) that at most two items, or a hundredth of all, have; they are counted over all items, whatever the blocks.
+    """
+    kind = dict(items.dtypes)[item_key]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(i, ws) for i, t in zip(pdf["i"], pdf["t"]) if len(ws := words(t)) >= least]
+            if got:
+                yield pd.DataFrame({"id": [i for i, _ in got], "ws": [ws for _, ws in got]})
+
+    given = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t"))
+    rows = stored(given.mapInPandas(split, f"id {kind}, ws array<string>").withColumn("u", F.xxhash64("id", "ws")), "items")
+    n, size = rows.agg(F.count("*"), F.sum(F.length(F.array_join("ws", "")))).first()
+    blocks = max(1, -(-(size or 0) // (chars or BLOCK_CHARS)))
+    held = rows.select("u", F.explode(F.array_distinct("ws")).alias("w")).where(~F.col("w").rlike(r"^\p{N}+$"))
+    few = held.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") <= max(2, n // 100)).select("w")
+    rare = held.join(few, "w").groupBy("u").agg(F.collect_list("w").alias("rare"))
+    rows = rows.join(rare, "u", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+    block = F.pmod(F.col("u"), F.lit(blocks)).cast("int").alias("block")
+    return rows.select(block, "id", "ws", "rare").groupBy("block").agg(F.collect_list(F.struct("id", "ws", "rare")).alias("items")), blocks
+
+
+def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
+    """(key, item_key, n_words, doc_word, item_word): every text that holds a passage of an item, once, with the longest run of words that it has verbatim from it and where that begins in both.
+
+    The corpus is cut into shards whose suffix arrays are stored once; every item suffix is looked up in every array by
+    binary search, runs of verbatim words are joined to the longest ones, and where a run alone is no passage the places are
+    aligned with the item. Null and empty texts hold nothing; items with fewer than ``least`` words leak nowhere.
+    """
+    shards = corpus_shards(docs, key, text, least)
+    blocks, n = item_blocks(items, item_key, item_text, least)
+    blocks = stored(blocks, "blocks")
+    small = n * BLOCK_CHARS <= MOST_BROADCAST
+    wide = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = wide.join(F.broadcast(blocks) if small else blocks.hint("merge"), "block")
+    kinds, item_kind = dict(docs.dtypes), dict(items.dtypes)[item_key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[int, tuple] = {}
+        for pdf in batches:
+            for block, its, keys, of, letters, begins, first, order in zip(*(pdf[c] for c in ("block", "items", "keys", "of", "letters", "begins", "first", "order"))):
+                if block not in ready:
+                    ready = {block: _ready(its)}
+                shard = Shard(letters, np.frombuffer(begins, dtype=np.int64), np.frombuffer(first, dtype=np.int64), np.frombuffer(order, dtype=np.int64))
+                rows = _search(shard, *ready[block], least)
+                owners: dict[int, list] = {}
+                if rows:
+                    for k, d in zip(keys, np.frombuffer(of, dtype=np.int32).tolist()):
+                        owners.setdefault(d, []).append(k)
+                yield pd.DataFrame([(k, *r[1:]) for r in rows for k in owners[r[0]]], columns=[key, item_key, "n_words", "doc_word", "item_word"])
+
+    return met.mapInPandas(run, f"{key} {kinds[key]}, {item_key} {item_kind}, n_words int, doc_word int, item_word int")
+
+
+def _ready(items: list) -> tuple:
+    """(ids, words, rare words, distinct seeds, seed of each item word, item of each, place of each) of a block of items."""
+    ids, texts, rare = [r["id"] for r in items], [list(r["ws"]) for r in items], [set(r["rare"]) for r in items]
+    numbers: dict[bytes, int] = {}
+    entries = [(numbers.setdefault("".join(ws[k : k + SEED_WORDS]).encode(), len(numbers)), n, k) for n, ws in enumerate(texts) for k in range(len(ws) - SEED_WORDS + 1)]
+    return ids, texts, rare, list(numbers), np.array(sorted(entries), dtype=np.int64).reshape(-1, 3)
+
+
+def _search(shard: Shard, ids: list, texts: list[list[str]], rare: list[set[str]], seeds: list[bytes], entries: np.ndarray, least: int) -> list[tuple]:
+    """(text, item id, words, text word, item word) of the texts of a shard that hold a passage of an item."""
+    if not seeds or not len(shard.order):
+        return []
+    lo, hi = shard.ranges(seeds)
+    found = entries[(hi > lo)[entries[:, 0]]]
+    n = (hi - lo)[found[:, 0]]
+    place = np.repeat(lo[found[:, 0]] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+    item, at = np.repeat(found[:, 1], n), np.repeat(found[:, 2], n)
+    doc = shard.text[place]
+    word = shard.order[place] - shard.first[doc]
+    order = np.lexsort((at, word, item, doc))
+    doc, item, word, at = doc[order], item[order], word[order], at[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, int)
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+        if b - a < 2:
+            continue
+        d, i = int(doc[a]), int(item[a])
+        spots = np.stack([word[a:b], at[a:b]], axis=1)
+        size, w, k = _longest_run(spots)
+        plain = size >= least and (not rare[i] or bool(rare[i] & set(texts[i][k : k + size])))
+        if plain or passage(texts[i], shard.words_of(d), spots, rare[i], least):
+            out.append((d, ids[i], size, w, k))
+    return out
+
+
+def _longest_run(spots: np.ndarray) -> tuple[int, int, int]:
+    """(words, text word, item word) of the longest run of seeds that follow each other in both."""
+    order = np.lexsort((spots[:, 0], spots[:, 0] - spots[:, 1]))
+    w, k = spots[order, 0], spots[order, 1]
+    start = np.flatnonzero(np.concatenate([[True], (w[1:] - w[:-1] != 1) | (k[1:] - k[:-1] != 1)]))
+    size = np.diff(np.concatenate([start, [len(w)]]))
+    best = int(np.argmax(size))
+    return int(size[best]) + SEED_WORDS - 1, int(w[start[best]]), int(k[start[best]])
+
+
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
+    """(key, item_key) of every text that holds a passage of an item, each pair once."""
+    return matches(docs, key, text, items, item_key, item_text, least).select(key, item_key).distinct()
 
 
 def clean_corpus(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:

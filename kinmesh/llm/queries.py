@@ -83,6 +83,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p9_found``, with the longest verbatim run of words and where it begins in the document and in the item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    return leaks.matches(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that give away nothing."""
+    docs = table(spark, sf_dir, "documents")
+    return leaks.clean_corpus(docs.select("doc_id"), "doc_id", p9_found(spark, sf_dir))
+
+
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with each language in it and a confidence value."""
     return languages.text_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
@@ -93,7 +105,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.label_cases(p10_languages(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLE = {
     "p4_found": """

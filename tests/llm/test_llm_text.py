@@ -148,14 +148,42 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in leaks.clean_corpus(d, "doc_id", found).collect()) == [2, 4, 5, 6, 7]
 
 
+def test_blocks_and_shards_change_nothing(spark, monkeypatch):
+    """The same rows whatever the sizes of blocks and shards, and whether items are broadcast; copies and runs are told."""
+    rng = random.Random(16)
+    items = [passage_words(rng, 40) for _ in range(12)]
+    docs = [(i, " ".join(passage_words(rng, 15) + items[i % 12][i % 7 : 12 + i % 25] + passage_words(rng, 15))) for i in range(60)]
+    docs += [(100 + i, docs[13][1]) for i in range(4)]
+    d = spark.createDataFrame(docs, "doc_id string, text string").repartition(2)
+    e = spark.createDataFrame([(f"e{i}", " ".join(t)) for i, t in enumerate(items)], "item_id string, text string")
+    seen = []
+    for shard, block, most in ((4_000_000, 2_000_000, 64_000_000), (300, 500, 64_000_000), (1, 1, 0), (2000, 200, 0)):
+        monkeypatch.setattr(leaks, "SHARD_CHARS", shard)
+        monkeypatch.setattr(leaks, "BLOCK_CHARS", block)
+        monkeypatch.setattr(leaks, "MOST_BROADCAST", most)
+        seen.append(sorted(tuple(r) for r in leaks.matches(d, "doc_id", "text", e, "item_id", "text").collect()))
+    assert all(s == seen[0] for s in seen)
+    want = {(str(k), f"e{i % 12}", len(items[i % 12][i % 7 : 12 + i % 25]), 15, i % 7) for k, i in [(i, i) for i in range(60)] + [(100 + i, 13) for i in range(4)] if len(items[i % 12][i % 7 : 12 + i % 25]) >= 20}
+    assert set(seen[0]) == want and len(want) > 20
+
+
 def test_suffix_array_against_scan():
+    """The order is the full one, with copies and long repeats; ranges and longest matches are those of a scan."""
     rng = random.Random(8)
-    texts = [[rng.choice(["ab", "abc", "b", "ca"]) for _ in range(60)] for _ in range(5)]
-    shard = leaks.Shard(texts)
-    seeds = ["".join(texts[0][i : i + 3]).encode() for i in range(20)] + [b"zz", "".join(texts[1][:40]).encode()]
-    got = {(s, d, w) for s, d, w in shard.find(seeds)}
-    want = {(s, d, w) for s, x in enumerate(seeds) for d, t in enumerate(texts) for w in range(len(t)) if "".join(t[w:]).encode().startswith(x)}
-    assert got == want
+    texts = [[rng.choice(["ab", "abc", "b", "ca"]) for _ in range(60)] for _ in range(5)] + [["ab"] * 400, ["ab"] * 390 + ["b"], ["ü"]]
+    texts.append(list(texts[0]))
+    shard = leaks.Shard.of(texts)
+    suffixes = [(d, w, "".join(t[w:]).encode()) for d, t in enumerate(texts) for w in range(len(t))]
+    got = [shard.suffix(p, 9999) for p in range(len(shard.order))]
+    assert got == sorted(s for _, _, s in suffixes) and [shard.words_of(i) for i in range(len(texts))] == texts
+    again = leaks.Shard(shard.letters, shard.begins, shard.first, shard.order)
+    seeds = ["".join(texts[0][i : i + 3]).encode() for i in range(20)] + [b"zz", "".join(texts[1][:40]).encode(), b"ab" * 300, b"ab" * 500]
+    lo, hi = again.ranges(seeds)
+    for s, a, b in zip(seeds, lo, hi):
+        places = {(int(again.text[p]), int(again.order[p] - again.first[again.text[p]])) for p in range(a, b)}
+        assert places == {(d, w) for d, w, x in suffixes if x.startswith(s)}
+    for s in seeds + [b"abcabz", b"q", b"cab" * 30]:
+        assert again.longest(s)[0] == max(next((k for k in range(min(len(x), len(s))) if x[k] != s[k]), min(len(x), len(s))) for _, _, x in suffixes)
 
 
 LANGS = {
