@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -20,6 +19,8 @@ from kinmesh.session import stored
 LEAST_WORDS, EDIT_SHARE = 20, 1 / 7
 #: Words of a verbatim seed: a passage of 20 words with 3 edits has a run of at least 5 words; one less for words broken at a line's end.
 SEED_WORDS = 4
+#: Seeds that any passage has: 20 words less 3 edits are 17 words in at most 4 runs, so 17 - 4 * 3 = 5; two may be lost to words run together.
+LEAST_SEEDS = 3
 #: Letters of corpus text in one shard (one suffix array), and of evaluation text in one block. Neither changes the result.
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 2_000_000
 #: Letters of evaluation text that are broadcast at most; more are joined to the shards by shuffle.
@@ -28,28 +29,38 @@ MOST_BROADCAST = 64_000_000
 HEAD = 24
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
-_WORD = re.compile(r"[^\W_]+")
-_MARKS = {c: None for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+_MARKS = re.compile("[\u0300-\u036f]+")
+#: Bytes of ASCII signs as spaces, letters and digits as they are, and bytes of other characters as they are.
+_SIGNS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    """Words of letters and digits without case, accents and markup."""
+def coded_words(text: str | None) -> list[bytes]:
+    """Words of letters and digits without case, accents and markup, in UTF-8."""
     if not text:
         return []
     t = html.unescape(_TAG.sub(" ", text)) if "<" in text or "&" in text else text
     if t.isascii():
-        return _WORD.findall(t.lower())
-    return _WORD.findall(unicodedata.normalize("NFKD", t.replace("­", "").casefold()).translate(_MARKS))
+        t = t.lower()
+    else:
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t.replace("\u00ad", "").casefold()))
+        if not t.isascii():
+            for c in set(t):
+                if c > "\x7f" and (unicodedata.combining(c) or not c.isalnum()):
+                    t = t.replace(c, "" if unicodedata.combining(c) else " ")
+    return t.encode("utf-8", "surrogatepass").translate(_SIGNS).split()
+
+
+def words(text: str | None) -> list[str]:
+    """As ``coded_words``, decoded."""
+    return [w.decode("utf-8", "surrogatepass") for w in coded_words(text)]
 
 
 def _heads(letters: bytes, begins: np.ndarray) -> np.ndarray:
     """The first letters of the suffixes, up to the end of their text."""
     grid = np.frombuffer(letters + b"\x00" * HEAD, dtype=np.uint8)
-    keys = np.empty((len(begins), HEAD), dtype=np.uint8)
-    going = np.ones(len(begins), dtype=bool)
-    for k in range(HEAD):
-        keys[:, k] = np.where(going, grid[begins + k], 0)
-        going &= keys[:, k] != 0
+    keys = grid[begins[:, None] + np.arange(HEAD)] if len(begins) else np.zeros((0, HEAD), dtype=np.uint8)
+    ended = np.logical_or.accumulate(keys == 0, axis=1)
+    keys[ended] = 0
     return np.ascontiguousarray(keys).view(f"S{HEAD}").ravel()
 
 
@@ -63,26 +74,45 @@ class Shard:
         if order is None:
             order = np.argsort(heads, kind="stable")
             heads = heads[order]
-            same = np.concatenate([[False], heads[1:] == heads[:-1], [False]])
-            runs = np.flatnonzero(same[1:] != same[:-1])
-            full = np.char.str_len(heads) == HEAD if len(heads) else np.zeros(0, bool)
-            for a, b in zip(runs[::2], runs[1::2] + 1):
-                if full[a]:
-                    order[a:b] = self._sorted(order[a:b].tolist(), HEAD, 128)
+            self._refine(order, heads)
             self.order, self.heads = order, heads
         else:
             self.order, self.heads = order, heads[order]
         self.text = np.searchsorted(first, self.order, "right") - 1
 
     @classmethod
-    def of(cls, texts: list[list[str]]) -> Shard:
-        coded = [[w.encode() for w in t] for t in texts]
-        sizes = np.fromiter((len(w) for t in coded for w in t), dtype=np.int64)
-        counts = np.fromiter((len(t) for t in coded), dtype=np.int64, count=len(coded))
-        first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-        begins = before + np.repeat(np.arange(len(coded)), counts)  # a zero after each text
-        return cls(b"".join(b"".join(t) + b"\x00" for t in coded), begins.astype(np.int64), first)
+    def of(cls, texts: list[bytes]) -> Shard:
+        """The array of texts given as their words with single spaces between."""
+        joined = b"".join(t + b"\x00" for t in texts)
+        grid = np.frombuffer(joined, dtype=np.uint8)
+        apart = (grid == 32) | (grid == 0)
+        starts = np.flatnonzero(np.concatenate([[True], apart[:-1]]) & (grid != 0)) if len(grid) else np.zeros(0, dtype=np.int64)
+        spaces = np.cumsum(grid == 32)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])[:-1], "left")
+        return cls(joined.replace(b" ", b""), (starts - spaces[starts] if len(starts) else starts).astype(np.int64), first.astype(np.int64))
+
+    def _refine(self, order: np.ndarray, heads: np.ndarray, rounds: int = 6) -> None:
+        """Puts suffixes that agree in all letters of their head in order: in a few rounds by the next letters of all of them at once, and what then still agrees one group at a time."""
+        keys, at, skip = heads, np.arange(len(order)), HEAD
+        group = np.zeros(len(order), dtype=np.int64)
+        for turn in range(rounds + 1):
+            same = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
+            tied = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(at) else np.zeros(0, bool)
+            new = np.cumsum(np.concatenate([[True], ~same])) if len(at) else group
+            tied &= np.char.str_len(keys) == HEAD if len(at) else tied
+            at, group = at[tied], new[tied]
+            if not len(at):
+                return
+            if turn == rounds:
+                cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(at)]
+                for a, b in zip(cuts, cuts[1:]):
+                    order[at[a:b]] = self._sorted(order[at[a:b]].tolist(), skip, 1024)
+                return
+            keys = _heads(self.letters, self.begins[order[at]] + skip)
+            turned = np.lexsort((keys, group))
+            order[at], keys = order[at][turned], keys[turned]
+            skip += HEAD
 
     def _sorted(self, group: list[int], skip: int, size: int) -> list[int]:
         """Suffixes that agree in their first ``skip`` letters in the order of what follows, looked at in growing pieces."""
@@ -127,11 +157,15 @@ class Shard:
                 best = max(best, (n, p))
         return best
 
+    def letters_of(self, text: int) -> bytes:
+        a = self.begins[self.first[text]]
+        return self.letters[a : self.letters.index(b"\x00", a)]
+
     def words_of(self, text: int) -> list[str]:
         a, b = self.first[text], self.first[text + 1] if text + 1 < len(self.first) else len(self.begins)
         cuts = self.begins[a:b].tolist()
         end = self.letters.index(b"\x00", cuts[-1])
-        return [self.letters[x:y].decode() for x, y in zip(cuts, cuts[1:] + [end])]
+        return [self.letters[x:y].decode("utf-8", "surrogatepass") for x, y in zip(cuts, cuts[1:] + [end])]
 
 
 def _mended(text: list[str], known: set[str], pairs: dict[str, tuple[str, str]]) -> list[str]:
@@ -164,7 +198,7 @@ def passage(item: list[str], text: list[str], at: np.ndarray, rare: set[str], le
         a = max(0, j - i - len(item) // 4 - 8)
         covered = min(len(text), max(j - i, 0) + len(item) + len(item) // 2 + 16)
         near = at[np.searchsorted(at[:, 0], a, "left") : np.searchsorted(at[:, 0], covered, "left"), 1]
-        if (near == near[0]).all():
+        if len(np.unique(near)) < LEAST_SEEDS:
             continue
         window = _mended(text[a:covered], known, pairs)
         if (not rare or rare & set(window)) and _aligned(item, window, rare, least, share):
@@ -232,12 +266,13 @@ def corpus_shards(docs: DataFrame, key: str, text: str, least: int = LEAST_WORDS
             return pd.DataFrame([[keys, *data]], columns=["keys", "of", "letters", "begins", "first", "order"])
 
         keys, of, size = [], [], 0
-        seen: dict[tuple[str, ...], int] = {}
+        seen: dict[bytes, int] = {}
         for pdf in batches:
             for k, t in zip(pdf[key], pdf[text]):
-                ws = tuple(words(t))
-                if len(ws) < max(least // 2, 1):
+                coded = coded_words(t)
+                if len(coded) < max(least // 2, 1):
                     continue
+                ws = b" ".join(coded)
                 if ws not in seen:
                     seen[ws] = len(seen)
                     size += len(t)
@@ -282,8 +317,7 @@ def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     """(key, item_key, n_words, doc_word, item_word): every text that holds a passage of an item, once, with the longest run of words that it has verbatim from it and where that begins in both.
 
     The corpus is cut into shards whose suffix arrays are stored once; every item suffix is looked up in every array by
-    binary search, runs of verbatim words are joined to the longest ones, and where a run alone is no passage the places are
-    aligned with the item. Null and empty texts hold nothing; items with fewer than ``least`` words leak nowhere.
+    binary search, runs of verbatim words are joined to the longest ones, and the places are aligned with the item. Null and empty texts hold nothing; items with fewer than ``least`` words leak nowhere.
     """
     shards = corpus_shards(docs, key, text, least)
     blocks, n = item_blocks(items, item_key, item_text, least)
@@ -332,16 +366,17 @@ def _search(shard: Shard, ids: list, texts: list[list[str]], rare: list[set[str]
     order = np.lexsort((at, word, item, doc))
     doc, item, word, at = doc[order], item[order], word[order], at[order]
     cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, int)
-    out = []
+    out, coded = [], [[w.encode() for w in ws] for ws in rare]
     for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-        if b - a < 2:
+        if b - a < LEAST_SEEDS:
             continue
         d, i = int(doc[a]), int(item[a])
+        # the rare words that a passage must keep stand in the letters of its text, however it is broken
+        if coded[i] and not any(w in shard.letters_of(d) for w in coded[i]):
+            continue
         spots = np.stack([word[a:b], at[a:b]], axis=1)
-        size, w, k = _longest_run(spots)
-        plain = size >= least and (not rare[i] or bool(rare[i] & set(texts[i][k : k + size])))
-        if plain or passage(texts[i], shard.words_of(d), spots, rare[i], least):
-            out.append((d, ids[i], size, w, k))
+        if passage(texts[i], shard.words_of(d), spots, rare[i], least):
+            out.append((d, ids[i], *_longest_run(spots)))
     return out
 
 

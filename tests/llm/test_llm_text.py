@@ -167,12 +167,24 @@ def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     assert set(seen[0]) == want and len(want) > 20
 
 
+def test_words_against_a_plain_pattern():
+    import html
+    import re
+    import unicodedata
+
+    texts = ["A_b<i>c</i> d&amp;e\u00adf", "Öl-Straße №5 ½ ﬁ Ωmega’s", "漢字。かな ガ", "e\u0301\u0489x ٣٤ a\u200bb", "", None, "x\x00y", "İI ǅ"]
+    for t in texts:
+        u = html.unescape(re.sub("<[^<>]{1,200}>", " ", t)) if t else ""
+        u = unicodedata.normalize("NFKD", u.replace("\u00ad", "").casefold())
+        assert leaks.words(t) == re.findall(r"[^\W_]+", "".join(c for c in u if not unicodedata.combining(c)))
+
+
 def test_suffix_array_against_scan():
     """The order is the full one, with copies and long repeats; ranges and longest matches are those of a scan."""
     rng = random.Random(8)
     texts = [[rng.choice(["ab", "abc", "b", "ca"]) for _ in range(60)] for _ in range(5)] + [["ab"] * 400, ["ab"] * 390 + ["b"], ["ü"]]
     texts.append(list(texts[0]))
-    shard = leaks.Shard.of(texts)
+    shard = leaks.Shard.of([" ".join(t).encode() for t in texts])
     suffixes = [(d, w, "".join(t[w:]).encode()) for d, t in enumerate(texts) for w in range(len(t))]
     got = [shard.suffix(p, 9999) for p in range(len(shard.order))]
     assert got == sorted(s for _, _, s in suffixes) and [shard.words_of(i) for i in range(len(texts))] == texts
