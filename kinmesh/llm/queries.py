@@ -100,12 +100,17 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.text_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every text with its language and a confidence value."""
+    return languages.segment_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with a missing or wrong label and those in several languages, with each language present."""
     return languages.label_cases(p10_languages(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments}
 
 ORACLE = {
     "p4_found": """

@@ -231,6 +231,66 @@ def test_held_out_accuracy():
     assert right / len(held) > 0.95
 
 
+def test_scores_against_a_plain_model():
+    """The merged arrays give what the interpolation says, letter by letter, also for letters and contexts nobody has."""
+    rng = random.Random(15)
+    samples = {k: [languages.letters(sentence(rng, k)) for _ in range(12)] for k in LANGS}
+    models = languages.Models(samples, calibrate=False)
+
+    def chance(lang, gram):
+        texts = [" " * languages.ORDER + p + " " for p in samples[lang]]
+        grams = {n: [t[i - n + 1 : i + 1] for t in texts for i in range(languages.ORDER, len(t))] for n in range(1, languages.ORDER + 1)}
+        counts = {languages.ORDER: {g: grams[languages.ORDER].count(g) for g in set(grams[languages.ORDER])}}
+        for n in range(languages.ORDER - 1, 0, -1):
+            counts[n] = {}
+            for g in counts[n + 1]:
+                counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+        def p(g):
+            if not g:
+                return models.floor
+            own = {x: c for x, c in counts[len(g)].items() if x[:-1] == g[:-1]}
+            if not own:
+                return p(g[1:])
+            total = sum(own.values())
+            return max(own.get(g, 0) - languages.DISCOUNT, 0) / total + languages.DISCOUNT * len(own) / total * p(g[1:])
+
+        return p(gram)
+
+    import math
+
+    for text in ("das rad the", "qq weil", "é"):
+        padded = " " * languages.ORDER + text + " "
+        for k, lang in enumerate(models.langs):
+            bits = [min(-math.log2(max(chance(lang, padded[i - languages.ORDER + 1 : i + 1]), 1e-9)), languages.MOST_BITS) for i in range(languages.ORDER, len(padded))]
+            assert abs(sum(bits) / len(bits) - models.score([text])[0, k]) < 1e-4
+
+
+def test_confidence_on_held_out_pieces():
+    """Pieces of a few letters of sentences that nobody trained on: the mean confidence is near the share that is right."""
+    rng = random.Random(25)
+    models = languages.train({k: [languages.letters(sentence(rng, k)) for _ in range(120)] for k in LANGS})
+    held = [(k, languages.letters(sentence(rng, k))[a : a + 10]) for k in LANGS for _ in range(150) for a in (0, 20)]
+    bits = models.score([p for _, p in held])
+    shares = models._shares(bits, languages.np.array([len(p) for _, p in held]), models.heat)
+    right = sum(models.langs[b] == k for (k, _), b in zip(held, bits.argmin(axis=1))) / len(held)
+    assert abs(shares.max(axis=1).mean() - right) < 0.1
+
+
+def test_training_sample_is_bounded(spark):
+    """The least hashes of all, as many as asked, whatever the copies and the partitions."""
+    rows = spark.createDataFrame([(i, "en" if i % 3 else None, 0, f"sentence number {i % 700}") for i in range(4000)], "key long, code string, pos int, plain string")
+    a, b = languages.training_sample(rows.repartition(9), 50), languages.training_sample(rows.coalesce(1), 50)
+    assert a == b and len(a["en"]) == 50 == len(set(a["en"]))
+    assert len(languages.training_sample(rows, 5000)["en"]) == 700 and languages.training_sample(rows.limit(0), 5) == {}
+
+
+def test_texts_without_language(spark):
+    t = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "12 | 5", "??")], "doc_id long, text string, lang string")
+    assert sorted(tuple(r) for r in languages.text_languages(t, "doc_id", "text", "lang").select("doc_id", "lang", "n_langs", "given").collect()) == [(1, None, 0, "en"), (2, None, 0, None), (3, None, 0, None)]
+    assert languages.segment_languages(t, "doc_id", "text", "lang").count() == 0
+
+
 def test_labels(spark):
     t = spark.createDataFrame([("EN",), ("deu",), ("fr-CA",), ("??",), ("",), (None,), ("en_US",)], "l string")
     assert [r[0] for r in t.select(languages.label(F.col("l"))).collect()] == ["en", "de", "fr", None, None, None, "en"]
