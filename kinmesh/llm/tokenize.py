@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.operators.skew import skew_join
+from kinmesh.session import stored
 
 #: Folder of the vocabulary files; a parameter, never copied.
 VOCABULARIES = os.environ.get("KINMESH_TOKENIZERS", "/opt/tokenizers")
+#: Share of all positions from which a word's ids are broadcast: at most its inverse, 2,000 words.
+COMMON_SHARE = 0.0005
 # Fixed value: the split pattern of the public vocabulary, spelled for Java's regular expressions.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,15 +49,23 @@ def encode_words(distinct: DataFrame, path: str) -> DataFrame:
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """(key, ids): one row per row of ``df``; empty and null texts get the empty list.
 
-    Words are split in Spark, each distinct word is encoded once, and the ids come back by (key, pos). ``key`` must be
-    unique and not null. Special tokens' strings in a text are ordinary text.
+    Words are split in Spark, once, into a stored stage; each distinct word is encoded once, and the ids come back by (key,
+    pos). The words that make up at least one in ``1 / COMMON_SHARE`` positions, so at most that many, are looked up in a
+    broadcast table: by the law of word frequencies that spares most positions the shuffle by word, and no hot word gathers in one
+    task. ``key`` must be unique and not null. Special tokens' strings in a text are ordinary text.
     """
     path = f"{folder or VOCABULARIES}/{vocabulary}"
-    split = words(df, key, text)
-    table = encode_words(split.select("word").distinct(), path)
-    ids = skew_join(split, table, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    got = ids.select(F.col(key).alias("__k"), F.flatten(F.col("parts.ids")).alias("ids"))
-    return df.select(key).join(got, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    split = stored(words(df.select(key, text), key, text), "words")
+    counts = stored(split.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    table = stored(encode_words(counts, path).join(counts.hint("merge"), "word"), "word-table")
+    total = counts.agg(F.sum("n").alias("total"))
+    common = table.join(F.broadcast(total)).where(F.col("n") >= F.lit(COMMON_SHARE) * F.col("total")).select("word", F.col("ids").alias("common_ids"))
+    marked = split.join(F.broadcast(common), "word", "left")
+    often = marked.where("common_ids IS NOT NULL").select(key, "pos", F.col("common_ids").alias("ids"))
+    rest = marked.where("common_ids IS NULL").select(key, "pos", "word").join(table.select("word", "ids").hint("merge"), "word").select(key, "pos", "ids")
+    ids = often.unionByName(rest).groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    got = ids.select("__k", F.flatten(F.col("parts.ids")).alias("ids"))
+    return df.select(key).join(got.hint("merge"), F.col(key) == F.col("__k"), "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def pieces(spark: SparkSession, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
