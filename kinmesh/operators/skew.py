@@ -83,3 +83,16 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], part: int = 1000) -> DataFrame:
+    """Equi-join by shuffle of two sides with repeated keys, spread where a key has many rows on the right.
+
+    The right rows of a key are dealt into parts of about ``part`` rows, and its left rows are repeated in each, so that no task
+    holds all pairs of a key. Neither side is broadcast. Null keys never match; extra columns must not clash.
+    """
+    sizes = right.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("_parts"))
+    mark = F.xxhash64(*[c for c in right.columns if c not in keys]) if len(right.columns) > len(keys) else F.lit(0)
+    b = right.join(sizes.hint("merge"), keys).withColumn("_part", F.pmod(mark, F.col("_parts")).cast("int")).drop("_parts")
+    a = left.join(sizes.hint("merge"), keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return a.hint("merge").join(b, [*keys, "_part"]).drop("_part")

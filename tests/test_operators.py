@@ -19,6 +19,15 @@ def test_skew(spark, rows):
         assert skew.skew_join(t, right, "k", "left", least=least).count() == t.count()
 
 
+def test_dealt_join(spark, rows):
+    a = spark.createDataFrame([(1, x) for x in range(30)] + [(2, 9), (None, 1), (3, 3)], "k long, x long")
+    b = spark.createDataFrame([(1, y) for y in range(40)] + [(1, 5), (2, 7), (None, 2)], "k long, y long")
+    want = sorted((k, x, y) for k, x in rows(a) for l, y in rows(b) if k is not None and k == l)
+    for part in (1, 7, 1000):
+        assert sorted(map(tuple, skew.dealt_join(a, b, ["k"], part).collect())) == want
+    assert skew.dealt_join(a, b.limit(0), ["k"]).count() == 0
+
+
 def test_aggregates(spark, rows):
     t = spark.createDataFrame([(1, "x", 0.0), (1, "y", 48.2), (1, "y", 48.2), (1, None, 47.1), (2, "b", 0.0), (2, "a", None)], "k int, v string, lat double")
     assert rows(aggregate.mode_by(t, ["k"], "v", "v")) == [(1, "y"), (2, "a")]
