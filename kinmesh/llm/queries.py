@@ -68,6 +68,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("set_field", "record_id_a", "record_id_b")
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a set of at least five values: its class of equal sets and how many other classes are similar, for each of the two fields."""
+    t = table(spark, sf_dir, "patstat_dedupe_input")
+    parts = [setjoin.record_classes(t, "record_id", f, "Person").withColumn("set_field", F.lit(f)) for f in ("Coauthor", "Class")]
+    return parts[0].unionByName(parts[1]).select("set_field", "record_id", "class_id", "n_similar")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -110,7 +117,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.label_cases(p10_languages(spark, sf_dir), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments}
 
 ORACLE = {
     "p4_found": """
