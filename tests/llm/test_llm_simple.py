@@ -112,6 +112,34 @@ def test_survivors(spark, rows, want):
     assert survivors_of(spark, rows) == want
 
 
+def test_survivors_need_discovery(spark, monkeypatch):
+    """With equal trust in all sources the latest claim of any kind would survive: reliabilities decide."""
+    rows = [("optik bau gmbh", 50.0, 10.0, 1), ("unbekannt", 10.0, 10.0, 2), ("optik b", 11.0, 10.0, 3)]
+    assert survivors_of(spark, rows) == (0, 0)
+    real = survivor.discover
+    monkeypatch.setattr(survivor, "discover", lambda c: (lambda best, trust: (best, dict.fromkeys(trust, 1.0)))(*real(c)))
+    assert survivors_of(spark, rows) == (2, 2)
+
+
+def test_shorter_forms_against_brute_force(spark):
+    """Beginnings and other shorter forms are found in a group of any size, also where the order is cut into ranges; very long names are read whole."""
+    rng = random.Random(31)
+    pool = ["anna", "an", "berg", "b", "c.", "mai", "maier", "x", "ab"]
+    names = {" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 5))) for _ in range(120)} | {"zeta " * 400 + "omega", "zeta zeta omega"}
+    t = spark.createDataFrame([(e, n) for e in (1, 2) for n in sorted(names) if e == 1 or len(n) % 2], "entity long, core string").withColumn("base", F.col("core")).repartition(5)
+    groups = {e: {r["core"] for r in t.where(f"entity = {e}").collect()} for e in (1, 2)}
+    texts = t.select("entity", F.col("core").alias("s"), F.lit(0).alias("kind")).unionByName(t.select("entity", F.col("core").alias("s"), F.lit(1).alias("kind")))
+    got = {(r["entity"], r["s"]): r["next_core"] for r in survivor._following(texts).where("kind = 0").collect()}
+    assert got == {(e, n): min((m for m in g if m > n), default=None) for e, g in groups.items() for n in g}
+
+    def form(x, y):
+        w = y.split(" ")
+        return x != y and len(w) > 1 and not y.startswith(x) and (f" {x} " in f" {y} " or x == f"{w[0]} {w[-1]}" or x == w[0] + " " + " ".join(v[0] + "." for v in w[1:]))
+
+    want = {(e, x) for e, g in groups.items() for x in g if any(form(x, y) for y in g)}
+    assert {tuple(r) for r in survivor._shortened(t, t).collect()} == want and len(want) > 20
+
+
 def test_survivors_of_nothing(spark):
     t = spark.createDataFrame([], "record_id long, Person long, Name string, Lat double, Lng double, country string, loaded_at timestamp")
     assert survivor.survivors(t, spark.createDataFrame(GAZ, "city string, country string, lat double, lng double, population long, region string")).count() == 0
