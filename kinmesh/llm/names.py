@@ -266,7 +266,7 @@ def _near(ref: DataFrame, seen: DataFrame) -> DataFrame:
     # levenshtein counts an exchange of neighbours twice; exchanges keep the letters
     fits = (far <= most) | ((far <= most + 1) & (odd <= 2)) | ((far <= most + 2) & (odd == 0))
     apart = F.abs(F.length("hw") - F.length("fw")) <= 2
-    return a.join(b, "k").where(apart & (odd <= 4)).select("hw", "fw", "hm", "fm").distinct().where(fits).select("hw", "fw")
+    return a.hint("merge").join(b, "k").where(apart & (odd <= 4)).select("hw", "fw", "hm", "fm").distinct().where(fits).select("hw", "fw")
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -349,8 +349,8 @@ def linked(reference: DataFrame, ref_key: str, ref_name: str, ref_country: str,
     # names with a common word: each is spread over salts, the reference names are repeated in every salt
     side = lambda t, s, *own: t.select(*own, *[F.col(c).alias(f"{s}{c}") for c in ("w", "j", "firm", "ini", "f0")], F.explode("t").alias("r")).select("*", *[F.col(f"r.{c}").alias(f"{s}{c}") for c in ("p", "n", "m", "o", "cls")]).drop("r")
     right = side(seen, "f", "f", "fc").withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)))
-    left = near.where("common").join(side(e, "h", "h", "hc"), "hw").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    refined = left.join(right, ["fw", "salt"]).where(agree & _agreeing("h", "f")).select("h", "f")
+    left = near.where("common").hint("merge").join(side(e, "h", "h", "hc"), "hw").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    refined = left.hint("merge").join(right, ["fw", "salt"]).where(agree & _agreeing("h", "f")).select("h", "f")
     cand = once.unionByName(refined).distinct()
     cand = cand.join(ref_forms.select(F.col("f").alias("h"), F.col("words").alias("wa"), F.col("legal").alias("la"), F.col("firm").alias("fa")), "h")
     cand = cand.join(forms.select("f", F.col("words").alias("wb"), F.col("legal").alias("lb"), F.col("firm").alias("fb")), "f")
