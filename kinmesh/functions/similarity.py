@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmesh.operators.skew import dealt_join
+
 EARTH_KM = 6371.0
 
 
@@ -152,3 +154,52 @@ def set_cosine(pairs: DataFrame, sets: DataFrame, key: str, values: str) -> Data
     )
     out = pairs.select(a, b).join(dot, [a, b], "left").join(norm.toDF(a, "na"), a, "left").join(norm.toDF(b, "nb"), b, "left")
     return out.select(a, b, F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
+
+
+def similar_sets(a: DataFrame, b: DataFrame, values_a: str, values_b: str, threshold: float) -> DataFrame:
+    """All pairs of rows of two frames whose sets of values have a Jaccard similarity of at least ``threshold``, with the columns of both.
+
+    Exact prefix filter: values are ordered from rare to common over both sides; sets that similar share one of their first
+    n - ceil(threshold * n) + 1 values, which leaves out the common ones without losing a pair. No cap; hot values are
+    dealt into parts. Repeated rows count once. Column names must not clash; empty sets pair with nothing.
+    """
+    counts = a.select(F.explode(values_a).alias("v")).unionByName(b.select(F.explode(values_b).alias("v"))).groupBy("v").agg(F.count("*").alias("_df"))
+
+    def keyed(t: DataFrame, values: str, tag: str) -> DataFrame:
+        rows = t.distinct().withColumn(f"_r{tag}", F.xxhash64(*t.columns))
+        long = rows.select(f"_r{tag}", F.size(values).alias("_n"), F.explode(values).alias("v")).join(counts.hint("merge"), "v")
+        place = F.row_number().over(Window.partitionBy(f"_r{tag}").orderBy("_df", "v"))
+        return rows, long.withColumn("_k", place).where(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).select("v", f"_r{tag}")
+
+    (rows_a, left), (rows_b, right) = keyed(a, values_a, "a"), keyed(b, values_b, "b")
+    met = dealt_join(left, right, ["v"]).select("_ra", "_rb").distinct()
+    both = met.join(rows_a.hint("merge"), "_ra").join(rows_b.hint("merge"), "_rb")
+    return both.where(set_jaccard(F.col(values_a), F.col(values_b)) >= threshold - 1e-9).drop("_ra", "_rb")
+
+
+def near_cosine(sets: DataFrame, key: str, values: str, threshold: float) -> DataFrame:
+    """(key_a, key_b, cosine) of all pairs of records whose sets, as vectors of inverse document frequencies, have a cosine of at least ``threshold``.
+
+    Exact prefix filter: values are ordered from rare to common; the common end of a vector whose length is under the threshold
+    cannot bring a pair there, so pairs meet at the values before it only. No cap on a value's holders; hot ones are dealt into parts.
+    """
+    long = sets.select(F.col(key).alias("r"), F.explode(F.array_distinct(values)).alias("v"))
+    w = long.join(document_frequency(sets, values).select(F.col("value").alias("v"), "df", "idf").hint("merge"), "v")
+    own = Window.partitionBy("r")
+    w = w.withColumn("all", F.sum(F.col("idf") * F.col("idf")).over(own)).withColumn("before", F.coalesce(F.sum(F.col("idf") * F.col("idf")).over(own.orderBy("df", "v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    keyed = w.where((F.col("all") > 0) & (F.col("all") - F.col("before") >= (threshold * threshold - 1e-9) * F.col("all"))).select("v", "r")
+    a, b = f"{key}_a", f"{key}_b"
+    met = dealt_join(keyed.select("v", F.col("r").alias(a)), keyed.select("v", F.col("r").alias(b)), ["v"]).where(F.col(a) < F.col(b)).select(a, b).distinct()
+    vec = w.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("v", "idf"))).alias("m"), F.sqrt(F.max("all")).alias("norm"))
+    both = met.join(vec.toDF(a, "ma", "na").hint("merge"), a).join(vec.toDF(b, "mb", "nb").hint("merge"), b)
+    shared = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda acc, v: acc + F.pow(F.col("ma")[v], F.lit(2.0)))
+    return both.select(a, b, (dot / (F.col("na") * F.col("nb"))).alias("cosine")).where(F.col("cosine") >= threshold - 1e-6)
+
+
+def best_in_list(values: DataFrame, choices: DataFrame, value: str, choice: str, threshold: float) -> DataFrame:
+    """(value, choice, score): the choice whose set of letters is likest, if likeness exceeds ``threshold``; ties go to the last choice in order. Both must be distinct; candidates share the first letter."""
+    first = lambda df, c: df.withColumn("_k", F.substring(c, 1, 1))
+    scored = first(values, value).join(first(choices, choice), "_k").withColumn("score", char_jaccard(F.col(value), F.col(choice))).where(F.col("score") > threshold)
+    best = scored.groupBy(value).agg(F.max(F.struct("score", choice)).alias("m"))
+    return best.select(value, F.col(f"m.{choice}").alias(choice), F.col("m.score").alias("score"))

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hash_place(text: Column) -> Column:
+    """A whole number from 0 to 2^28 - 1 from the first hexadecimal digits of a text's MD5: the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
 def mode_by(df: DataFrame, keys: list[str], value: str | Column, name: str) -> DataFrame:
     """The most frequent non-null value per key, ties to the least value. Counts are combined before the shuffle, so hot keys stay cheap."""
     v = F.col(value) if isinstance(value, str) else value
@@ -23,9 +28,9 @@ def mode_of_pair(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def set_union(df: DataFrame, keys: list[str], values: Column, name: str, cap: int = 100) -> DataFrame:
-    """The distinct values per key, at most ``cap`` (those with the least hashes), sorted. Values are distinct before they are gathered, and only ``cap`` per key are."""
+    """The distinct values per key, sorted, at most the ``cap`` least ones. Values are distinct before they are gathered, and only ``cap`` per key are."""
     long = df.select(*keys, F.explode(values).alias("v")).where("v IS NOT NULL").distinct()
-    ranked = long.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("v"), "v"))).where(F.col("r") <= cap)
+    ranked = long.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v"))).where(F.col("r") <= cap)
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias(name))
 
 
@@ -82,15 +87,51 @@ def counters(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, value: str, top: int = 100, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """(mean, low, high): mean and 95 % interval of ``draws`` resamples of the ``top`` largest values, spread over tasks by draw."""
-    import numpy as np
-    import pandas as pd
+    """(mean, low, high): mean and 95 % interval of ``draws`` resamples of the ``top`` largest values, drawn by hash, so the same on every run."""
+    best = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).orderBy(F.desc("v")).limit(top)
+    held = best.agg(F.sort_array(F.collect_list("v"), asc=False).alias("vs")).where(F.size("vs") > 0)
+    spread = df.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(held))
+    pick = lambda i: F.element_at("vs", (hash_place(F.concat_ws("/", F.lit(str(seed)), F.col("draw").cast("string"), i.cast("string"))) % F.size("vs") + 1).cast("int"))
+    mean = F.aggregate(F.sequence(F.lit(1), F.size("vs")), F.lit(0.0), lambda acc, i: acc + pick(i)) / F.size("vs")
+    return spread.select(mean.alias("m")).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def first_value(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """The first non-null value per key in a total order of rows."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(F.struct(*order, value)).alias("m")).select(*keys, F.col(f"m.{value}").alias(name))
+
+
+def share_of_total(df: DataFrame, key: str, amount: str) -> DataFrame:
+    """(key, amount, share, max_share): each key's part of the whole, and the largest part."""
+    sums = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(amount).alias(amount))
+    total = sums.agg(F.sum(amount).alias("_t"), F.max(amount).alias("_m"))
+    return sums.join(F.broadcast(total)).select(key, amount, (F.col(amount) / F.col("_t")).alias("share"), (F.col("_m") / F.col("_t")).alias("max_share"))
 
-    values = df.where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(top).select(F.col(value).cast("double")).toPandas().iloc[:, 0].to_numpy()
+
+def max_over(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the largest value of each column, and of all of them together (``overall``)."""
+    return df.agg(*[F.max(c).alias(c) for c in columns], F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])).alias("overall"))
+
+
+def in_chunks(df: DataFrame, size: int, f, schema: str) -> DataFrame:
+    """Hands a table to a function of pandas frames in chunks of at most ``size`` rows; chunks stay within their partition."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"m": [float(np.random.default_rng(seed + int(i)).choice(values, len(values)).mean()) if len(values) else None for i in pdf["id"]]})
+            for a in range(0, len(pdf), size):
+                yield f(pdf.iloc[a : a + size])
+
+    return df.mapInPandas(run, schema)
+
+
+def others(df: DataFrame, unit: str, person: str, name: str, most: int) -> DataFrame:
+    """(unit, person, others): the first ``most`` distinct names, in order, of the other persons of each unit.
 
-    means = df.sparkSession.range(draws).mapInPandas(run, "m double")
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    Of a unit only the first ``most`` + 1 names, with two persons each, are gathered: whoever is left out of these has
+    enough of them, so a unit of many persons gives a short list and each row meets that list only.
+    """
+    holders = df.select(unit, person, name).distinct().groupBy(unit, name).agg(F.min(person).alias("_a"), F.max(person).alias("_b"))
+    first = holders.withColumn("_k", F.row_number().over(Window.partitionBy(unit).orderBy(name))).where(F.col("_k") <= most + 1)
+    lists = first.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(name, "_a", "_b"))).alias("_m"))
+    rest = F.filter("_m", lambda x: (x["_a"] != F.col(person)) | (x["_b"] != F.col(person)))
+    return df.select(unit, person).distinct().join(lists, unit).select(unit, person, F.slice(F.transform(rest, lambda x: x[name]), 1, most).alias("others"))

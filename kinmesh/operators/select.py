@@ -7,26 +7,33 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.operators.aggregate import hash_place
 from kinmesh.operators.skew import skew_join
 from kinmesh.session import stored
 
 
+def _mark(key: str):
+    return F.md5(F.col(key).cast("string"))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, *strata: str) -> DataFrame:
-    """The ``n`` rows with the least hashes of ``key``, per stratum if any; the same rows on every run."""
+    """The ``n`` rows with the least hashes of ``key``, per stratum if any; the same rows on every run and in any engine."""
     if not strata:
-        return df.orderBy(F.xxhash64(key), key).limit(n)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(key), key))).where(F.col("_r") <= n).drop("_r")
+        return df.orderBy(_mark(key), key).limit(n)
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(_mark(key), key))).where(F.col("_r") <= n).drop("_r")
 
 
 def share_sample(df: DataFrame, key: str, share: float) -> DataFrame:
     """The rows whose key's hash falls into the given share; needs no shuffle."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.where(hash_place(F.col(key).cast("string")) < int(share * (1 << 28)))
 
 
 def stratified_sample(df: DataFrame, column: str, shares: dict, key: str) -> DataFrame:
-    """The share of rows given for each value of a column, by the hash of ``key``."""
-    limit = F.coalesce(*[F.when(F.col(column) == v, F.lit(int(s * 1_000_000))) for v, s in shares.items()], F.lit(0))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < limit)
+    """The share of rows given for each value of a column, by the hash of ``key``; a share of n or more whole times gives each row n times and one more by hash."""
+    want = F.coalesce(*[F.when(F.col(column) == v, F.lit(float(s))) for v, s in shares.items()], F.lit(0.0))
+    more = hash_place(F.col(key).cast("string")) < ((want - F.floor(want)) * (1 << 28)).cast("long")
+    copies = (F.floor(want) + more.cast("int")).cast("int")
+    return df.withColumn("_c", copies).where("_c > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_c")
 
 
 def pair_sample(df: DataFrame, key: str, per_row: int = 10, seed: int = 11) -> DataFrame:
@@ -34,10 +41,10 @@ def pair_sample(df: DataFrame, key: str, per_row: int = 10, seed: int = 11) -> D
 
     The numbered rows are a stored stage, so each number stands for one row in both roles. Null keys and empty tables give no pairs.
     """
-    placed = number_rows(df.select(key).where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(key)), ["_h", key], "i").select(key, "i")
+    placed = number_rows(df.select(key).where(F.col(key).isNotNull()).withColumn("_h", _mark(key)), ["_h", key], "i").select(key, "i")
     n = placed.count()
     draws = placed.select(F.col(key).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("d"))
-    draws = draws.select("x", F.pmod(F.xxhash64("x", "d", F.lit(seed)), F.lit(max(n, 1))).alias("i"))
+    draws = draws.select("x", (hash_place(F.concat_ws("/", F.col("x").cast("string"), F.col("d").cast("string"), F.lit(str(seed)))) % max(n, 1)).alias("i"))
     met = draws.join(placed, "i").where(F.col("x") != F.col(key))
     return met.select(F.least("x", key).alias(f"{key}_a"), F.greatest("x", key).alias(f"{key}_b")).distinct()
 
@@ -96,5 +103,12 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
 def sampled_blocks(blocks: DataFrame, keys: list[str], n: int) -> DataFrame:
     """All records of at most ``n`` blocks of several records, those with the least hashes."""
     several = blocks.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    chosen = several.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    chosen = several.orderBy(F.md5(F.concat_ws("/", *keys)), *keys).limit(n)
     return blocks.join(chosen, keys, "left_semi")
+
+
+def tail_slice(counts: DataFrame, n: str, key: str, least: int, share: float) -> DataFrame:
+    """The end of a list ordered by count (most first, ties by key) that stops at count ``least``: the share of all rows of ``counts`` in length."""
+    total = counts.count()
+    size = -(-total * share // 1)
+    return counts.where(F.col(n) >= least).orderBy(n, F.desc(key)).limit(int(size))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinmesh.functions import text
-from kinmesh.operators import aggregate, blocking, classify, evaluate, link, pairs
+from kinmesh.operators import aggregate, blocking, classify, evaluate, link, pairs, select
 from kinmesh.plans.relational import person_appln
 from kinmesh.plans.texts import registers
 from kinmesh.session import stored, table
@@ -22,9 +22,8 @@ def extract_clean(spark, d):
     codes = li.join(p, "l_partkey").groupBy("appln_id").agg(F.array_sort(F.collect_set("p_brand")).alias("ipc_code"))
     persons = s.join(cleaned, "s_name").join(F.broadcast(n), "s_nationkey").drop("s_nationkey", "s_name")
     rows = pa.join(persons, "person_id").join(o, "appln_id")
-    mates = rows.groupBy("appln_id").agg(F.collect_list(F.struct("person_name", "person_id")).alias("m"))
-    others = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter("m", lambda x: x["person_id"] != F.col("person_id")), lambda x: x["person_name"]))), 1, 9)
-    return rows.join(mates, "appln_id").join(codes, "appln_id", "left").select("appln_id", "person_id", "person_name", "firm_legal_id", "country", "filed", others.alias("coauthors"), "ipc_code")
+    mates = aggregate.others(rows, "appln_id", "person_id", "person_name", 9)
+    return rows.join(mates, ["appln_id", "person_id"]).join(codes, "appln_id", "left").select("appln_id", "person_id", "person_name", "firm_legal_id", "country", "filed", F.array_join("others", "**").alias("coauthors"), F.array_join("ipc_code", "**").alias("ipc_code"))
 
 
 def dedupe_end_to_end(spark, d):
@@ -32,9 +31,19 @@ def dedupe_end_to_end(spark, d):
 
 
 def dedupe_quality(spark, d):
-    """Precision and recall of the pipeline's clusters against Person."""
-    got = dedupe_end_to_end(spark, d).join(table(spark, d, "patstat_dedupe_input").select("record_id", "Person"), "record_id")
-    return evaluate.precision_recall(got, "cluster_id", "Person")
+    """Precision and recall of the pipeline's clusters against Person, over the Persons that the classifier was not trained on."""
+    held = table(spark, d, "patstat_dedupe_input").select("record_id", "Person").where(~pairs.is_training(F.col("Person")))
+    return evaluate.precision_recall(dedupe_end_to_end(spark, d).join(held, "record_id"), "cluster_id", "Person")
+
+
+def dedupe_learned(spark, d):
+    """The pipeline with block rules learned on the training half, and thresholds by the countries' recall weights."""
+    t = table(spark, d, "patstat_dedupe_input")
+    recs = pairs.records(t)
+    matches = pairs.training_pairs(recs.where(pairs.is_training(F.col("Person"))), "record_id", "Person").where("label = 1")
+    n = matches.count()
+    got, _, _ = blocking.learn_with_retries(lambda ppc, gap: blocking.learn_rules(recs, "record_id", pairs.default_rules(), matches, ppc, gap), 0.01, max(n // 10, 10))
+    return pairs.deduplicate(t, rules=[r for r in pairs.default_rules() if got is None or r.name in got])
 
 
 def two_round_dedupe(spark, d):
@@ -57,8 +66,7 @@ def link_classifier(spark, d):
     links = stored(link.phonetic_links(*registers(spark, d)), "links")
     far = links.where("lev_dist > 0.4").select("left_id", "right_id", F.lit(0.0).alias("label"))
     labels = link.match_labels(links, far)
-    # the register has no positions, so the distance in km says nothing here
-    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=2, columns=("lev_dist", "jac_dist"), weights=(0.1,))
+    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=5, weights=(0.01, 0.1, 1.0))
     return model.transform(links).select("left_id", "right_id", F.col("prediction").cast("int").alias("is_match"), F.round(F.element_at(vector_to_array("rawPrediction"), 2), 4).alias("margin"))
 
 
@@ -83,20 +91,59 @@ def coded(spark, d):
     return classify.frequent_labels(t, "label", 50)
 
 
+def held_out(df, key):
+    """(training rows, the others): four fifths and one fifth by hash."""
+    train = select.share_sample(df, key, 0.8)
+    return train, df.join(train.select(key), key, "left_anti")
+
+
 def _predicted(kind: str):
     def run(spark, d):
-        t = coded(spark, d)
-        return classify.code_pipeline(kind, "codes", "label").fit(t).transform(t).select("record_id", "label", F.col("prediction").cast("int").alias("predicted"))
+        """Classes of the rows that the model has not seen."""
+        train, test = held_out(coded(spark, d), "record_id")
+        return classify.code_pipeline(kind, "codes", "label").fit(train).transform(test).select("record_id", "label", F.col("prediction").cast("int").alias("predicted"), (F.col("prediction") == F.col("y")).alias("right"))
 
     run.__name__ = f"{kind}_classifier"
     return run
 
 
+def nb_cross_validated(spark, d):
+    """Mean accuracy of naive Bayes over ten folds, with tf-idf and with plain counts."""
+    t = coded(spark, d)
+    rows = [(what, round(classify.cross_validated(classify.code_pipeline("nb", "codes", "label", tfidf), t), 6)) for what, tfidf in (("tf-idf", True), ("counts", False))]
+    return spark.createDataFrame(rows, "weights string, accuracy double")
+
+
 def text_classifier(spark, d):
-    """The kind of a text from words and pairs of words."""
-    t = table(spark, d, "documents").where("text IS NOT NULL AND text <> '' AND text_kind IS NOT NULL").select("doc_id", "text", "text_kind")
-    return classify.text_pipeline("text", "text_kind").fit(t).transform(t).select("doc_id", "text_kind", F.col("prediction").cast("int").alias("predicted"))
+    """The kind of a text from words and pairs of words, for texts that the model has not seen."""
+    train, test = held_out(table(spark, d, "documents").where("text IS NOT NULL AND text <> '' AND text_kind IS NOT NULL").select("doc_id", "text", "text_kind"), "doc_id")
+    return classify.text_pipeline("text", "text_kind").fit(train).transform(test).select("doc_id", "text_kind", F.col("prediction").cast("int").alias("predicted"), (F.col("prediction") == F.col("y")).alias("right"))
+
 
+def text_accuracy(spark, d):
+    """The share of held-out texts whose kind is predicted rightly."""
+    return text_classifier(spark, d).agg(F.count("*").alias("n"), F.round(F.avg(F.col("right").cast("double")), 6).alias("accuracy"))
 
-QUERIES = {f.__name__: f for f in (extract_clean, dedupe_end_to_end, dedupe_quality, two_round_dedupe, learned_rules, link_classifier, link_coverage, linkage_input, _predicted("nb"), _predicted("rf"), _predicted("svc"), text_classifier)}
-ORACLE: dict[str, str] = {}
+
+def link_coverage_by_sector(spark, d):
+    """The share of register rows with a link, per country and sector."""
+    left, right = registers(spark, d)
+    sector = table(spark, d, "leuven_name").groupBy(F.col("person_id").alias("id")).agg(F.min("sector").alias("sector"))
+    return link.coverage(left.select("id", "country").join(sector, "id"), link.phonetic_links(left, right), "country", "sector")
+
+
+QUERIES = {f.__name__: f for f in (extract_clean, dedupe_end_to_end, dedupe_quality, dedupe_learned, two_round_dedupe, learned_rules, link_classifier, link_coverage, link_coverage_by_sector, linkage_input, _predicted("nb"), _predicted("rf"), _predicted("svc"), nb_cross_validated, text_classifier, text_accuracy)}
+ORACLE: dict[str, str] = {
+    "extract_clean": """WITH pa AS (SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS appln_id FROM lineitem), s AS (SELECT s_suppkey AS person_id, replace(upper(s_name), '#', '') AS person_name, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+      r AS (SELECT appln_id, person_id, person_name, country, year(o_orderdate) AS filed FROM pa JOIN s USING (person_id) JOIN orders ON appln_id = o_orderkey),
+      o AS (SELECT DISTINCT a.appln_id, a.person_id, b.person_name AS other FROM r a JOIN r b ON a.appln_id = b.appln_id AND a.person_id <> b.person_id), k AS (SELECT *, row_number() OVER (PARTITION BY appln_id, person_id ORDER BY other) AS k FROM o),
+      c AS (SELECT appln_id, person_id, string_agg(other, '**' ORDER BY other) AS coauthors FROM k WHERE k <= 9 GROUP BY ALL), i AS (SELECT l_orderkey AS appln_id, string_agg(DISTINCT p_brand, '**' ORDER BY p_brand) AS ipc_code FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+      SELECT r.appln_id, r.person_id, person_name, '' AS firm_legal_id, country, filed, coalesce(coauthors, '') AS coauthors, ipc_code FROM r LEFT JOIN c ON r.appln_id = c.appln_id AND r.person_id = c.person_id LEFT JOIN i ON r.appln_id = i.appln_id""",
+    "linkage_input": """WITH g AS (SELECT city, lower(trim(country)) AS cc, lat, lng, population FROM gazetteer WHERE NOT contains(city, ' ')), l AS (SELECT person_id AS id, person_name AS name, person_address, upper(trim(person_ctry_code)) AS country FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_name IS NOT NULL AND upper(trim(person_ctry_code)) <> ''),
+      w AS (SELECT DISTINCT person_address, i, string_split(person_address, ' ')[i] AS w FROM l, unnest(range(1, len(string_split(person_address, ' ')) + 1)) AS u(i) WHERE person_address IS NOT NULL),
+      h AS (SELECT person_address, lat, lng, row_number() OVER (PARTITION BY person_address ORDER BY i DESC, population DESC, cc) AS k FROM w JOIN g ON w.w = g.city),
+      p AS (SELECT * FROM patstat_dedupe_input WHERE Person IS NOT NULL), n AS (SELECT Person, Name, row_number() OVER (PARTITION BY Person ORDER BY count(*) DESC, Name) AS k FROM p WHERE Name IS NOT NULL GROUP BY Person, Name),
+      q AS (SELECT Person, Lat, Lng, row_number() OVER (PARTITION BY Person ORDER BY count(*) DESC, Lat, Lng) AS k FROM p WHERE Lat <> 0 AND Lng <> 0 AND NOT isnan(Lat) AND NOT isnan(Lng) GROUP BY Person, Lat, Lng), c AS (SELECT Person, min(country) AS country FROM p GROUP BY Person)
+      SELECT id, name, coalesce(lat, 0.0) AS lat, coalesce(lng, 0.0) AS lng, country, 'register' AS source FROM l LEFT JOIN (SELECT * FROM h WHERE k = 1) h ON l.person_address = h.person_address
+      UNION ALL SELECT n.Person, n.Name, coalesce(q.Lat, 0.0), coalesce(q.Lng, 0.0), c.country, 'patstat' FROM n JOIN c ON n.Person = c.Person LEFT JOIN q ON q.Person = n.Person AND q.k = 1 WHERE n.k = 1""",
+}

@@ -63,10 +63,7 @@ def coauthor_lists(spark, d):
     """The first nine other persons of each application, by person and not by name."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), "s_name")
     all_ = person_appln(spark, d).join(s, "person_id")
-    w = all_.groupBy("appln_id").agg(F.collect_list(F.struct("s_name", "person_id")).alias("m"))
-    rows = w.select("appln_id", "m", F.explode("m").alias("p"))
-    names = F.array_sort(F.array_distinct(F.transform(F.filter("m", lambda x: x["person_id"] != F.col("p.person_id")), lambda x: x["s_name"])))
-    return rows.select("appln_id", F.col("p.person_id").alias("person_id"), F.array_join(F.slice(names, 1, 9), "**").alias("coauthors"))
+    return aggregate.others(all_, "appln_id", "person_id", "s_name", 9).select("appln_id", "person_id", F.array_join("others", "**").alias("coauthors"))
 
 
 @query("""WITH c AS (SELECT Person, Name, count(*) AS n FROM patstat_dedupe_input WHERE Name IS NOT NULL AND Person IS NOT NULL GROUP BY ALL),
@@ -80,10 +77,12 @@ def consolidate_mode(spark, d):
     return aggregate.mode_of_pair(t, ["Person"], "Lat", "Lng").join(aggregate.mode_by(t, ["Person"], "Name", "Name"), "Person", "left").select("Person", "Name", "Lat", "Lng")
 
 
-@query()
+@query("""WITH v AS (SELECT DISTINCT Person, lower(trim(v)) AS v FROM (SELECT Person, unnest(Class) AS v FROM patstat_dedupe_input WHERE Person IS NOT NULL) WHERE v IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY Person ORDER BY v) AS k FROM v)
+  SELECT Person, string_agg(v, '**' ORDER BY v) AS classes FROM r WHERE k <= 100 GROUP BY Person""")
 def consolidate_set_capped(spark, d):
-    """At most 100 distinct classes per Person, those with the least hashes."""
-    return aggregate.set_union(table(spark, d, "patstat_dedupe_input").where("Person IS NOT NULL"), ["Person"], F.transform("Class", lambda v: F.lower(F.trim(v))), "classes")
+    """At most 100 distinct classes per Person, the least ones."""
+    sets = aggregate.set_union(table(spark, d, "patstat_dedupe_input").where("Person IS NOT NULL"), ["Person"], F.transform("Class", lambda v: F.lower(F.trim(v))), "classes")
+    return sets.select("Person", F.array_join("classes", "**").alias("classes"))
 
 
 @query("SELECT Person, CAST(sum(patent_ct) AS BIGINT) AS patent_ct, max(loaded_at) AS loaded_at, count(*) AS n_rows FROM patstat_dedupe_input WHERE Person IS NOT NULL GROUP BY Person")
@@ -256,19 +255,22 @@ def sequential_cluster_ids(spark, d):
     return select.sequential_ids(leuven(spark, d).select("person_id", "hrm_l2_id"), "person_id", "hrm_l2_id")
 
 
-@query()
+@query("""SELECT person_id, person_ctry_code, person_address FROM (SELECT person_id, person_ctry_code, person_address, row_number() OVER (PARTITION BY person_ctry_code ORDER BY md5(CAST(person_id AS VARCHAR)), person_id) AS k
+  FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address <> '' AND person_ctry_code IS NOT NULL) WHERE k <= 200""")
 def hash_sample(spark, d):
     """Two hundred addresses per country, the same on every run."""
     t = leuven(spark, d).where("person_address <> '' AND person_ctry_code IS NOT NULL").select("person_id", "person_ctry_code", "person_address")
     return select.hash_sample(t, "person_id", 200, "person_ctry_code")
 
 
-@query()
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE ('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 7))::BIGINT < CASE c_mktsegment WHEN 'BUILDING' THEN 134217728 WHEN 'MACHINERY' THEN 53687091 ELSE 0 END")
 def stratified_sample(spark, d):
     return select.stratified_sample(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": 0.5, "MACHINERY": 0.2}, "c_custkey")
 
 
-@query()
+@query("""WITH r AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS i FROM supplier),
+  d AS (SELECT id AS x, ('0x' || substr(md5(CAST(id AS VARCHAR) || '/' || k || '/11'), 1, 7))::BIGINT % (SELECT count(*) FROM r) AS i FROM r, unnest(range(1, 11)) AS u(k))
+  SELECT DISTINCT least(x, id) AS id_a, greatest(x, id) AS id_b FROM d JOIN r USING (i) WHERE x <> id""")
 def pair_sample(spark, d):
     return select.pair_sample(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
 
@@ -344,6 +346,9 @@ def two_level_concat(spark, d):
     return aggregate.concat_all(a.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cluster_id")), "s_suppkey"), ["cluster_id"], "codes", "codes", " ")
 
 
-@query()
+@query("""WITH t AS (SELECT CAST(s_acctbal AS DOUBLE) AS v FROM supplier WHERE s_acctbal IS NOT NULL ORDER BY v DESC LIMIT 100), l AS (SELECT list(v ORDER BY v DESC) AS vs FROM t),
+  p AS (SELECT draw, vs[('0x' || substr(md5('7/' || draw || '/' || k), 1, 7))::BIGINT % len(vs) + 1] AS v FROM l, unnest(range(0, 1000)) AS a(draw), unnest(range(1, len(vs) + 1)) AS b(k)), m AS (SELECT avg(v) AS m FROM p GROUP BY draw)
+  SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark, d):
-    return aggregate.bootstrap_mean(table(spark, d, "supplier"), "s_acctbal")
+    out = aggregate.bootstrap_mean(table(spark, d, "supplier"), "s_acctbal")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from kinmesh.functions import rules, text
@@ -30,29 +28,26 @@ def names(spark, d):
     return leuven(spark, d).select("person_id", "person_name").where("person_name IS NOT NULL")
 
 
-def readable(c, only_ascii, least=0):
-    """Rows with at least ``least`` letters in a column; of printable ASCII only where SQL, which reads other signs differently, is to agree."""
-    return F.col(c).rlike(f"^[ -~]{{{least},}}$") if only_ascii else F.length(c) >= least
-
-
 N = "n AS (SELECT person_id, person_name FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_name IS NOT NULL)"
-PLAIN = "lower(trim(regexp_replace(regexp_replace({c}, '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+', ' ', 'g')))"
+WS = "[ \\t\\n\\r\\f\\v]"
+PLAIN = "lower(trim(regexp_replace(regexp_replace({c}, '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))"
+UP = "upper(replace({c}, 'ß', 'ss'))"  # as Unicode has it; DuckDB keeps the letter
 
 
-@query(f"WITH {N} SELECT person_id, upper(regexp_replace(person_name, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS name, {PLAIN.format(c='person_name')} AS plain FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def clean_case_space(spark, d, only_ascii=True):
-    t = names(spark, d).where(readable("person_name", only_ascii, 0))
+@query(f"WITH {N} SELECT person_id, upper(regexp_replace(replace(person_name, 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS name, {PLAIN.format(c='person_name')} AS plain FROM n")
+def clean_case_space(spark, d):
+    t = names(spark, d)
     return t.select("person_id", text.stdize_case(text.single_space(F.col("person_name"))).alias("name"), text.punctuation_to_space(F.col("person_name")).alias("plain"))
 
 
 _AND = ", ".join(f"'{w}'" for w in rules.AND_WORDS)
 
 
-@query(f"""WITH {N}, t AS (SELECT person_id, string_split(regexp_replace(upper(person_name), '\\s+', ' ', 'g'), ' ') AS w FROM n WHERE regexp_matches(person_name, '^[ -~]*$'))
+@query(f"""WITH {N}, t AS (SELECT person_id, string_split(regexp_replace({UP.format(c='person_name')}, '{WS}+', ' ', 'g'), ' ') AS w FROM n)
   SELECT person_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND i < len(w) AND x IN ({_AND}) THEN '&' ELSE x END), ' ') AS name FROM t""")
-def clean_ampersand(spark, d, only_ascii=True):
+def clean_ampersand(spark, d):
     """The word for "and" of many languages between two spaces becomes &."""
-    return names(spark, d).where(readable("person_name", only_ascii, 0)).select("person_id", text.ampersand(text.single_space(F.upper("person_name"))).alias("name"))
+    return names(spark, d).select("person_id", text.ampersand(text.single_space(F.upper("person_name"))).alias("name"))
 
 
 @query()
@@ -69,9 +64,9 @@ def clean_full_chain(spark, d):
     return t.join(done, "person_name").select("person_id", "name", "firm_legal_id")
 
 
-@query(f"WITH {N} SELECT person_id, " + "upper(person_name)" + " AS full_name, array_to_string(regexp_extract_all(upper(person_name), '" + rules.legal_pattern() + "'), '**') AS legal_ids FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def legal_ids(spark, d, only_ascii=True):
-    t = names(spark, d).where(readable("person_name", only_ascii, 0))
+@query(f"WITH {N} SELECT person_id, " + UP.format(c="person_name") + " AS full_name, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(" + UP.format(c="person_name") + ", '[^\\x00-\\x7F\\p{L}\\p{N}\\p{M}]', ' ', 'g'), '[^\\x00-\\x7F]', 'x', 'g'), '" + rules.legal_pattern() + "'), '**') AS legal_ids FROM n")
+def legal_ids(spark, d):
+    t = names(spark, d)
     return t.select("person_id", F.upper("person_name").alias("full_name"), text.legal_ids(F.upper("person_name")).alias("legal_ids"))
 
 
@@ -91,9 +86,9 @@ def sorted_classes(spark, d):
     return t.select("record_id", text.sort_class(F.array_join("Class", "**")).alias("class"))
 
 
-@query(f"WITH {N} SELECT person_id, trim(regexp_replace(array_to_string(list_sort(list_filter(string_split(person_name, ' '), lambda t: length(t) >= 2)), ' '), '[,.]', '', 'g')) AS key FROM n WHERE regexp_matches(person_name, '^[ -~]*$')")
-def sorted_name_key(spark, d, only_ascii=True):
-    return names(spark, d).where(readable("person_name", only_ascii, 0)).select("person_id", text.sort_name(F.col("person_name")).alias("key"))
+@query(f"WITH {N} SELECT person_id, trim(regexp_replace(array_to_string(list_sort(list_filter(string_split(person_name, ' '), lambda t: length(t) >= 2)), ' '), '[,.]', '', 'g')) AS key FROM n")
+def sorted_name_key(spark, d):
+    return names(spark, d).select("person_id", text.sort_name(F.col("person_name")).alias("key"))
 
 
 @query(f"""WITH {N}, p AS (SELECT person_id, person_name, string_split(person_name, ',') AS parts FROM n),
@@ -104,24 +99,24 @@ def split_multi_name(spark, d):
     return names(spark, d).select("person_id", F.posexplode(text.split_multi_names(F.col("person_name"))).alias("pos", "piece"))
 
 
-@query("""WITH a AS (SELECT person_id, lower(person_address) AS addr FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address IS NOT NULL AND regexp_matches(person_address, '^[ -~]*$'))
-  SELECT person_id, regexp_extract(addr, '^(.*?\\w)\\s+[0-9]{2,}\\s+\\w', 1) AS name, addr LIKE '% gb' AS is_gb,
-  regexp_matches(right(addr, CAST(ceil(length(addr) / 2) AS INT)), '[0-9]{2,}') AS late_number FROM a WHERE regexp_matches(addr, '\\w\\s+[0-9]{2,}\\s+\\w')""")
-def parse_name_address(spark, d, only_ascii=True):
-    t = leuven(spark, d).where(readable("person_address", only_ascii, 0)).select("person_id", F.lower("person_address").alias("addr"))
+@query("""WITH a AS (SELECT person_id, lower(person_address) AS addr FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address IS NOT NULL)
+  SELECT person_id, regexp_extract(addr, '(?s)^(.*?[\\p{L}\\p{M}\\p{N}_])[ \\t\\n\\r\\f\\v]+[0-9]{2,}[ \\t\\n\\r\\f\\v]+[\\p{L}\\p{N}_]', 1) AS name, addr LIKE '% gb' AS is_gb,
+  regexp_matches(right(addr, CAST(ceil(length(addr) / 2) AS INT)), '[0-9]{2,}') AS late_number FROM a WHERE regexp_matches(addr, '[\\p{L}\\p{M}\\p{N}_][ \\t\\n\\r\\f\\v]+[0-9]{2,}[ \\t\\n\\r\\f\\v]+[\\p{L}\\p{N}_]')""")
+def parse_name_address(spark, d):
+    t = leuven(spark, d).where("person_address IS NOT NULL").select("person_id", F.lower("person_address").alias("addr"))
     return t.where(text.parse_name(F.col("addr"))["address"].isNotNull()).select("person_id", text.parse_name(F.col("addr"))["name"].alias("name"), F.col("addr").endswith(" gb").alias("is_gb"), text.has_late_number(F.col("addr")).alias("late_number"))
 
 
-@query("SELECT person_id, CASE WHEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) <> '' THEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) END AS country, regexp_replace(lower(person_address), '\\s[a-z]{2}$', '') AS rest FROM (SELECT DISTINCT * FROM leuven_name) WHERE regexp_matches(person_address, '^[ -~]+$')")
-def country_tails(spark, d, only_ascii=True):
-    t = leuven(spark, d).where(readable("person_address", only_ascii, 1)).select("person_id", text.country_tail(F.lower("person_address")).alias("c"))
+@query("SELECT person_id, CASE WHEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) <> '' THEN regexp_extract(lower(person_address), '\\s([a-z]{2})$', 1) END AS country, regexp_replace(lower(person_address), '\\s[a-z]{2}$', '') AS rest FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address <> ''")
+def country_tails(spark, d):
+    t = leuven(spark, d).where("person_address <> ''").select("person_id", text.country_tail(F.lower("person_address")).alias("c"))
     return t.select("person_id", "c.country", "c.rest")
 
 
-@query("SELECT person_id, CASE WHEN len(string_split(person_address, ',')) > 2 THEN array_to_string(string_split(person_address, ',')[:-3], ',') ELSE person_address END AS name, CASE WHEN len(string_split(person_address, ',')) > 2 THEN trim(array_to_string(string_split(person_address, ',')[-2:], ',')) END AS address FROM (SELECT DISTINCT * FROM leuven_name) WHERE regexp_matches(person_address, '^[ -~]+$')")
-def comma_split(spark, d, only_ascii=True):
+@query("SELECT person_id, CASE WHEN len(string_split(person_address, ',')) > 2 THEN array_to_string(string_split(person_address, ',')[:-3], ',') ELSE person_address END AS name, CASE WHEN len(string_split(person_address, ',')) > 2 THEN trim(array_to_string(string_split(person_address, ',')[-2:], ',')) END AS address FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address <> ''")
+def comma_split(spark, d):
     """Split at the second comma from the end."""
-    t = leuven(spark, d).where(readable("person_address", only_ascii, 1)).select("person_id", text.split_at_comma(F.col("person_address")).alias("c"))
+    t = leuven(spark, d).where("person_address <> ''").select("person_id", text.split_at_comma(F.col("person_address")).alias("c"))
     return t.select("person_id", "c.name", "c.address")
 
 
@@ -144,10 +139,11 @@ def spelling(spark, d):
 
 
 def word_pairs(spark, d):
-    a = names(spark, d).select("person_id", F.lower("person_name").alias("a")).withColumn("w", F.explode(F.array_distinct(F.split("a", " ")))).where("length(w) > 6")
-    b = table(spark, d, "han_name").select(F.col("HAN_ID").alias("han_id"), F.lower("Person_name_clean").alias("b")).where("b IS NOT NULL").distinct().withColumn("w", F.explode(F.array_distinct(F.split("b", " "))))
-    rare = b.groupBy("w").agg(F.count("*").alias("c")).where("c <= 10").select("w")
-    return a.join(b.join(rare, "w", "left_semi"), "w").select("person_id", "han_id", "a", "b").distinct()
+    """Pairs of names that share at least half of their words, exactly, however common the words are."""
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    a = names(spark, d).select("person_id", F.lower("person_name").alias("a")).distinct().withColumn("wa", words("a"))
+    b = table(spark, d, "han_name").select(F.col("HAN_ID").alias("han_id"), F.lower("Person_name_clean").alias("b")).where("b IS NOT NULL").distinct().withColumn("wb", words("b"))
+    return sim.similar_sets(a, b, "wa", "wb", 0.5).select("person_id", "han_id", "a", "b")
 
 
 def spread(a, b, key, most=200_000):
@@ -168,30 +164,34 @@ def all_word_pairs(spark, d):
     return spread(a, b, "w").where(F.col("w") == F.array_min(F.array_intersect("wa", "wb"))).select("person_id", "han_id", "a", "b")
 
 
-WP = f"""{N}, a AS (SELECT person_id, lower(person_name) AS a, unnest(list_distinct(string_split(lower(person_name), ' '))) AS w FROM n),
-  b AS (SELECT han_id, b, unnest(list_distinct(string_split(b, ' '))) AS w FROM (SELECT DISTINCT HAN_ID AS han_id, lower(Person_name_clean) AS b FROM han_name WHERE Person_name_clean IS NOT NULL)),
-  r AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 10), wp AS (SELECT DISTINCT person_id, han_id, a.a, b.b FROM a JOIN b USING (w) JOIN r USING (w) WHERE length(w) > 6)"""
+WP = f"""{N}, a AS (SELECT DISTINCT person_id, lower(person_name) AS a, list_filter(list_distinct(string_split(lower(person_name), ' ')), lambda w: w <> '') AS wa FROM n),
+  b AS (SELECT DISTINCT HAN_ID AS han_id, lower(Person_name_clean) AS b, list_filter(list_distinct(string_split(lower(Person_name_clean), ' ')), lambda w: w <> '') AS wb FROM han_name WHERE Person_name_clean IS NOT NULL),
+  la AS (SELECT person_id, a, len(wa) AS n, unnest(wa) AS w FROM a), lb AS (SELECT han_id, b, len(wb) AS n, unnest(wb) AS w FROM b),
+  wp AS (SELECT person_id, a, han_id, b, count(*) AS o, any_value(la.n) AS na, any_value(lb.n) AS nb FROM la JOIN lb USING (w) GROUP BY ALL HAVING 2 * count(*) >= any_value(la.n) + any_value(lb.n) - count(*))"""
 
 
-@query(f"WITH {WP} SELECT person_id, han_id, len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS jaccard FROM wp")
+@query(f"WITH {WP} SELECT person_id, han_id, o / (na + nb - o) AS jaccard FROM wp")
 def word_jaccard(spark, d):
-    return word_pairs(spark, d).select("person_id", "han_id", sim.word_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    """Pairs of names with at least half of their words in common."""
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    return word_pairs(spark, d).select("person_id", "han_id", sim.set_jaccard(words("a"), words("b")).alias("jaccard"))
 
 
 @query(f"WITH {WP} SELECT person_id, han_id, len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))) AS jaccard FROM wp")
 def char_jaccard(spark, d):
+    """The likeness of letters of the pairs with at least half of their words in common."""
     return word_pairs(spark, d).select("person_id", "han_id", sim.char_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
 @query()
 def word_jaccard_all(spark, d):
-    """``word_jaccard`` without its cuts, which the SQL has too."""
+    """The likeness of words of all pairs with any word in common."""
     return all_word_pairs(spark, d).select("person_id", "han_id", sim.word_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
 @query()
 def char_jaccard_all(spark, d):
-    """``char_jaccard`` without its cuts, which the SQL has too."""
+    """The likeness of letters of all pairs with any word in common."""
     return all_word_pairs(spark, d).select("person_id", "han_id", sim.char_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
@@ -202,21 +202,17 @@ def lcs_ratio_pairs(spark, d):
 
 @query("""WITH s AS (SELECT record_id, list_distinct(list_filter(list_transform(Coauthor, lambda v: lower(trim(v))), lambda v: v IS NOT NULL AND v <> '')) AS s FROM patstat_dedupe_input), x AS (SELECT record_id, s FROM s WHERE len(s) > 0),
   l AS (SELECT record_id, unnest(s) AS v FROM x), i AS (SELECT v, ln((SELECT count(*) FROM x) / count(*)) AS idf FROM l GROUP BY v), w AS (SELECT record_id, v, idf FROM l JOIN i USING (v)), n AS (SELECT record_id, sqrt(sum(idf * idf)) AS norm FROM w GROUP BY ALL),
-  r AS (SELECT v FROM l GROUP BY v HAVING count(*) BETWEEN 2 AND 20),
-  p AS (SELECT DISTINCT a.record_id AS ra, b.record_id AS rb FROM l a JOIN l b USING (v) JOIN r USING (v) WHERE a.record_id < b.record_id)
-  SELECT ra AS record_id_a, rb AS record_id_b, round(sum(a.idf * b.idf) / any_value(na.norm * nb.norm), 6) AS cosine FROM p JOIN w a ON a.record_id = ra JOIN w b ON b.record_id = rb AND a.v = b.v JOIN n na ON na.record_id = ra JOIN n nb ON nb.record_id = rb GROUP BY ALL""")
+  c AS (SELECT a.record_id AS ra, b.record_id AS rb, sum(a.idf * b.idf) AS dot FROM w a JOIN w b ON a.v = b.v AND a.record_id < b.record_id GROUP BY ALL)
+  SELECT ra AS record_id_a, rb AS record_id_b, round(dot / (na.norm * nb.norm), 6) AS cosine FROM c JOIN n na ON na.record_id = ra JOIN n nb ON nb.record_id = rb WHERE round(dot / (na.norm * nb.norm), 6) >= 0.5""")
 def tfidf_cosine(spark, d):
+    """All pairs of records whose lists of coauthors have a cosine of at least 0.5, whatever the frequency of what they share."""
     sets = pairs.records(table(spark, d, "patstat_dedupe_input")).where(F.size("coauthor") > 0).select("record_id", "coauthor")
-    long = sets.select("record_id", F.explode("coauthor").alias("v"))
-    rare = long.groupBy("v").agg(F.count("*").alias("c")).where("c BETWEEN 2 AND 20").select("v")
-    k = long.join(rare, "v", "left_semi").select("record_id", "v")
-    p = k.toDF("record_id_a", "v").join(k.toDF("record_id_b", "v"), "v").where("record_id_a < record_id_b").select("record_id_a", "record_id_b").distinct()
-    return sim.set_cosine(p, sets, "record_id", "coauthor").withColumn("cosine", F.round("cosine", 6))
+    return sim.near_cosine(sets, "record_id", "coauthor", 0.5).withColumn("cosine", F.round("cosine", 6)).where("cosine >= 0.5")
 
 
 @query()
 def tfidf_cosine_all(spark, d):
-    """``tfidf_cosine`` of all pairs that share any value, also one of more than 20 records, which the SQL leaves out."""
+    """The cosine of all pairs that share any value, whatever their cosine."""
     sets = pairs.records(table(spark, d, "patstat_dedupe_input")).where(F.size("coauthor") > 0).select("record_id", "coauthor")
     long = sets.select("record_id", F.explode("coauthor").alias("v"))
     idf = sim.document_frequency(sets, "coauthor").select(F.col("value").alias("v"), "idf")
@@ -272,13 +268,20 @@ def block_summary(spark, d):
     return blocking.block_summary(blocking.block_map(t, "person_id", [blocking.prefix("name", 4), blocking.token("name", 6)]))
 
 
-@query()
+@query(f"""WITH {N}, t AS (SELECT DISTINCT person_id, lower(person_name) AS name FROM n), h AS (SELECT person_id, name, list_sort(list_transform(list_filter(string_split(name, ' '), lambda x: length(x) >= 3), lambda x: md5(x)))[:3] AS h FROM t),
+  l AS (SELECT person_id, name, i AS place, h[i] AS h FROM h, unnest(range(1, len(h) + 1)) AS u(i)),
+  m AS (SELECT a.person_id AS ra, b.person_id AS rb, a.name AS na, b.name AS nb, count(DISTINCT a.place) AS n_hashes FROM l a JOIN l b ON a.place = b.place AND a.h = b.h AND a.person_id < b.person_id GROUP BY ALL)
+  SELECT ra AS person_id_a, rb AS person_id_b, len(list_intersect(list_distinct(string_split(na, '')), list_distinct(string_split(nb, '')))) / len(list_distinct(list_concat(string_split(na, ''), string_split(nb, '')))) AS similarity, n_hashes FROM m
+  WHERE len(list_intersect(list_distinct(string_split(na, '')), list_distinct(string_split(nb, '')))) / len(list_distinct(list_concat(string_split(na, ''), string_split(nb, '')))) > 0.7""")
 def multihash_pairs(spark, d):
     return link.multihash_pairs(names(spark, d).select("person_id", F.lower("person_name").alias("name")).distinct(), "person_id", "name")
 
 
 def registers(spark, d):
-    left = leuven(spark, d).select(F.col("person_id").alias("id"), F.col("person_name").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"), F.upper(F.trim("person_ctry_code")).alias("country")).where("name IS NOT NULL AND country <> ''")
+    """Both sides of a linkage: the register, with the position of the town in its address (0, 0 without one), and the records."""
+    t = leuven(spark, d).select(F.col("person_id").alias("id"), F.col("person_name").alias("name"), "person_address", F.upper(F.trim("person_ctry_code")).alias("country")).where("name IS NOT NULL AND country <> ''")
+    placed = geocode.joined_back(t, geocode.exact_town(t, "person_address", table(spark, d, "gazetteer")), "person_address")
+    left = placed.select("id", "name", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lng", F.lit(0.0)).alias("lng"), "country")
     right = table(spark, d, "patstat_dedupe_input").select(F.col("record_id").alias("id"), F.col("Name").alias("name"), F.col("Lat").alias("lat"), F.col("Lng").alias("lng"), "country").where("name IS NOT NULL")
     return left, right
 
@@ -312,11 +315,6 @@ def connected_components(spark, d):
     return blocking.connected(graph_pairs(spark, d), "person_a", "person_b")
 
 
-@query()
-def training_pairs(spark, d):
-    return pairs.training_pairs(table(spark, d, "patstat_dedupe_input"), "record_id", "Person")
-
-
 @query("""WITH s AS (SELECT score AS p FROM person_match WHERE score IS NOT NULL), b AS (SELECT CAST(floor(p * 1000) AS INT) AS bin, sum(p) AS hits, count(*) AS n FROM s GROUP BY ALL),
   r AS (SELECT bin, sum(hits) OVER (ORDER BY bin DESC) AS tp, sum(n) OVER (ORDER BY bin DESC) AS k, (SELECT sum(p) FROM s) AS a FROM b)
   SELECT bin / 1000 AS threshold, round((1 + 2.25) * tp / (k + 2.25 * a), 9) AS expected_f FROM r ORDER BY expected_f DESC, threshold DESC LIMIT 1""")
@@ -334,12 +332,21 @@ def geocode_sound(spark, d):
     return geocode.by_sound(leuven(spark, d), "person_address", "person_ctry_code", table(spark, d, "gazetteer"))
 
 
-@query()
+@query("""WITH g AS (SELECT city, lower(trim(country)) AS cc, trim(regexp_replace(lower(strip_accents(city)), '[^\\p{L}]+', ' ', 'g')) AS plain, lat, lng, population FROM gazetteer), one AS (SELECT * FROM g WHERE NOT contains(plain, ' ')),
+  a AS (SELECT DISTINCT person_address AS address, string_split(trim(regexp_replace(lower(strip_accents(person_address)), '[^\\p{L}]+', ' ', 'g')), ' ') AS w FROM leuven_name WHERE person_address IS NOT NULL),
+  h AS (SELECT address, city, lat, lng, row_number() OVER (PARTITION BY address ORDER BY i DESC, population DESC, city, cc) AS k FROM a, unnest(range(1, len(w) + 1)) AS u(i) JOIN one ON one.plain = w[i])
+  SELECT a.address, coalesce(city, 'NONE') AS city, coalesce(lat, 0.0) AS lat, coalesce(lng, 0.0) AS lng FROM a LEFT JOIN (SELECT * FROM h WHERE k = 1) h ON a.address = h.address""")
 def geocode_last_town(spark, d):
     return geocode.last_town(leuven(spark, d), "person_address", table(spark, d, "gazetteer"))
 
 
-@query()
+_LETTER, _GAP = "[\\p{L}\\p{M}\\p{N}_]", "[ \\t\\n\\r\\f\\v]+"
+_SPLIT = f"(?s)^(.*?{_LETTER}){_GAP}[0-9]{{2,}}{_GAP}([\\p{{L}}\\p{{N}}_].*)$"
+
+
+@query(f"""WITH a AS (SELECT person_id, lower(person_address) AS c, string_split(lower(person_address), ',') AS parts FROM (SELECT DISTINCT * FROM leuven_name) WHERE person_address IS NOT NULL)
+  SELECT person_id, CASE WHEN regexp_matches(c, '{_SPLIT}') THEN regexp_extract(c, '{_SPLIT}', 1) WHEN length(c) > 60 AND len(parts) > 2 THEN array_to_string(parts[:-3], ',') ELSE c END AS name,
+  CASE WHEN regexp_matches(c, '{_SPLIT}') THEN regexp_extract(c, '{_SPLIT}', 2) WHEN length(c) > 60 AND len(parts) > 2 THEN trim(array_to_string(parts[-2:], ',')) END AS address FROM a""")
 def found_addresses(spark, d):
     a = leuven(spark, d).where("person_address IS NOT NULL").select("person_id", geocode.find_address(F.lower("person_address")).alias("f"))
     return a.select("person_id", "f.name", "f.address")
@@ -366,10 +373,10 @@ def multi_name_rows(spark, d):
     return select.number_rows(rows.withColumn("piece", F.trim("piece")), ["old_id", "pos"], "new_id", top + 1).select("old_id", "piece", "new_id")
 
 
-@query("SELECT DISTINCT person_id, CASE WHEN len(string_split(person_name, ',')) > 2 AND (person_address IS NULL OR person_address = '') THEN array_to_string(string_split(person_name, ',')[:-3], ',') ELSE person_name END AS name FROM leuven_name WHERE person_name IS NOT NULL AND regexp_matches(person_name, '^[ -~]*$')")
-def addresses_in_names(spark, d, only_ascii=True):
+@query("SELECT DISTINCT person_id, CASE WHEN len(string_split(person_name, ',')) > 2 AND (person_address IS NULL OR person_address = '') THEN array_to_string(string_split(person_name, ',')[:-3], ',') ELSE person_name END AS name FROM leuven_name WHERE person_name IS NOT NULL")
+def addresses_in_names(spark, d):
     """Names without an address that hold two commas give away what follows the second one from the end."""
-    t = leuven(spark, d).where(readable("person_name", only_ascii, 0))
+    t = leuven(spark, d).where("person_name IS NOT NULL")
     lacks = F.col("person_address").isNull() | (F.col("person_address") == "")
     return t.select("person_id", F.when(lacks, text.split_at_comma(F.col("person_name"))["name"]).otherwise(F.col("person_name")).alias("name")).distinct()
 
@@ -401,7 +408,8 @@ def gram_cosine(spark, d):
     return dot.select("name_a", "name_b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine")).where("cosine > 0.6")
 
 
-@query()
+@query(f"""WITH {N}, t AS (SELECT DISTINCT person_id, substr(lower(person_name), 1, 6) AS key FROM n WHERE length(person_name) >= 6), c AS (SELECT key FROM t WHERE key <> '' GROUP BY key HAVING count(*) > 1 ORDER BY md5('first 6 of name/' || key), key LIMIT 100)
+  SELECT person_id, 'first 6 of name' AS rule, key FROM t WHERE key IN (SELECT key FROM c)""")
 def sampled_blocks(spark, d):
     """Records of a hundred blocks, for choosing a threshold."""
     t = names(spark, d).select("person_id", F.lower("person_name").alias("name"))
@@ -412,8 +420,3 @@ def sampled_blocks(spark, d):
 def class_breadth(spark, d):
     li, p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("appln_id"), "l_suppkey", "l_partkey"), table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_type", 1, 3).alias("c"))
     return li.join(p, "l_partkey").groupBy("appln_id").agg(F.countDistinct("l_suppkey").alias("persons"), F.countDistinct("c").alias("classes"))
-
-
-# the same over all rows, without SQL
-for _f in (clean_case_space, clean_ampersand, legal_ids, sorted_name_key, parse_name_address, country_tails, comma_split, addresses_in_names):
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, only_ascii=False)

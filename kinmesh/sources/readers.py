@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmesh.sources.sinks import MISSING
+
 
 def query(spark: SparkSession, sql: str, columns: list[str] | None = None, **views: DataFrame) -> DataFrame:
     """A SQL query over named frames, its columns renamed by place."""
@@ -84,3 +86,29 @@ def unique_rows(df: DataFrame, key: str) -> DataFrame:
 def pair_json(spark: SparkSession, path: str) -> DataFrame:
     """(record_a, record_b, label) of the JSON lines that ``sinks.pair_json`` writes."""
     return spark.read.schema("record_id_a long, record_id_b long, label double").json(path)
+
+
+def delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> DataFrame:
+    """Delimited text as ``sinks.delimited`` writes it, with line breaks inside quotes."""
+    return spark.read.options(sep=sep, header="true", multiLine="true", quote='"', escape='"', nullValue=MISSING, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", lineSep="\n").csv(path, schema=schema)
+
+
+def country_folder(spark: SparkSession, pattern: str, schema: T.StructType, sep: str = "\t") -> DataFrame:
+    """As ``table_with_doubtful_header`` over files or folders ``*_CC.tsv``, with the country from the name."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = spark.read.options(sep=sep, header="false").csv(pattern, schema=text).withColumn("country", F.regexp_extract(F.input_file_name(), r"_([A-Za-z]{2})\.tsv", 1))
+    is_header = F.lit(True)
+    for f in schema.fields:
+        is_header &= F.coalesce(F.lower(F.trim(F.col(f.name))) == f.name.lower(), F.lit(False))
+    return raw.where(~is_header).select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields], "country")
+
+
+def tagged_sets(spark: SparkSession, path: str, key: str, columns: list[str]) -> DataFrame:
+    """Records of ``sinks.tagged_sets``, sets as arrays. ``key``: name and type."""
+    kinds = ", ".join(f"{c} struct<__class__:string,__set__:array<string>>" for c in columns)
+    return spark.read.schema(f"{key}, {kinds}").json(path).select(key.split(" ")[0], *[F.col(f"{c}.__set__").alias(c) for c in columns])
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(setting, number, rule) as ``sinks.settings`` writes them."""
+    return spark.read.schema("setting string, number double, rule string").json(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: How a missing value stands in delimited text.
+MISSING = "\\N"
+
 
 def partitioned(df: DataFrame, path: str, *by: str, mode: str = "append", format: str = "parquet") -> None:
     """One folder per value; rows of a value are spread over files by size, not gathered in one task."""
@@ -16,7 +19,28 @@ def delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True, in
     cols = [index, *[c for c in df.columns if c != index]] if index else df.columns
     kinds = dict(df.dtypes)
     flat = df.select(*[F.array_join(c, "**").alias(c) if kinds[c].startswith("array") else F.col(c) for c in cols])
-    flat.write.mode(mode).options(sep=sep, header=str(header).lower(), escape='"').csv(path)
+    # missing is a bare empty field, an empty text is "", and line breaks stand inside quotes
+    flat.write.mode(mode).options(sep=sep, header=str(header).lower(), escape='"', nullValue=MISSING, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", quoteAll="true").csv(path)
+
+
+def lines(df: DataFrame, path: str, header: str | None = None) -> None:
+    """A frame of one text column as lines; ``header`` goes before them in a single file."""
+    out = df.select(F.col(df.columns[0]).alias("value"))
+    if header is not None:
+        out = df.sparkSession.createDataFrame([(header,)], "value string").unionByName(out).coalesce(1)
+    out.write.mode("overwrite").text(path)
+
+
+def tagged_sets(df: DataFrame, path: str, key: str, columns: list[str]) -> None:
+    """JSON lines in which a set stands as an object with the tag ``__set__`` and its values in order."""
+    tag = lambda c: F.struct(F.lit("set").alias("__class__"), F.array_sort(F.array_distinct(c)).alias("__set__")).alias(c)
+    df.select(key, *[tag(c) for c in columns]).write.mode("overwrite").json(path)
+
+
+def settings(spark: SparkSession, path: str, numbers: dict[str, float], rules: list[str]) -> None:
+    """Settings of a pipeline and its block rules, as JSON lines; models go through ``model``."""
+    rows = [(k, float(v), None) for k, v in numbers.items()] + [("rule", None, r) for r in rules]
+    spark.createDataFrame(rows, "setting string, number double, rule string").coalesce(1).write.mode("overwrite").json(path)
 
 
 def pair_json(pairs: DataFrame, path: str) -> None:

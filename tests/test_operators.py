@@ -57,6 +57,48 @@ def test_sequential_ids(spark, rows):
     assert rows(select.sequential_ids(t.limit(0), "r", "c")) == []
 
 
+def test_many_sequential_ids(spark):
+    """As many ids as groups, in an unbroken row, over many partitions."""
+    t = spark.range(12000).withColumn("c", F.when(F.col("id") % 3 == 0, F.pmod(F.xxhash64("id"), F.lit(3000)))).repartition(8)
+    groups = t.select(F.coalesce(F.concat(F.lit("c"), "c"), F.concat(F.lit("r"), "id"))).distinct().count()
+    got = select.sequential_ids(t, "id", "c", first="zero")
+    assert groups > 5000 and got.count() == 12000
+    assert tuple(got.agg(F.countDistinct("cluster_id"), F.min("cluster_id"), F.max("cluster_id")).first()) == (groups, 0, groups - 1)
+
+
+def test_others_and_ranks(spark, rows):
+    pairs_ = [(u, p, f"n{p % 17}") for u, size in ((1, 40), (2, 2), (3, 1)) for p in range(size)]
+    got = {(r["u"], r["p"]): r["others"] for r in aggregate.others(spark.createDataFrame(pairs_, "u int, p int, n string"), "u", "p", "n", 9).collect()}
+    want = {(u, p): sorted({n for v, q, n in pairs_ if v == u and q != p})[:9] for u, p, _ in pairs_}
+    assert got == want
+    t = spark.createDataFrame([(i, float(i * 7 % 23)) for i in range(300)], "i int, v double")
+    import pandas as pd
+
+    want = pd.Series([float(i * 7 % 23) for i in range(300)]).rank().tolist()
+    assert [r["v_rank"] for r in sorted(evaluate.average_ranks(t, ["v"]).collect(), key=lambda r: r["i"])] == want
+
+
+def test_reference_pairs_are_bounded(spark):
+    rows_ = [(i, 1 if i < 30 else i // 2) for i in range(60)]
+    t = spark.createDataFrame(rows_, "r long, c long")
+    groups = {c: sorted(r for r, x in rows_ if x == c) for _, c in rows_}
+    order = sorted(groups)
+    same = [(a, b) for c in order for a in groups[c] for b in groups[c] if a < b]
+    other = [(a, b) for c, d in zip(order, order[1:]) for a in groups[c] for b in groups[d]]
+    for most in (5, 40, 100_000):
+        got = pairs.reference_pairs(t, "r", "c", most).collect()
+        assert sorted((x, y) for x, y, label in got if label == 1) == sorted(same[:most]) and sorted((x, y) for x, y, label in got if label == 0) == sorted(other[:most])
+
+
+def test_addresses_in_tiers(spark):
+    g = spark.createDataFrame([("Graz", "AT", 47.0, 15.4, 100), ("Linz", "AT", 48.3, 14.3, 50)], "city string, country string, lat double, lng double, population long")
+    t = spark.createDataFrame([(1, "optik bau 12 hauptweg, graz at", "AT"), (2, "a very long name of a firm that goes on, and on, street of the post, linz at", "AT"), (3, "optik berger linz at", "AT"), (4, "optik berger", None)], "id int, n string, c string")
+    got = {r["id"]: tuple(r)[1:5] for r in geocode.tiered_addresses(t, "id", "n", "c", g).collect()}
+    assert got == {1: ("optik bau", " 12 hauptweg, graz at", "graz", 47.0), 2: ("a very long name of a firm that goes on, and on", ", street of the post, linz at", "linz", 48.3), 3: ("optik berger", "linz at", "linz", 48.3), 4: ("optik berger", "", "", 0.0)}
+    p = spark.createDataFrame([(1, "Graz Werke", "Weg 1, Linz", "DE"), (2, None, "Weg 1 Linz at", "DE"), (3, None, None, None)], "id int, n string, a string, c string")
+    assert {r["id"]: (r["city"], r["source"]) for r in geocode.preferred(p, "id", "n", "a", "c", g).collect()} == {1: (None, None), 2: ("Linz", "address"), 3: (None, None)}
+
+
 def test_blocks(spark, rows):
     t = spark.createDataFrame([(1, "siemens ag", ["a"]), (2, "siemens gmbh", ["a", "b"]), (3, "bosch", []), (4, "", None), (5, None, ["b"])], "id long, name string, s array<string>")
     preds = [blocking.prefix("name", 4), blocking.common_element("s")]

@@ -51,7 +51,7 @@ def test_names_and_addresses_of_any_script(spark, tables):
     """Accents, other scripts and line breaks are cleaned as well."""
     left = [(1, "Müller  und Söhne GmbH", "Gärtnerei Größe 12 Österweg\nGraz at"), (2, "Иван  Петров", "A,\nБ, Graz, AT"), (3, "Öl, Fett, Zoë, AG", None), (4, None, "")]
     tables(leuven_name=(left, LEUVEN))
-    q = lambda n: {r["person_id"]: r for r in texts.QUERIES[f"{n}_all"](spark, "").collect()}
+    q = lambda n: {r["person_id"]: r for r in texts.QUERIES[n](spark, "").collect()}
     assert {k: (r["name"], r["plain"]) for k, r in q("clean_case_space").items()} == {1: ("MÜLLER UND SÖHNE GMBH", "müller und söhne gmbh"), 2: ("ИВАН ПЕТРОВ", "иван петров"), 3: ("ÖL, FETT, ZOË, AG", "öl fett zoë ag")}
     assert q("clean_ampersand")[1]["name"] == "MÜLLER & SÖHNE GMBH"
     assert q("legal_ids").keys() == {1, 2, 3} and "GMBH" in q("legal_ids")[1]["legal_ids"]
@@ -60,3 +60,29 @@ def test_names_and_addresses_of_any_script(spark, tables):
     assert {k: r["country"] for k, r in q("country_tails").items()} == {1: "at", 2: "at"}
     assert (q("comma_split")[2]["name"], q("comma_split")[2]["address"]) == ("A,\nБ", "Graz, AT")
     assert q("addresses_in_names")[3]["name"] == "Öl, Fett"
+
+
+def test_similar_sets_against_brute_force(spark):
+    """Threshold joins lose no pair, with hot values, repeated rows, empty sets and clashing sizes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kinmesh.functions import similarity as sim
+
+    rng = random.Random(3)
+    make = lambda n: [(i, rng.sample("abcdefgh", rng.randrange(0, 5)) + (["hot"] if rng.random() < 0.7 else [])) for i in range(n)]
+    a, b = make(60), make(50)
+    x, y = spark.createDataFrame(a + a[:3], "x long, va array<string>"), spark.createDataFrame(b, "y long, vb array<string>")
+    for t in (0.3, 0.5, 0.75, 1.0):
+        want = {(i, j) for i, u in a for j, v in b if u and v and len({*u} & {*v}) / len({*u} | {*v}) >= t - 1e-9}
+        got = [(r["x"], r["y"]) for r in sim.similar_sets(x, y, "va", "vb", t).collect()]
+        assert set(got) == want and len(got) == len(want)
+    n = len(a)
+    df = Counter(v for _, vs in a for v in vs)
+    idf = {v: math.log(sum(1 for _, vs in a) / c) for v, c in df.items()}
+    norm = lambda vs: math.sqrt(sum(idf[v] ** 2 for v in vs))
+    want = {(i, j): sum(idf[v] ** 2 for v in {*u} & {*w}) / (norm(u) * norm(w)) for i, u in a for j, w in a if i < j and norm(u) * norm(w) > 0}
+    for t in (0.2, 0.6, 0.9):
+        got = {(r[0], r[1]): r[2] for r in sim.near_cosine(spark.createDataFrame(a, "x long, va array<string>"), "x", "va", t).collect()}
+        assert got.keys() == {k for k, c in want.items() if c >= t - 1e-6} and all(abs(got[k] - want[k]) < 1e-9 for k in got) and n
