@@ -416,8 +416,9 @@ def locations(df: DataFrame, key: str, address: str, towns: DataFrame, country:
         table = F.create_map(*[x for t, ccs in sorted(shared.items()) for x in (F.lit(t), F.array(*map(F.lit, ccs)))])
         ccs = F.try_element_at(table, F.col("block"))
         fits = F.when(ccs.isNull(), F.array(F.lit(""))).when(F.array_contains(ccs, F.col("cc")), F.array("cc")).otherwise(ccs)
-        out = out.withColumn("land", F.explode(fits)).withColumn("block", F.when(F.col("land") == "", F.col("block")).otherwise(F.concat_ws("/", "block", "land"))).withColumn("named", F.col("named") & (F.size(fits) == 1))
-        out = out.withColumn("place", F.xxhash64("place", F.when(F.size(fits) == 1, F.col("land"))))
+        out = out.withColumn("lands", fits).withColumn("one", F.size("lands") == 1).withColumn("land", F.explode("lands"))
+        out = out.withColumn("place", F.xxhash64("place", F.when(F.col("one"), F.col("land")))).withColumn("named", F.col("named") & F.col("one"))
+        out = out.withColumn("block", F.when(F.col("land") == "", F.col("block")).otherwise(F.concat_ws("/", "block", "land")))
     return out.select(F.col("id").alias(key), "place", *SPOT, "named", "share")
 
 
