@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmesh.functions.metaphone import double_metaphone
 from kinmesh.operators.skew import dealt_join
 
 EARTH_KM = 6371.0
@@ -77,9 +79,42 @@ def affine_gap(a: str, b: str, match: float = 1.0, differ: float = 11.0, gap: fl
     return best[-1] / (len(a) + len(b))
 
 
+def affine_gaps(pairs: list[tuple[str, str]], match: float = 1.0, differ: float = 11.0, gap: float = 10.0, go_on: float = 7.0) -> np.ndarray:
+    """``affine_gap`` of many pairs at once: pairs of about the same lengths go through one table together."""
+    out = np.empty(len(pairs))
+    sizes = np.array([(len(a), len(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+    for k in np.flatnonzero((sizes == 0).any(axis=1)):
+        out[k] = affine_gap(*pairs[k], match, differ, gap, go_on)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k in np.flatnonzero((sizes > 0).all(axis=1)):
+        groups.setdefault((-(-sizes[k, 0] // 8), -(-sizes[k, 1] // 8)), []).append(int(k))
+    for members in groups.values():
+        la, lb = sizes[members].max(axis=0)
+        codes = lambda side, n: np.array([[ord(c) for c in pairs[k][side]] + [-1 - side] * (n - len(pairs[k][side])) for k in members], dtype=np.int32).T
+        x, y = codes(0, la), codes(1, lb)
+        best = np.repeat(np.concatenate([[0.0], gap + go_on * np.arange(lb)])[:, None], len(members), axis=1)
+        down = np.full_like(best, np.inf)
+        end_a, end_b = sizes[members, 0], sizes[members, 1]
+        for i in range(1, la + 1):
+            row, right = np.empty_like(best), np.full(len(members), np.inf)
+            row[0] = gap + go_on * (i - 1)
+            down = np.minimum(down + go_on, best + gap)
+            step = best[:-1] + np.where(x[i - 1] == y, match, differ)
+            for j in range(1, lb + 1):
+                right = np.minimum(right + go_on, row[j - 1] + gap)
+                row[j] = np.minimum(np.minimum(step[j - 1], right), down[j])
+            best = row
+            done = np.flatnonzero(end_a == i)
+            out[np.array(members)[done]] = best[end_b[done], done] / (end_a[done] + end_b[done])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def affine_gap_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else affine_gap(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Worked out once per distinct pair of a batch; null if one is null."""
+    known = {p: k for k, p in enumerate({(x, y) for x, y in zip(a, b) if x is not None and y is not None})}
+    got = affine_gaps(list(known))
+    return pd.Series([None if x is None or y is None else got[known[x, y]] for x, y in zip(a, b)], dtype="float64")
 
 
 def inverse_difference(a: Column, b: Column) -> Column:
@@ -97,36 +132,9 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-_VOWELS = set("aeiou")
-# Consonant groups and their sound, longest first.
-_SOUNDS = [("sch", "sk"), ("tch", "x"), ("ch", "x"), ("sh", "x"), ("th", "0"), ("ph", "f"), ("gh", "k"), ("ck", "k"), ("wh", "w"), ("kn", "n"), ("gn", "n"), ("ps", "s"), ("wr", "r"), ("dg", "j"), ("qu", "k"), ("cq", "k")]
-
-
 def phonetic_key(name: str, n: int = 4) -> str:
-    """A sound key of up to ``n`` letters: consonant groups by sound, vowels only at the beginning."""
-    t = "".join(ch for ch in name.lower() if ch.isalpha() or ch == " ").replace(" ", "")
-    out, i = "", 0
-    while i < len(t) and len(out) < n:
-        for group, sound in _SOUNDS:
-            if t.startswith(group, i) and (i == 0 or group not in ("kn", "gn", "ps", "wr")):
-                out, i = out + sound, i + len(group)
-                break
-        else:
-            ch = t[i]
-            nxt = t[i + 1] if i + 1 < len(t) else ""
-            if ch in _VOWELS or ch == "y":
-                sound = "a" if i == 0 else ""
-            elif ch == "c":
-                sound = "s" if nxt in "eiy" and nxt else "k"
-            elif ch == "g":
-                sound = "j" if nxt in "eiy" and nxt else "k"
-            elif ch in "hw":
-                sound = ch if nxt in _VOWELS and nxt and (i == 0 or ch == "h" and t[i - 1] in _VOWELS) else ""
-            else:
-                sound = {"b": "p", "d": "t", "v": "f", "z": "s", "q": "k", "x": "ks"}.get(ch, ch)
-            out += sound
-            i += 2 if nxt == ch and ch not in _VOWELS else 1
-    return out[:n].upper()
+    """The primary Double Metaphone key of up to ``n`` letters."""
+    return double_metaphone(name, n)
 
 
 @F.pandas_udf(T.StringType())

@@ -66,7 +66,7 @@ def link_classifier(spark, d):
     links = stored(link.phonetic_links(*registers(spark, d)), "links")
     far = links.where("lev_dist > 0.4").select("left_id", "right_id", F.lit(0.0).alias("label"))
     labels = link.match_labels(links, far)
-    model = link.match_classifier(links.join(labels, ["left_id", "right_id"]), folds=5, weights=(0.01, 0.1, 1.0))
+    model = link.match_classifier(stored(links.join(labels, ["left_id", "right_id"]), "labelled"), folds=3, weights=(0.01, 0.1))
     return model.transform(links).select("left_id", "right_id", F.col("prediction").cast("int").alias("is_match"), F.round(F.element_at(vector_to_array("rawPrediction"), 2), 4).alias("margin"))
 
 
@@ -110,7 +110,7 @@ def _predicted(kind: str):
 def nb_cross_validated(spark, d):
     """Mean accuracy of naive Bayes over ten folds, with tf-idf and with plain counts."""
     t = coded(spark, d)
-    rows = [(what, round(classify.cross_validated(classify.code_pipeline("nb", "codes", "label", tfidf), t), 6)) for what, tfidf in (("tf-idf", True), ("counts", False))]
+    rows = [(what, round(float(classify.cross_validated(classify.code_pipeline("nb", "codes", "label", tfidf), t)), 6)) for what, tfidf in (("tf-idf", True), ("counts", False))]
     return spark.createDataFrame(rows, "weights string, accuracy double")
 
 

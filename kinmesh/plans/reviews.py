@@ -413,11 +413,69 @@ def abbreviated_names(spark, d):
     return t.select("han_id", text.abbreviate(F.col("v")).alias("name"))
 
 
-_TEXTS = "t AS (SELECT DISTINCT upper(replace(text, 'ß', 'ss')) AS v FROM documents WHERE text IS NOT NULL AND lang = 'en')"
-
-
 @query(f"WITH n AS (SELECT p_partkey, upper(p_name || ' ' || p_type) AS v FROM part) SELECT p_partkey, {_nested('v', rules.spelling_words())} AS british, {_nested(_nested('v', rules.spelling_words()), rules.spelling_words(back=True))} AS american FROM n")
 def spelling_both_ways(spark, d):
     """American spellings in British ones under the whole table, and back."""
     t = table(spark, d, "part").select("p_partkey", text.us_uk(F.upper(F.concat_ws(" ", "p_name", "p_type"))).alias("british"))
     return t.select("p_partkey", "british", text.uk_us(F.col("british")).alias("american"))
+
+
+def _chain_sql(c: str) -> str:
+    """SQL of the name chain on text in upper case."""
+    ands = ", ".join(f"'{w}'" for w in rules.AND_WORDS)
+    c = f"array_to_string(list_transform(string_split({c}, ' '), lambda x, i: CASE WHEN i > 1 AND i < len(string_split({c}, ' ')) AND x IN ({ands}) THEN '&' ELSE x END), ' ')"
+    c = f"regexp_replace({c}, '{rules.CONVERT_SGML[0][0]}', '', 'g')"
+    c = f"regexp_replace({c}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
+    c = _nested(_nested(c, rules.spelling_words()), rules.abbreviation_words())
+    c = f"regexp_replace({c}, '[^ \\p{{L}}\\p{{M}}\\p{{N}}_.,;&-]', '', 'g')"
+    for _ in (1, 2):  # neighbours share a letter, which one pass takes for one of them
+        c = f"regexp_replace({c}, '([a-zA-Z0-9])[-.,;]([a-zA-Z0-9])', '\\1 \\2', 'g')"
+    return f"regexp_replace(regexp_replace({c}, '([a-zA-Z0-9])[-.,;]( )', '\\1\\2', 'g'), '^[-.,;]|[-.,;]$', '', 'g')"
+
+
+@query(f"WITH {_HAN}, c AS (SELECT HAN_ID AS han_id, {_chain_sql('upper(v)')} AS c FROM n) SELECT han_id, regexp_replace(c, '{rules.legal_pattern()}', '', 'g') AS name, array_to_string(regexp_extract_all(c, '{rules.legal_pattern()}'), '**') AS legal_ids FROM c")
+def han_name_chain(spark, d):
+    """The harmonised names under the whole chain of rules, with their legal forms apart."""
+    t = table(spark, d, "han_name").where("Person_name_clean IS NOT NULL").select(F.col("HAN_ID").alias("han_id"), F.col("Person_name_clean").alias("v")).distinct()
+    c = t.select("han_id", text.name_chain(F.upper("v")).alias("c"))
+    return c.select("han_id", text.without_legal_ids(F.col("c")).alias("name"), text.legal_ids(F.col("c")).alias("legal_ids"))
+
+
+def _ascii_sql(c: str) -> str:
+    for k, v in text.ASCII.items():
+        c = "replace({}, chr({}), '{}')".format(c, ord(k), v.replace("'", "''"))
+    return c
+
+
+_GAPS = "[ \\t\\n\\r\\f\\v]+"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT person_id, person_name AS v FROM leuven_name WHERE person_name IS NOT NULL), a AS (SELECT person_id, {_ascii_sql('v')} AS v FROM n)
+  SELECT person_id, v AS ascii_name, lower(trim(regexp_replace(trim(regexp_replace(v, '{_GAPS}', ' ', 'g')), '^["'']+|["'']+$', '', 'g'))) AS plain, lower(regexp_replace(regexp_replace(v, '[,.]', ' ', 'g'), '{_GAPS}', ' ', 'g')) AS series FROM a""")
+def ascii_forms(spark, d):
+    """Names in ASCII, as the preprocessing and the series cleaner give them."""
+    t = leuven(spark, d).where("person_name IS NOT NULL").select("person_id", F.col("person_name").alias("v")).distinct()
+    v = F.col("v")
+    return t.select("person_id", text.ascii_fold(v).alias("ascii_name"), text.preprocess(v).alias("plain"), text.ascii_series(v).alias("series"))
+
+
+@query()
+def cleaned_addresses(spark, d):
+    """Addresses under diacritics, case and the chain of rules, legal forms left in."""
+    t = leuven(spark, d).where("person_address IS NOT NULL").select("person_id", "person_address")
+    done = t.select("person_address").distinct().withColumn("address", text.clean_full_name(F.col("person_address")))
+    return t.join(done, "person_address").select("person_id", "address")
+
+
+@query("SELECT person_a AS record_id_a, person_b AS record_id_b, score AS p FROM person_match WHERE score IS NOT NULL AND person_a IS NOT NULL AND person_b IS NOT NULL ORDER BY abs(score - 0.5), person_a, person_b, score LIMIT 20")
+def uncertain_pairs(spark, d):
+    """The pairs that a person should label next."""
+    s = table(spark, d, "person_match").where("score IS NOT NULL AND person_a IS NOT NULL AND person_b IS NOT NULL")
+    return pairs.most_uncertain(s.select(F.col("person_a").alias("record_id_a"), F.col("person_b").alias("record_id_b"), F.col("score").alias("p")))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS code, encode(p_name) AS bytes, p_name AS back FROM part")
+def byte_forms(spark, d):
+    """Texts as bytes in UTF-8, and those bytes read as Latin-1 (the same for ASCII)."""
+    t = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("code"), text.encode_utf8(F.col("p_name")).alias("b"))
+    return t.select("code", F.col("b").alias("bytes"), text.decode_latin1(F.col("b")).alias("back"))

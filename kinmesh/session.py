@@ -62,3 +62,13 @@ def stored(df: DataFrame, what: str = "stage") -> DataFrame:
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Deletes the stored stages beside the checkpoints and says how many there were. Only for the end of a job: results that were not written yet read them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("kinmesh-")] if files.exists(folder) else []
+    for path in found:
+        files.delete(path, True)
+    return len(found)

@@ -19,6 +19,13 @@ def test_skew(spark, rows):
         assert skew.skew_join(t, right, "k", "left", least=least).count() == t.count()
 
 
+def test_stages_are_cleared(spark):
+    from kinmesh import session
+
+    session.stored(spark.range(3), "mine")
+    assert session.clear_stages(spark) >= 1 and session.clear_stages(spark) == 0
+
+
 def test_dealt_join(spark, rows):
     a = spark.createDataFrame([(1, x) for x in range(30)] + [(2, 9), (None, 1), (3, 3)], "k long, x long")
     b = spark.createDataFrame([(1, y) for y in range(40)] + [(1, 5), (2, 7), (None, 2)], "k long, y long")

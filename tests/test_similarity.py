@@ -43,3 +43,19 @@ def test_set_cosine(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "id_a long, id_b long")
     got = {(r[0], r[1]): r[2] for r in sim.set_cosine(pairs, sets, "id", "s").collect()}
     assert abs(got[1, 2] - 1) < 1e-9 and got[1, 3] == 0
+
+
+def test_double_metaphone():
+    from kinmesh.functions.metaphone import double_metaphone
+
+    known = {"smith": "SM0", "schmidt": "XMT", "thomas": "TMS", "knight": "NT", "michael": "MKL", "wright": "RT", "xavier": "SF", "school": "SKL", "physics": "FSKS", "accident": "AKST", "caesar": "SSR", "church": "XRX", "laugh": "LF", "czerny": "SRN", "filipowicz": "FLPT", "architect": "ARKT", "nation": "NXN", "jose": "HS", "": "", "12 !": ""}
+    assert {k: double_metaphone(k) for k in known} == known and double_metaphone("architect", 3) == "ARK"
+
+
+def test_affine_gaps_of_many():
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 30)))
+    pairs = [(word(), word()) for _ in range(200)]
+    assert all(abs(g - sim.affine_gap(a, b)) < 1e-9 for g, (a, b) in zip(sim.affine_gaps(pairs), pairs))
