@@ -66,8 +66,6 @@ def test_similar_sets_against_brute_force(spark):
     """Threshold joins lose no pair, with hot values, repeated rows, empty sets and clashing sizes."""
     import random
 
-    from pyspark.sql import functions as F
-
     from kinmesh.functions import similarity as sim
 
     rng = random.Random(3)
