@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ LEAST_SEEDS = 3
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 2_000_000
 #: Letters of evaluation text that are broadcast at most; more are joined to the shards by shuffle.
 MOST_BROADCAST = 64_000_000
+#: Parquet options of the stored shards: the size of a row group is looked at after every row, not after a hundred.
+ROW_GROUPS = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Letters of a suffix that are sorted at once; suffixes that agree in them are sorted on by what follows.
 HEAD = 24
 
@@ -58,10 +61,16 @@ def words(text: str | None) -> list[str]:
 def _heads(letters: bytes, begins: np.ndarray) -> np.ndarray:
     """The first letters of the suffixes, up to the end of their text."""
     grid = np.frombuffer(letters + b"\x00" * HEAD, dtype=np.uint8)
-    keys = grid[begins[:, None] + np.arange(HEAD)] if len(begins) else np.zeros((0, HEAD), dtype=np.uint8)
-    ended = np.logical_or.accumulate(keys == 0, axis=1)
-    keys[ended] = 0
-    return np.ascontiguousarray(keys).view(f"S{HEAD}").ravel()
+    # windows are views: places of single letters would take eight bytes for each
+    keys = np.lib.stride_tricks.sliding_window_view(grid, HEAD)[begins] if len(begins) else np.zeros((0, HEAD), dtype=np.uint8)
+    keys = np.ascontiguousarray(keys)
+    # few suffixes end inside their head; eight letters at once tell which
+    parts = keys.view(np.uint64)
+    ending = np.flatnonzero((((parts - np.uint64(0x0101010101010101)) & ~parts & np.uint64(0x8080808080808080)) != 0).any(axis=1))
+    few = keys[ending]
+    few[np.logical_or.accumulate(few == 0, axis=1)] = 0
+    keys[ending] = few
+    return keys.view(f"S{HEAD}").ravel()
 
 
 class Shard:
@@ -78,29 +87,33 @@ class Shard:
             self.order, self.heads = order, heads
         else:
             self.order, self.heads = order, heads[order]
-        self.text = np.searchsorted(first, self.order, "right") - 1
+        self.text = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begins))))[self.order]
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Shard:
         """The array of texts given as their words with single spaces between."""
-        joined = b"".join(t + b"\x00" for t in texts)
+        return cls.read(b"".join(t + b"\x00" for t in texts))
+
+    @classmethod
+    def read(cls, joined: bytes, order: np.ndarray | None = None) -> Shard:
+        """The array of texts that each end with a zero, with its order if that is known already."""
         grid = np.frombuffer(joined, dtype=np.uint8)
         apart = (grid == 32) | (grid == 0)
         starts = np.flatnonzero(np.concatenate([[True], apart[:-1]]) & (grid != 0)) if len(grid) else np.zeros(0, dtype=np.int64)
-        spaces = np.cumsum(grid == 32)
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])[:-1], "left")
-        return cls(joined.replace(b" ", b""), (starts - spaces[starts] if len(starts) else starts).astype(np.int64), first.astype(np.int64))
+        spaces = np.cumsum(grid == 32, dtype=np.int32)
+        first = np.searchsorted(starts, np.concatenate([[0], np.flatnonzero(grid == 0) + 1])[:-1], "left")
+        return cls(joined.replace(b" ", b""), (starts - spaces[starts] if len(starts) else starts).astype(np.int64), first.astype(np.int64), order)
 
     def _refine(self, order: np.ndarray, heads: np.ndarray, rounds: int = 6) -> None:
         """Puts suffixes that agree in all letters of their head in order: in a few rounds by the next letters of all of them at once, and what then still agrees one group at a time."""
         keys, at, skip = heads, np.arange(len(order)), HEAD
         group = np.zeros(len(order), dtype=np.int64)
         for turn in range(rounds + 1):
-            same = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
+            parts = keys.view(np.uint64).reshape(-1, HEAD // 8)
+            same = (parts[1:] == parts[:-1]).all(axis=1) & (group[1:] == group[:-1])
             tied = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(at) else np.zeros(0, bool)
             new = np.cumsum(np.concatenate([[True], ~same])) if len(at) else group
-            tied &= np.char.str_len(keys) == HEAD if len(at) else tied
+            tied &= keys.view(np.uint8).reshape(-1, HEAD)[:, -1] != 0
             at, group = at[tied], new[tied]
             if not len(at):
                 return
@@ -251,19 +264,20 @@ def _aligned(x: list[str], y: list[str], rare: set[str], least: int, share: floa
 
 
 def corpus_shards(docs: DataFrame, key: str, text: str, least: int = LEAST_WORDS, chars: int | None = None) -> DataFrame:
-    """The stored suffix arrays of a corpus, one row per shard: keys, the text of each key, letters, word begins, first words, order.
+    """The stored suffix arrays of a corpus, one row per shard: keys, the text of each key, the texts, order.
 
     Texts stay in the partition that reads them: nothing is shuffled. Copies of a text inside a shard stand in its array
     once. A text above the bound is a shard of its own; null texts and those of under half a passage are left out.
+    Each shard is a row group of its own: a task holds one at a time, however many its partition has.
     """
     chars = chars or SHARD_CHARS
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def row() -> pd.DataFrame:
-            shard = Shard.of(list(seen))
-            data = [np.array(of, dtype=np.int32).tobytes(), shard.letters, shard.begins.tobytes(), shard.first.tobytes(), shard.order.astype(np.int64).tobytes()]
-            return pd.DataFrame([[keys, *data]], columns=["keys", "of", "letters", "begins", "first", "order"])
+            joined = b"".join(t + b"\x00" for t in seen)
+            data = [np.array(of, dtype=np.int32).tobytes(), joined, Shard.read(joined).order.astype(np.int32).tobytes()]
+            return pd.DataFrame([[keys, *data]], columns=["keys", "of", "texts", "order"])
 
         keys, of, size = [], [], 0
         seen: dict[bytes, int] = {}
@@ -285,7 +299,7 @@ def corpus_shards(docs: DataFrame, key: str, text: str, least: int = LEAST_WORDS
             yield row()
 
     given = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
-    return stored(given.mapInPandas(run, f"keys array<{kind}>, of binary, letters binary, begins binary, first binary, order binary"), "shards")
+    return stored(given.mapInPandas(run, f"keys array<{kind}>, of binary, texts binary, order binary"), "shards", **ROW_GROUPS)
 
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS, chars: int | None = None) -> tuple[DataFrame, int]:
@@ -327,21 +341,27 @@ def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     met = wide.join(F.broadcast(blocks) if small else blocks.hint("merge"), "block")
     kinds, item_kind = dict(docs.dtypes), dict(items.dtypes)[item_key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one shard at a time becomes Python objects, and the items of a block once
         ready: dict[int, tuple] = {}
-        for pdf in batches:
-            for block, its, keys, of, letters, begins, first, order in zip(*(pdf[c] for c in ("block", "items", "keys", "of", "letters", "begins", "first", "order"))):
-                if block not in ready:
-                    ready = {block: _ready(its)}
-                shard = Shard(letters, np.frombuffer(begins, dtype=np.int64), np.frombuffer(first, dtype=np.int64), np.frombuffer(order, dtype=np.int64))
-                rows = _search(shard, *ready[block], least)
-                owners: dict[int, list] = {}
-                if rows:
-                    for k, d in zip(keys, np.frombuffer(of, dtype=np.int32).tolist()):
-                        owners.setdefault(d, []).append(k)
-                yield pd.DataFrame([(k, *r[1:]) for r in rows for k in owners[r[0]]], columns=[key, item_key, "n_words", "doc_word", "item_word"])
+        for batch in batches:
+            columns = {c: batch.column(c) for c in ("block", "items", "keys", "of", "texts", "order")}
+            id_kind = columns["items"].type.value_type.field("id").type
+            for at in range(batch.num_rows):
+                if (block := columns["block"][at].as_py()) not in ready:
+                    ready = {block: _ready(columns["items"][at].as_py())}
+                rows = _search(Shard.read(columns["texts"][at].as_py(), np.frombuffer(columns["order"][at].as_buffer(), dtype=np.int32)), *ready[block], least)
+                if not rows:
+                    continue
+                owners: dict[int, list[int]] = {}
+                for j, d in enumerate(np.frombuffer(columns["of"][at].as_buffer(), dtype=np.int32).tolist()):
+                    owners.setdefault(d, []).append(j)
+                keys = columns["keys"][at].values
+                out = [(j, *r[1:]) for r in rows for j in owners[r[0]]]
+                data = [keys.take(pa.array([r[0] for r in out])), pa.array([r[1] for r in out], id_kind), *(pa.array([r[c] for r in out], pa.int32()) for c in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays(data, names=[key, item_key, "n_words", "doc_word", "item_word"])
 
-    return met.mapInPandas(run, f"{key} {kinds[key]}, {item_key} {item_kind}, n_words int, doc_word int, item_word int")
+    return met.mapInArrow(run, f"{key} {kinds[key]}, {item_key} {item_kind}, n_words int, doc_word int, item_word int")
 
 
 def _ready(items: list) -> tuple:
@@ -367,12 +387,15 @@ def _search(shard: Shard, ids: list, texts: list[list[str]], rare: list[set[str]
     doc, item, word, at = doc[order], item[order], word[order], at[order]
     cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, int)
     out, coded = [], [[w.encode() for w in ws] for ws in rare]
+    last, held = -1, b""
     for a, b in zip(cuts, [*cuts[1:], len(doc)]):
         if b - a < LEAST_SEEDS:
             continue
         d, i = int(doc[a]), int(item[a])
         # the rare words that a passage must keep stand in the letters of its text, however it is broken
-        if coded[i] and not any(w in shard.letters_of(d) for w in coded[i]):
+        if d != last:
+            last, held = d, shard.letters_of(d)
+        if coded[i] and not any(w in held for w in coded[i]):
             continue
         spots = np.stack([word[a:b], at[a:b]], axis=1)
         if passage(texts[i], shard.words_of(d), spots, rare[i], least):

@@ -167,6 +167,22 @@ def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     assert set(seen[0]) == want and len(want) > 20
 
 
+def test_a_task_holds_one_shard_at_a_time(spark, monkeypatch):
+    """Each stored shard is a row group of its own, and takes less than thrice its letters: memory doesn't follow the size of a partition."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(leaks, "SHARD_CHARS", 1_500_000)
+    rng = random.Random(26)
+    some = passage_words(rng, 5000)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(some) for _ in range(2000))) for i in range(500)], "doc_id long, text string").coalesce(1)
+    shards = leaks.corpus_shards(docs, "doc_id", "text")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(groups) >= 4 and all(g.num_rows == 1 for g in groups)
+    letters = sum(len(r["text"]) for r in docs.collect())
+    assert sum(g.total_byte_size for g in groups) < 3 * letters
+
+
 def test_words_against_a_plain_pattern():
     import html
     import re
