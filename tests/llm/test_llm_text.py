@@ -126,6 +126,40 @@ def passage_words(rng, n):
     return ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(n)]
 
 
+def test_words_meet_in_packed_parts(spark, monkeypatch):
+    """The same pairs whatever the sizes of parts, none lost against brute force, and no row for each key of a word."""
+    rng = random.Random(27)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 20))) for _ in range(60)}
+    for w in list(words):
+        for _ in range(6):
+            i = rng.randrange(len(w) - 1)
+            words.add(rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "x" + w[i + 1 :], w[: i + 1] + "y" + w[i + 1 :], w[:i] + "z" + w[i + 1 : -1]]))
+    t = spark.createDataFrame([(w, names._mask(w)[0]) for w in sorted(words) if len(w) > 2], "w string, m long")
+    near = names._near(t, t)
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, near.collect()))
+    assert len(set(got)) == len(got)
+    for a in words:
+        for b in words:
+            if min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and addresses.edits(a, b, m := addresses.allowed(min(len(a), len(b)))) <= m:
+                assert (a, b) in set(got)
+    monkeypatch.setattr(names, "PART_KEYS", 200)
+    monkeypatch.setattr(names, "MOST_PAIRS", 7)
+    assert sorted(map(tuple, names._near(t, t).collect())) == got
+
+
+def test_common_words_by_country(spark, monkeypatch):
+    """Common words link the same names as when all are compared, whether countries are known or not."""
+    given = ["hans", "hanz", "peter", "petra", "karl", "ulrich"]
+    ref = [(i, f"{given[i % 6]} mullerstein{'abc'[i % 3]}", ["DE", "FR", None, "??"][i % 4]) for i in range(48)]
+    df = [(i, f"{given[i % 6].title()} Mullerstein{'abc'[i // 6 % 3]}", [None, "DE", "fr", ""][i // 18 % 4]) for i in range(72)]
+    a, b = spark.createDataFrame(ref, "r long, n string, c string"), spark.createDataFrame(df, "k long, n string, c string")
+    link = lambda: sorted(map(tuple, names.linked(a, "r", "n", "c", b, "k", "n", "c").collect()))
+    got = link()
+    monkeypatch.setattr(names, "COMMON", 10**9)
+    assert got == link() and len(got) > 20
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     item, other = passage_words(rng, 80), passage_words(rng, 60)
